@@ -12,6 +12,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_count import count_tokens
+
+    out = count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("word_bpe_49k.json"))
+    return out.drop("text")
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import digest, remove_repeats
 
@@ -19,8 +38,15 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", digest("kept_text").alias("kept_sha256"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_substring": op7_substring}
+    found = [op2_packing, op7_substring, op8_token_counts, op10_minhash]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
