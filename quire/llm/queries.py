@@ -12,6 +12,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import work_path
+    from .warc import payloads, read_warc, write_warc
+
+    path = work_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    return payloads(read_warc(spark, path))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = shard(docs.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")))), shards=40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -45,9 +62,19 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_packing, op7_substring, op8_token_counts, op10_minhash]
+    found = [op1_warc, op2_packing, op4_sharding, op7_substring, op8_token_counts, op10_minhash]
     return {f.__name__: f for f in found}
 
 
+OP1_SQL = """
+with p as (select page_id, url, encode(coalesce(html, '')) as body from pages),
+q as (select page_id, url, octet_length(body)::bigint as payload_bytes, sha1(body) as payload_digest from p),
+g as (select payload_digest, max(page_id) as head from q where payload_bytes >= 1000 group by 1)
+select q.page_id, q.payload_bytes, q.payload_digest,
+    case when g.head is not null and g.head <> q.page_id then 'revisit' else 'response' end as record_type,
+    case when g.head is not null and g.head <> q.page_id then g.head end as refers_to
+from q left join g on q.payload_digest = g.payload_digest and q.payload_bytes >= 1000
+"""
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": OP1_SQL}

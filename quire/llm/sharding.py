@@ -3,14 +3,14 @@
 Rows with equal texts are one indivisible group. Groups, largest first, enter the bin with the tightest remaining capacity
 that still holds them, found in a balanced tree; the fewest bins of a fixed capacity result, or, for a fixed number of
 bins, the smallest capacity that does. Only a bounded number of items reaches the driver: groups larger than a small share
-of a bin (there can be few), and for all others the bundles into which their hashes fall. [native apart from that plan]
+of a bin (there can be few), and for all others the bundles into which their hashes fall.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, ready
@@ -64,8 +64,6 @@ def best_fit_decreasing(sizes: list[int], capacity: int, most: int | None = None
 
 def fewest_capacity(sizes: list[int], bins: int) -> list[int]:
     """The packing into at most `bins` bins with the least capacity that bisection finds (to 1/20000 of the lower bound)."""
-    total = sum(sizes)
-    low = max(max(sizes, default=0), -(-total // bins), 1)
     # An oversized item fills a bin alone; the others are levelled among themselves.
     rest, left = sorted(sizes, reverse=True), bins
     while left > 1 and rest and rest[0] * left > sum(rest):
@@ -87,7 +85,7 @@ def fewest_capacity(sizes: list[int], bins: int) -> list[int]:
     return best
 
 
-def shard(df: DataFrame, shards: int | None = 40, capacity: int | None = None, key: str = "doc_id", text: str = "text", overhead: int = 16, slot_rows: int = 4096) -> DataFrame:
+def shard(df: DataFrame, shards: int | None = 40, capacity: int | None = None, key: str = "doc_id", text: str = "text", overhead: int = 16, slot_rows: int = 512) -> DataFrame:
     """df with size, shard and slot; give the number of shards, or a capacity in bytes.
 
     size: UTF-8 bytes of the text (null: none) plus the overhead. Shards are numbered from 0; with a capacity there are as many
@@ -98,36 +96,33 @@ def shard(df: DataFrame, shards: int | None = 40, capacity: int | None = None, k
     """
     spark = ready(df)
     size, place, slot = (free_name(df.columns, x) for x in ("size", "shard", "slot"))
-    hidden = [free_name([*df.columns, size, place, slot], x) for x in ("_item", "_group", "_part", "_before")]
-    item, group, part, before = hidden
-    sized = df.withColumn(size, F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + overhead).withColumn(group, F.xxhash64(text))
-    groups = sized.groupBy(group).agg(F.sum(size).alias("bytes"))
-    total = groups.agg(F.sum("bytes").alias("bytes"), F.count("*").alias("groups")).first()
-    whole = total["bytes"] or 0
+    hidden = [free_name([*df.columns, size, place, slot], x) for x in ("_item", "_group", "_part", "_before", "_lone", "_crc")]
+    item, group, part, before, alone, crc = hidden
+    sized = df.withColumn(size, F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + overhead).withColumn(group, F.xxhash64(text)).withColumn(crc, F.crc32(text))
+    groups = sized.groupBy(group).agg(F.sum(size).alias("bytes"), F.count("*").alias("rows"))
+    total = groups.agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).first()
+    whole, rows = total["bytes"] or 0, total["rows"] or 0
     unit = max(1, (whole if capacity is None else min(whole, BUNDLES // 64 * capacity)) // BUNDLES)
     if capacity is not None and whole > BUNDLES // 64 * capacity:
         raise ValueError(f"a capacity of {capacity} bytes makes more than {BUNDLES // 64} shards; shard in rounds: by `shards` first")
     large = groups.where(F.col("bytes") > unit).select(F.col(group).alias("g"), "bytes").orderBy(F.desc("bytes"), "g").collect()
     names = [r["g"] for r in large]
-    lone = spark.createDataFrame([(r["g"], k) for k, r in enumerate(large)], f"`{group}` long, lone int")
+    lone = spark.createDataFrame([(r["g"], k) for k, r in enumerate(large)], f"`{group}` long, `{alone}` int")
     bundle = (F.pmod(group, F.lit(BUNDLES)) + len(names)).cast("int")
-    numbered = groups.join(F.broadcast(lone), group, "left").withColumn(item, F.coalesce("lone", bundle))
+    numbered = groups.join(F.broadcast(lone), group, "left").withColumn(item, F.coalesce(alone, bundle))
     items = sorted((r[item], r["bytes"]) for r in numbered.groupBy(item).agg(F.sum("bytes").alias("bytes")).collect())
     sizes = [b for _, b in items]
     bins = best_fit_decreasing(sizes, capacity) if capacity is not None else fewest_capacity(sizes, shards)
     plan = spark.createDataFrame([(i, b) for (i, _), b in zip(items, bins, strict=True)], f"`{item}` int, `{place}` int")
-    out = sized.join(F.broadcast(lone), group, "left").withColumn(item, F.coalesce("lone", bundle)).drop("lone", group)
+    out = sized.join(F.broadcast(lone), group, "left").withColumn(item, F.coalesce(alone, bundle)).drop(alone, group)
     out = out.join(F.broadcast(plan), item).drop(item)
 
     # Slots: rows are ordered within parts of a shard, and each part begins where the rows before it end.
-    rows = df.count()
     parts = max(1, -(-rows // (slot_rows * max(1, max(bins, default=0) + 1))))
-    out = out.withColumn(part, F.pmod(F.xxhash64(key, F.crc32(text)), F.lit(parts)).cast("int"))
+    out = out.withColumn(part, F.pmod(F.xxhash64(key, crc), F.lit(parts)).cast("int"))
     counts = out.groupBy(place, part).count()
-    from pyspark.sql import Window
-
     starts = counts.withColumn(before, F.sum("count").over(Window.partitionBy(place).orderBy(part)) - F.col("count")).drop("count")
-    order = Window.partitionBy(place, part).orderBy(F.col(key).asc_nulls_first(), F.crc32(text))
+    order = Window.partitionBy(place, part).orderBy(F.col(key).asc_nulls_first(), F.col(crc).asc_nulls_first())
     out = out.join(F.broadcast(starts) if parts * (max(bins, default=0) + 1) <= 200_000 else starts, [place, part])
     out = out.withColumn(slot, (F.row_number().over(order) - 1 + F.col(before)).cast("long"))
     return out.select(*df.columns, size, place, slot)
