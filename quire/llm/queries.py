@@ -21,6 +21,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads(read_warc(spark, path))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_embeddings
+
+    return near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
@@ -55,6 +61,13 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", digest("kept_text").alias("kept_sha256"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    out = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "strictness")
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -62,7 +75,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_warc, op2_packing, op4_sharding, op7_substring, op8_token_counts, op10_minhash]
+    found = [op1_warc, op2_packing, op3_embedding_dedup, op4_sharding, op7_substring, op8_token_counts, op9_license_scan, op10_minhash]
     return {f.__name__: f for f in found}
 
 
