@@ -54,6 +54,35 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("text")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and test item that it leaks."""
+    from .decontaminate import find_leaks
+
+    out = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    out = out.select("doc_id", F.explode("hits").alias("hit"))
+    return out.select("doc_id", "hit.item_id", *(F.round(f"hit.{c}", 6).alias(c) for c in ("score", "question_overlap", "answer_overlap")), F.col("hit.first_word").alias("first_word"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit, identify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    out = identify(docs, fit(docs, "text", "lang"), declared="lang", host="source")
+    return out.select("doc_id", "language", F.round("confidence", 6).alias("confidence"), F.col("accepted").alias("kept"))
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four kinds of evidence, over web pages; the text model comes from the documents."""
+    from .language_id import fit, identify
+
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    body = F.regexp_replace("html", r"(?is)<(script|style|noscript)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ")
+    declared = F.regexp_extract("html", r"(?is)<html[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3}(?:-[a-z]+)?)", 1)
+    pages = pages.select("page_id", "url", body.alias("text"), F.nullif(declared, F.lit("")).alias("declared"))
+    out = identify(pages, fit(docs, "text", "lang"), declared="declared", url="url")
+    return out.select("page_id", "language", F.round("confidence", 6).alias("confidence"), "accepted")
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import digest, remove_repeats
 
@@ -75,7 +104,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_warc, op2_packing, op3_embedding_dedup, op4_sharding, op7_substring, op8_token_counts, op9_license_scan, op10_minhash]
+    found = [op1_warc, op2_packing, op3_embedding_dedup, op4_sharding, op5_decontamination, op6_language_id, language_id_pages, op7_substring, op8_token_counts, op9_license_scan, op10_minhash]
     return {f.__name__: f for f in found}
 
 
