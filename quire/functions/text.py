@@ -126,13 +126,9 @@ def signed(x: Column | str, suffix: str = "") -> Column:
 
 def json_ints(x: Column | str) -> Column:
     """The integers of the first JSON array in a text; other elements are dropped, true counts as 1, no array gives an empty list."""
-    found = F.regexp_extract(col(x), r"(?s)\[[^\]]*\]", 0)
-    parsed = F.from_json(found, "array<string>")
-    kept = F.filter(parsed, lambda e: e.rlike(r"^(-?\d{1,9}|true|false)$"))
-    # A string element such as "3" looks like a number once parsed; those are told apart in the source text.
-    quoted = F.regexp_extract_all(found, F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1))
-    kept = F.filter(kept, lambda e: ~F.array_contains(quoted, e))
-    return F.coalesce(F.transform(kept, lambda e: F.when(e == "true", 1).when(e == "false", 0).otherwise(e.try_cast("int"))), F.array().cast("array<int>"))
+    found = F.try_parse_json(F.regexp_extract(col(x), r"(?s)\[[^\]]*\]", 0))
+    items = F.coalesce(F.transform(F.try_variant_get(found, "$", "array<variant>"), lambda e: F.when(F.schema_of_variant(e).isin("BIGINT", "BOOLEAN"), F.try_variant_get(e, "$", "int"))), F.array().cast("array<int>"))
+    return F.filter(items, lambda e: e.isNotNull())
 
 
 def domain_allowed(url: Column | str, domains: Iterable[str]) -> Column:

@@ -27,7 +27,7 @@ DOMAINS = ("example.com", "www.example.org")
 SPEC = r"\d"
 MODEL = "offline-1"
 RULES = [("demo", 0, "memory storage", ["the", "and"], []), ("demo", 1, "mémoire", ["de"], ["la"]), ("demo", 2, "network", [], ["with", "this"])]
-PATTERNS = [("alpha", r"the\w*tion"), ("beta", r"\ban\w{3}\b"), ("gamma", "heon")]
+PATTERNS = [("alpha", r"the\w*tion"), ("beta", r"an\w{3}[ .]"), ("gamma", "heon")]
 
 
 def query(f: Query) -> Query:
@@ -250,7 +250,7 @@ def expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = plans.variants(questions(spark, sf_dir), rules(spark), rewrite=lambda q: F.upper(q))
+    found = plans.variants(questions(spark, sf_dir), rules(spark), rewrite=lambda q: F.concat(F.lit(" "), q, F.lit(" .")))
     return show(found, "qid", "variant_pos", "label", "query_text")
 
 
@@ -442,7 +442,7 @@ def linked_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def export_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = questions(spark, sf_dir)
-    return context.export_markdown(asked, asked.select("qid", F.upper("question").alias("answer")), rank.top(scored(spark, sf_dir), 4))
+    return context.export_markdown(asked, asked.select("qid", F.concat(F.lit("A: "), "question").alias("answer")), rank.top(scored(spark, sf_dir), 4))
 
 
 @query
