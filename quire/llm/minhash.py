@@ -2,8 +2,9 @@
 
 A document's set is its distinct word shingles. `samples` MinHash values are cut into bands for candidates and folded into
 an odd sketch: a bitmap in which each (position, value) flips one bit. The exclusive or of two sketches is the sketch of
-the samples in which they differ, so its population count gives the resemblance, precisely where it is high. Candidate
-pairs whose estimate is far below the threshold go; the rest are confirmed on the full sets.
+the samples in which they differ, so its population count gives the resemblance, precisely where it is high. A second
+odd sketch folds in every shingle: its exclusive or has no more bits than the sets have differences, so too many bits rule a
+pair out for certain. Candidate pairs that fail either test go; the rest are confirmed on the full sets.
 
 Nothing grows with the square of a group of copies. Documents with equal sets are one class from the start. In each
 bucket all members are first paired with the smallest one, and confirmed pairs are contracted; only buckets that still
@@ -24,7 +25,8 @@ from . import words as W
 from .common import cut, ready, release, slices, small
 from .components import components
 
-SAMPLES, BANDS, SKETCH_BITS = 128, 32, 512
+SAMPLES, BANDS, SKETCH_BITS, SET_BITS = 128, 32, 512, 2048
+_WORDS = SKETCH_BITS // 64
 _BLOCK = 256
 _MULTIPLY = (W.mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _FLIP = (W.mix(np.arange(1001, SAMPLES + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -60,12 +62,24 @@ def signatures(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def odd_sketches(samples: np.ndarray) -> np.ndarray:
-    """Parity bitmaps, SKETCH_BITS bits a row as int64 words."""
-    spots = W.mix(samples.astype(np.uint64) | (np.arange(1, SAMPLES + 1, dtype=np.uint64) << np.uint64(32))) % np.uint64(SKETCH_BITS)
+def _parities(row: np.ndarray, spot: np.ndarray, rows: int, bits: int) -> np.ndarray:
+    """Parity bitmaps (rows x bits / 64, int64) of flips given as sorted rows and spots."""
+    out = np.empty((rows, bits // 64), np.int64)
+    edges = np.searchsorted(row, np.arange(0, rows + 1024, 1024))
+    for k, begin in enumerate(range(0, rows, 1024)):
+        n, part = min(1024, rows - begin), slice(edges[k], edges[k + 1])
+        flips = np.bincount((row[part] - begin) * bits + spot[part], minlength=n * bits)
+        out[begin : begin + n] = np.packbits((flips & 1).astype(bool).reshape(n, bits), axis=1).view(np.int64)
+    return out
+
+
+def odd_sketches(samples: np.ndarray, sets: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Odd sketches of the samples (SKETCH_BITS), then of the whole sets (SET_BITS), as int64 words."""
     rows = len(samples)
-    flips = np.bincount((np.arange(rows, dtype=np.int64)[:, None] * SKETCH_BITS + spots.astype(np.int64)).ravel(), minlength=rows * SKETCH_BITS)
-    return np.packbits((flips & 1).astype(bool).reshape(rows, SKETCH_BITS), axis=1).view(np.int64)
+    spots = W.mix(samples.astype(np.uint64) | (np.arange(1, SAMPLES + 1, dtype=np.uint64) << np.uint64(32))) % np.uint64(SKETCH_BITS)
+    brief = _parities(np.repeat(np.arange(rows), SAMPLES), spots.astype(np.int64).ravel(), rows, SKETCH_BITS)
+    spots = (W.mix(sets ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(SET_BITS)).astype(np.int64)
+    return np.concatenate([brief, _parities(np.repeat(np.arange(rows), np.diff(first)), spots, rows, SET_BITS)], axis=1)
 
 
 def _signed(texts: list[bytes], size: int):
@@ -74,7 +88,7 @@ def _signed(texts: list[bytes], size: int):
     full = np.flatnonzero(counts)
     starts = first[:-1][full]
     low, high = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-    bands, sketches = np.zeros((0, BANDS), np.int64), np.zeros((0, SKETCH_BITS // 64), np.int64)
+    bands, sketches = np.zeros((0, BANDS), np.int64), np.zeros((0, (SKETCH_BITS + SET_BITS) // 64), np.int64)
     if len(full):
         low[full] = np.add.reduceat(W.mix(sets), starts).view(np.int64)
         high[full] = np.bitwise_xor.reduceat(W.mix(sets + np.uint64(0x5851F42D4C957F2D)), starts).view(np.int64)
@@ -83,7 +97,7 @@ def _signed(texts: list[bytes], size: int):
         mixed = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(full), BANDS)).copy()
         for k in range(keys.shape[2]):
             mixed = W.mix(mixed * np.uint64(0x9E3779B97F4A7C15) + keys[:, :, k])
-        bands, sketches = mixed.view(np.int64), odd_sketches(samples)
+        bands, sketches = mixed.view(np.int64), odd_sketches(samples, sets, np.append(starts, len(sets)))
     return counts, low, high, full, bands, sketches
 
 
@@ -106,7 +120,7 @@ def signature_table(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
             for part in slices(batch, "text", 1 << 20):
                 counts, low, high, full, bands, sketches = _signed(W.utf8(part.column(1)), size)
                 n = part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(low), pa.array(high), _lists(bands, full, n, BANDS), _lists(sketches, full, n, SKETCH_BITS // 64)], names=["id", "n", "low", "high", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(low), pa.array(high), _lists(bands, full, n, BANDS), _lists(sketches, full, n, sketches.shape[1])], names=["id", "n", "low", "high", "bands", "sketch"])
 
     return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(sign, schema)
 
@@ -118,20 +132,30 @@ def least_estimate(threshold: float) -> tuple[float, int]:
     return least, int(SKETCH_BITS / 2 * (1 - np.exp(-2 * 2 * SAMPLES * (1 - least) / SKETCH_BITS)))
 
 
-def _differ(x: str, y: str):
+def _differ(x: str, y: str, words: range):
     bits = F.lit(0)
-    for i in range(SKETCH_BITS // 64):
+    for i in words:
         bits = bits + F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i]))
     return bits
 
 
-def _resemble(pairs, most_bits: int, percent: int):
-    return pairs.where((_differ("sketch", "sketch_c") <= most_bits) & (100 * F.least("n", "n_c") >= percent * F.greatest("n", "n_c")))
+def _resemble(pairs: DataFrame, most_bits: int, percent: int) -> DataFrame:
+    """The pairs that neither sizes nor sketches rule out, with how far apart they seem."""
+    sizes = F.col("n") + F.col("n_c")
+    whole = _differ("sketch", "sketch_c", range(_WORDS, _WORDS + SET_BITS // 64))
+    pairs = pairs.where(100 * F.least("n", "n_c") >= percent * F.greatest("n", "n_c"))
+    pairs = pairs.withColumn("whole", whole).where(F.col("whole") * (100 + percent) <= sizes * (100 - percent))
+    pairs = pairs.withColumn("bits", _differ("sketch", "sketch_c", range(_WORDS))).where(F.col("bits") <= most_bits)
+    return pairs.select("c", "id", (F.col("bits") / SKETCH_BITS + F.col("whole") / sizes).alias("apart"))
+
 
+def _within(block: dict, most_bits: int, percent: int, most: int | None, out: list) -> bool:
+    """Appends the pairs of one block that the sketch lets through, across components, and across sides if the block has two.
 
-def _within(block: dict, most_bits: int, percent: int, out: list) -> None:
-    """Appends the pairs of one block that the sketch lets through: across components, and across sides if the block has two."""
+    Of each row only the `most` likeliest pairs count; returns whether that left any out.
+    """
     ids, part, n, side, sketch = (block[c] for c in ("id", "part", "n", "side", "sketch"))
+    apart = np.full((len(ids), len(ids)), np.inf, np.float32)
     for k in range(len(ids) - 1):
         rest = slice(k + 1, None)
         near = (part[rest] != part[k]) & (100 * np.minimum(n[rest], n[k]) >= percent * np.maximum(n[rest], n[k]))
@@ -139,11 +163,22 @@ def _within(block: dict, most_bits: int, percent: int, out: list) -> None:
             near &= side[rest] != side[k]
         at = np.flatnonzero(near) + k + 1
         if len(at):
-            at = at[np.bitwise_count(sketch[at] ^ sketch[k]).sum(axis=1) <= most_bits]
-            out.append((np.minimum(ids[at], ids[k]), np.maximum(ids[at], ids[k])))
-
-
-def _block_pairs(most_bits: int, percent: int):
+            flips = np.bitwise_count(sketch[at] ^ sketch[k])
+            bits, whole, sizes = flips[:, :_WORDS].sum(axis=1, dtype=np.int64), flips[:, _WORDS:].sum(axis=1, dtype=np.int64), n[at] + n[k]
+            may = (bits <= most_bits) & (whole * (100 + percent) <= sizes * (100 - percent))
+            at = at[may]
+            apart[k, at] = apart[at, k] = (bits / SKETCH_BITS + whole / sizes)[may]
+    good = apart < np.inf
+    more = most is not None and bool((good.sum(axis=1) > most).any())
+    if more:
+        last = np.partition(apart, most - 1, axis=1)[:, most - 1]
+        good &= apart <= last[:, None]
+    a, b = np.nonzero(good)
+    out.append((np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])))
+    return more
+
+
+def _block_pairs(most_bits: int, percent: int, most: int | None):
     """Over rows sorted by (band, kind, i, j): the pairs of each block, distinct within a batch of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,11 +190,12 @@ def _block_pairs(most_bits: int, percent: int):
             keys = [columns[c] for c in names]
             new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in keys], axis=0)) + 1
             out: list = []
+            more = False
             for a, b in zip([0, *new], [*new, table.num_rows], strict=True):
                 if b - a > 1:
-                    _within({c: x[a:b] for c, x in columns.items()}, most_bits, percent, out)
+                    more |= _within({c: x[a:b] for c, x in columns.items()}, most_bits, percent, most, out)
             pairs = np.unique(np.stack([np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])], axis=1), axis=0) if out else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["c", "id"])
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64()), pa.array(np.full(len(pairs), more))], names=["c", "id", "more"])
 
         for batch in batches:
             table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
@@ -218,6 +254,21 @@ def _confirm(texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
     return cut(dealt_rows.mapInArrow(confirm, "c long, id long"), "confirmed")
 
 
+def _blocks(placed: DataFrame, slim: DataFrame) -> DataFrame:
+    """Rows of unfinished buckets, dealt to blocks: those of the centre's component in one block each, which meets all blocks of strays; strays also meet each other."""
+    mixed = placed.groupBy("band").agg(F.count_if(F.col("part") == F.col("main")).alias("mains"), F.count_if(F.col("part") != F.col("main")).alias("strays")).where("strays > 0")
+    rows = placed.join(mixed, "band").join(slim, "id").withColumn("side", (F.col("part") != F.col("main")).cast("int"))
+    mb, sb = F.ceil(F.col("mains") / _BLOCK).cast("int"), F.ceil(F.col("strays") / _BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("side") == 1, sb).otherwise(mb)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    across = F.when(F.col("side") == 0, F.transform(upto(sb), lambda j: cell(1, own, j))).otherwise(F.transform(upto(mb), lambda i: cell(1, i, own)))
+    inside = F.when(F.col("side") == 0, F.array().cast("array<struct<kind:int,i:int,j:int>>")).otherwise(F.transform(upto(sb), lambda k: cell(0, F.least(own, k), F.greatest(own, k))))
+    rows = rows.select("band", "id", "part", "n", "side", "sketch", F.explode(F.concat(across, inside)).alias("x")).select("band", "x.kind", "x.i", "x.j", "id", "part", "n", "side", "sketch")
+    order = ["band", "kind", "i", "j"]
+    return rows.repartition(*order).sortWithinPartitions(*order)
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
     """(<key>, n_shingles, component_id, kept) a row of df.
 
@@ -242,8 +293,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     slim = heads.select("id", "n", "sketch")
     centre = slim.select(F.col("id").alias("c"), F.col("n").alias("n_c"), F.col("sketch").alias("sketch_c"))
     stars = members.where("id != c").select("c", "id").distinct().join(slim, "id").join(centre, "c")
-    stars = cut(_resemble(stars, most_bits, percent).select("c", "id", _differ("sketch", "sketch_c").alias("bits")), "stars")
-    best = stars.groupBy("id").agg(F.min(F.struct("bits", "c")).alias("x")).select("x.c", "id")
+    stars = cut(_resemble(stars, most_bits, percent), "stars")
+    best = stars.groupBy("id").agg(F.min(F.struct("apart", "c")).alias("x")).select("x.c", "id")
     links = _confirm(texts, best, size, percent)
     parts = cut(components(links, "c", "id"), "parts")
 
@@ -256,23 +307,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     parts = cut(components(links, "c", "id"), "parts")
     tested = stars.select("c", "id")
 
-    # Buckets with several components are compared across them, in blocks of _BLOCK rows a side.
-    placed = cut(part_of(part_of(members.where("members > 2"), "id", "part"), "c", "main"), "placed")
-    mixed = placed.groupBy("band").agg(F.count_if(F.col("part") == F.col("main")).alias("mains"), F.count_if(F.col("part") != F.col("main")).alias("strays")).where("strays > 0")
-    rows = placed.join(mixed, "band").join(slim, "id").withColumn("side", (F.col("part") != F.col("main")).cast("int"))
-    mb, sb = F.ceil(F.col("mains") / _BLOCK).cast("int"), F.ceil(F.col("strays") / _BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.when(F.col("side") == 1, sb).otherwise(mb)).cast("int")
-    upto = lambda n: F.sequence(F.lit(0), n - 1)
-    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
-    across = F.when(F.col("side") == 0, F.transform(upto(sb), lambda j: cell(1, own, j))).otherwise(F.transform(upto(mb), lambda i: cell(1, i, own)))
-    inside = F.when(F.col("side") == 0, F.array().cast("array<struct<kind:int,i:int,j:int>>")).otherwise(F.transform(upto(sb), lambda k: cell(0, F.least(own, k), F.greatest(own, k))))
-    rows = rows.select("band", "id", "part", "n", "side", "sketch", F.explode(F.concat(across, inside)).alias("x")).select("band", "x.kind", "x.i", "x.j", "id", "part", "n", "side", "sketch")
-    order = ["band", "kind", "i", "j"]
-    found = rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(_block_pairs(most_bits, percent), "c long, id long").distinct()
-    fresh = found.join(tested, ["c", "id"], "left_anti")
-    last = _confirm(texts, fresh, size, percent)
-    parts = cut(components(links.unionAll(last), "c", "id"), "parts")
-    release(spark)
+    # Buckets with several components are compared across them, in blocks of _BLOCK rows a side: each row's likeliest pairs
+    # first, as these join most of a group of copies; again, while any were left out; and at last all that still cross components.
+    for most in (4, 4, None):
+        placed = cut(part_of(part_of(members.where("members > 2"), "id", "part"), "c", "main"), "placed")
+        found = cut(_blocks(placed, slim).mapInArrow(_block_pairs(most_bits, percent, most), "c long, id long, more boolean").distinct(), "found")
+        fresh = found.select("c", "id").distinct().join(tested, ["c", "id"], "left_anti")
+        links = links.unionAll(_confirm(texts, fresh, size, percent))
+        parts = cut(components(links, "c", "id"), "parts")
+        release(spark)
+        if not found.where("more").limit(1).count():
+            break
+        tested = tested.unionAll(found.select("c", "id")).distinct()
 
     reach = part_of(classes, "rep", "part")
     # A class with a shared key only has no rep and stays alone; elsewhere the smallest key may be a shared one.
