@@ -167,7 +167,7 @@ def test_embeddings(spark, monkeypatch):
     v = [(base[k % 40] + rng.normal(size=8) * rng.choice([0.02, 0.2, 0.6])).tolist() for k in range(900)]
     v += [v[0]] * 30 + [[2 * x for x in v[1]], [1e-200 * x for x in v[1]], [1e200 * x for x in v[2]]]
     rows = [(k, x) for k, x in enumerate(v)]
-    odd = [(5000, None), (5001, []), (5002, [0.0] * 8), (5003, [float("nan")] * 8), (5004, [1.0, None, 0, 0, 0, 0, 0, 0]), (5005, [float("inf")] * 8), (5006, [1.0, 2.0]), (5007, [2.0, 4.0]), (None, v[0])]
+    odd = [(5000, None), (5001, []), (5002, [0.0] * 8), (5003, [float("nan")] * 8), (5004, [1.0, None, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]), (5005, [float("inf")] * 8), (5006, [1.0, 2.0]), (5007, [2.0, 4.0]), (None, v[0])]
     monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 40)
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumn("size", F.lit(1)).withColumn("rep", F.lit(2))
