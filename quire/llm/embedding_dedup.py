@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import cut, ready
 from .components import components
 
-FIT_ROWS, CELL_ROWS, CELLS, BLOCK = 8192, 512, 1024, 1024
+FIT_ROWS, CELL_ROWS, CELLS, BLOCK = 8192, 4096, 1024, 1024
 """Rows that the centroids are fitted on at most, rows a cell aimed at, cells at most, rows of a block."""
 
 
@@ -47,15 +47,13 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _forest(linked: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """For each row the smallest name in its component of the symmetric matrix (itself included)."""
-    label = names.copy()
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n rows the first row of its component; (a, b) are the links, both ways."""
+    label = np.arange(n)
     while True:
-        least = np.where(linked, label[None, :], np.iinfo(np.int64).max).min(axis=1)
-        new = np.minimum(label, least)
-        at = np.searchsorted(names, new) if np.all(names[:-1] <= names[1:]) else None
-        if at is not None:
-            new = np.minimum(new, label[at])
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        new = np.minimum(new, new[new])
         if (new == label).all():
             return label
         label = new
@@ -64,18 +62,22 @@ def _forest(linked: np.ndarray, names: np.ndarray) -> np.ndarray:
 def _compare(threshold: float):
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("rep")
-        n = group.num_rows
         reps, sizes, side = (group.column(c).to_numpy() for c in ("rep", "size", "side"))
-        unit = _unit(_matrix(group.column("vector"), n))
-        linked = unit @ unit.T >= threshold
-        np.fill_diagonal(linked, False)
+        unit = np.frombuffer(b"".join(group.column("vector").to_pylist()), np.float64).reshape(len(reps), -1)
         kind, i, j = (group.column(c)[0].as_py() for c in ("kind", "i", "j"))
         if kind or i != j:
-            linked &= side[:, None] != side[None, :]
-        links = linked @ sizes.astype(np.float64)
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            x, y = np.nonzero(unit[left] @ unit[right].T >= threshold)
+            x, y = left[x], right[y]
+            a, b = np.concatenate([x, y]), np.concatenate([y, x])
+        else:
+            a, b = np.nonzero(unit @ unit.T >= threshold)
+            a, b = a[a != b], b[a != b]
+        links = np.zeros(len(reps), np.int64)
+        np.add.at(links, a, sizes[b])
         has = np.flatnonzero(links)
-        root = _forest(linked, reps)
-        return pa.table({"rep": pa.array(reps[has], pa.int64()), "links": pa.array(np.rint(links[has]).astype(np.int64)), "root": pa.array(root[has], pa.int64())})
+        root = _forest(a, b, len(reps)) if len(has) else has
+        return pa.table({"rep": pa.array(reps[has], pa.int64()), "links": pa.array(links[has], pa.int64()), "root": pa.array(reps[root[has]] if len(has) else [], pa.int64())})
 
     return run
 
@@ -108,25 +110,25 @@ def near_embeddings(df: DataFrame, key: str = "vec_id", vector: str = "embedding
             for begin in range(0, batch.num_rows, 2048):
                 part = batch.slice(begin, 2048)
                 sizes = part.column(part.schema.get_field_index("width")).to_numpy()
-                cell, row = [], []
-                usual = np.flatnonzero(sizes == width)
-                if len(usual):
-                    unit = _unit(_matrix(part.column(0).take(pa.array(usual)), len(usual)))
+                cells_, rows_, sides, bodies = [], [], [], []
+                for n in np.unique(sizes):
+                    row = np.flatnonzero(sizes == n)
+                    unit = _unit(_matrix(part.column(0).take(pa.array(row)), len(row)))
+                    bodies += zip(row, np.split(np.frombuffer(unit.tobytes(), np.uint8), len(row)), strict=True)
+                    if n != width:  # a cell for each other length
+                        cells_, rows_, sides = [*cells_, np.full(len(row), -n)], [*rows_, row], [*sides, np.zeros(len(row))]
+                        continue
                     near = unit @ centroids.T
                     home = near.argmax(axis=1)
                     margin = near.max(axis=1)[:, None] - near
-                    visits = (margin <= gaps[home] * reach + 1e-9) & (np.arange(len(centroids)) > home[:, None])
-                    a, b = np.nonzero(visits)
-                    cell, row = [home, b], [usual, usual[a]]
-                    side = [np.zeros(len(usual), np.int32), np.ones(len(a), np.int32)]
-                else:
-                    side = []
-                odd = np.flatnonzero(sizes != width)
-                cell, row, side = np.concatenate([*cell, -sizes[odd].astype(np.int64)]), np.concatenate([*row, odd]).astype(np.int64), np.concatenate([*side, np.zeros(len(odd), np.int32)])
+                    a, b = np.nonzero((margin <= gaps[home] * reach + 1e-9) & (np.arange(len(centroids)) > home[:, None]))
+                    cells_, rows_, sides = [*cells_, home, b], [*rows_, row, row[a]], [*sides, np.zeros(len(row)), np.ones(len(a))]
+                cell, row, side = np.concatenate(cells_).astype(np.int64), np.concatenate(rows_), np.concatenate(sides).astype(np.int32)
+                body = pa.array([x.tobytes() for _, x in sorted(bodies, key=lambda x: x[0])], pa.binary())
                 taken = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(side, pa.int32()), *(taken.column(taken.schema.get_field_index(c)) for c in ("rep", "size", "vector"))], names=["cell", "side", "rep", "size", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(side), *(taken.column(taken.schema.get_field_index(c)) for c in ("rep", "size")), body.take(pa.array(row))], names=["cell", "side", "rep", "size", "vector"])
 
-    placed = cut(classes.select("vector", "rep", "size", "width").mapInArrow(place, "cell long, side int, rep long, size long, vector array<double>"), "cells")
+    placed = cut(classes.select("vector", "rep", "size", "width").mapInArrow(place, "cell long, side int, rep long, size long, vector binary"), "cells")
     counts = placed.groupBy("cell").agg(F.ceil(F.count_if(F.col("side") == 0) / BLOCK).cast("int").alias("hb"), F.ceil(F.count_if(F.col("side") == 1) / BLOCK).cast("int").alias("vb"))
     own = F.pmod(F.xxhash64("rep"), F.when(F.col("side") == 0, F.col("hb")).otherwise(F.col("vb"))).cast("int")
     # The rows of two blocks meet in one place, on different sides; a block meets itself in (i, i).
