@@ -77,7 +77,10 @@ def fit(df: DataFrame, text: str, label: str, rows: int = FIT_ROWS) -> TextModel
     """A model of the labels of at most `rows` rows of df. Their counts, at most one row a language and bucket, come to the driver."""
     ready(df)
     labelled = df.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label")).where("text is not null and label is not null")
-    sample = labelled.orderBy(F.xxhash64("text"), "label").limit(rows)
+    # The sample is the texts with the smallest hashes. Only hashes meet in one task; equal texts count once.
+    hashed = labelled.withColumn("h", F.xxhash64("text"))
+    bound = hashed.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    sample = hashed.where(F.col("h") <= F.lit(bound).cast("long")).groupBy("h", "text").agg(F.min("label").alias("label")).select("text", "label")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
