@@ -2,7 +2,8 @@
 
 Every passage of every document (overlapping windows of words) is a query; all items whose score reaches a share of their
 score for their own text are retrieved, and a hit stands if the document repeats enough of the item's question and
-of its answer. Posting weights are divided by the item's own score, so one threshold serves all items. Whole batches
+of its answer. An item longer than a passage is also indexed in pieces that fit in one wherever they begin, and any piece
+retrieves it. Posting weights are divided by the own score of the item or piece, so one threshold serves all. Whole batches
 of passages are first held against WAND's upper bounds at once; only those that could reach the threshold are searched.
 The index is cut into slices of bounded size, so a large benchmark means more passes, not a larger broadcast.
 """
@@ -43,14 +44,22 @@ def question_and_answer(text: str | None) -> tuple[list[str], list[str]]:
     return whole[: len(whole) - answer], whole[len(whole) - answer :]
 
 
+def pieces(whole: list[str]) -> list[list[str]]:
+    """The words of an item of more than PASSAGE words in even runs; each is inside some passage of a text that holds it. None for shorter items, as two passages cover them, so one has half of their score."""
+    count = -(-len(whole) // min(STRIDE, PASSAGE - STRIDE)) if len(whole) > PASSAGE else 0
+    return [whole[len(whole) * k // count : len(whole) * (k + 1) // count] for k in range(count)]
+
+
 class Index:
-    """Postings of items with block maxima. Items are numbered in the order given."""
+    """Postings of units with block maxima. Units are the items in the order given, then the pieces of long items; owner has each unit's item."""
 
     def __init__(self, items: list[tuple[int, str]], count: int, mean: float, documents: dict[str, int]) -> None:
         """count, mean and documents (items that hold a word) are those of all items, whatever the slice."""
         self.ids = [i for i, _ in items]
         self.parts = [question_and_answer(t) for _, t in items]
-        bags = [Counter(q + a) for q, a in self.parts]
+        cut = [(k, piece) for k, (q, a) in enumerate(self.parts) for piece in pieces(q + a)]
+        self.owner = [*range(len(items)), *(k for k, _ in cut)]
+        bags = [*(Counter(q + a) for q, a in self.parts), *(Counter(piece) for _, piece in cut)]
         idf = {t: math.log(1 + (count - n + 0.5) / (n + 0.5)) for t, n in documents.items()}
         postings: dict[str, list[tuple[int, float]]] = {}
         for k, bag in enumerate(bags):
@@ -69,26 +78,26 @@ class Index:
 
     @cached_property
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Postings one after another: where each term's begin, their items, their weights."""
+        """Postings one after another: where each term's begin, their units, their weights."""
         first = np.concatenate([[0], np.cumsum([len(ks) for ks, _ in self.lists])]).astype(np.int64)
         return first, np.array([k for ks, _ in self.lists for k in ks], np.int64), np.array([w for _, ws in self.lists for w in ws])
 
     @cached_property
     def essential(self) -> tuple[np.ndarray, np.ndarray]:
-        """Per posting: whether it is essential to its item; per item: what the others can give together.
+        """Per posting: whether it is essential to its unit; per unit: what the others can give together.
 
-        An item's other terms are its most common ones (by posting list), as long as they give less than half of SHARE.
+        A unit's other terms are its most common ones (by posting list), as long as they give less than half of SHARE.
         """
         first, item, weight = self.pairs
         spread = np.repeat(np.diff(first), np.diff(first))
         order = np.lexsort((weight, -spread, item))
         sums = np.cumsum(weight[order])
-        begin = np.searchsorted(item[order], np.arange(len(self.ids)))
+        begin = np.searchsorted(item[order], np.arange(len(self.owner)))
         before = np.concatenate([[0], sums])[begin]
         inside = sums - before[item[order]]
         other = np.zeros(len(item), bool)
         other[order] = inside < SHARE / 2
-        rest = np.bincount(item[other], weight[other], minlength=len(self.ids)) if len(item) else np.zeros(len(self.ids))
+        rest = np.bincount(item[other], weight[other], minlength=len(self.owner)) if len(item) else np.zeros(len(self.owner))
         return ~other, rest
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
@@ -99,7 +108,7 @@ class Index:
         return np.where(self.keys[at] == hashes, self.numbers[at], -1)
 
     def possible(self, passage: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
-        """Which of n passages can reach SHARE for some item: the essential terms' weights plus all that the others could add."""
+        """Which of n passages can reach SHARE for some unit: the essential terms' weights plus all that the others could add."""
         out = np.zeros(n, bool)
         if not len(term):
             return out
@@ -110,13 +119,13 @@ class Index:
         posting = np.repeat(first[term] - edges[:-1], sizes) + np.arange(edges[-1])
         owner = np.repeat(passage, sizes)
         good = keep[posting]
-        key, place = np.unique(owner[good] * len(self.ids) + item[posting[good]], return_inverse=True)
-        total = np.bincount(place, weight[posting[good]], minlength=len(key)) + rest[key % len(self.ids)]
-        out[key[total >= SHARE - 1e-9] // len(self.ids)] = True
+        key, place = np.unique(owner[good] * len(self.owner) + item[posting[good]], return_inverse=True)
+        total = np.bincount(place, weight[posting[good]], minlength=len(key)) + rest[key % len(self.owner)]
+        out[key[total >= SHARE - 1e-9] // len(self.owner)] = True
         return out
 
     def search(self, terms: list[int], least: float = SHARE) -> list[tuple[int, float]]:
-        """All (item, score) with score >= least for a set of terms, by block-max WAND."""
+        """All (unit, score) with score >= least for a set of terms, by block-max WAND."""
         least -= 1e-9
         cursors = [[self.lists[t][0][0], 0, t] for t in set(terms)]
         found = []
@@ -190,7 +199,7 @@ def _indexes(items: DataFrame, key: str, text: str) -> Iterator[Index]:
 def find_leaks(df: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", hits: str = "hits", chunk_bytes: int = 1 << 21) -> DataFrame:
     """df with `hits`: an array of (item_id, score, question_overlap, answer_overlap, first_word) by item, empty for clean rows.
 
-    score is the best of the document's passages. Words are runs of [0-9a-z] and non-ASCII characters after lower-casing A-Z.
+    score is the best of the document's passages, for items of more than PASSAGE words that of their best piece. Words are runs of [0-9a-z] and non-ASCII characters after lower-casing A-Z.
     Null and empty texts have no hits; items without words or with a null key match nothing; repeated items each match.
     Other columns pass through; if `hits` is taken, it gets an underscore. Empty tables of either kind are fine.
     """
@@ -238,7 +247,8 @@ def find_leaks(df: DataFrame, items: DataFrame, text: str = "text", item_key: st
                     found: dict[int, dict[int, tuple[float, int]]] = {}
                     for p in np.flatnonzero(index.possible(passage, term, n)):
                         d = int(np.searchsorted(base, p, side="right") - 1)
-                        for item, score in index.search(term[edges[p] : edges[p + 1]].tolist()):
+                        for unit, score in index.search(term[edges[p] : edges[p + 1]].tolist()):
+                            item = index.owner[unit]
                             old = found.setdefault(d, {}).get(item)
                             if old is None or score > old[0]:
                                 found[d][item] = (score, int(p - base[d]) * STRIDE)

@@ -240,6 +240,18 @@ def test_leaks(spark, docs):
     assert decontaminate.find_leaks(frame(spark, docs), bench.where("false")).where("size(hits) > 0").count() == 0
 
 
+def test_long_items(spark, docs):
+    rng = random.Random(3)
+    items = [(n, " ".join(f"w{int(rng.paretovariate(0.4)) % 20_000}" for _ in range(n)) + ".") for n in (33, 64, 65, 66, 96, 97, 112, 150, 187, 299, 300, 1000)]
+    items = [(n, t[: len(t) // 2] + ". " + t[len(t) // 2 :]) for n, t in items]
+    rows = docs[:50] + [(100_000 * gap + n, "zz " * gap + t + " yy" * 90) for n, t in items for gap in (1, 16, 17, 31, 32, 33)]
+    # Every eighth word is another one: about 0.64 of the 3-grams stay.
+    rows += [(900_000 + n, "zz " * 40 + " ".join("changed" if k % 8 == 5 and k < n - 3 else w for k, w in enumerate(t.split()))) for n, t in items]
+    found = {(r.doc_id, h.item_id) for r in decontaminate.find_leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect() for h in r.hits}
+    assert {(100_000 * gap + n, n) for n, _ in items for gap in (1, 16, 17, 31, 32, 33)} <= found
+    assert found == brute.leaks(rows, items)
+
+
 def test_slices_of_the_index(spark, docs, monkeypatch):
     monkeypatch.setattr(decontaminate, "SLICE_BYTES", 1500)
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
