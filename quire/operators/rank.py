@@ -89,7 +89,7 @@ def boost(results: DataFrame, rules: Iterable[tuple[Column, float]]) -> DataFram
     return rerank(results.withColumn("final", F.col("final") + bonus))
 
 
-def diversify(results: DataFrame, top_k: int, per_file: int = 2) -> DataFrame:
+def diversify(results: DataFrame, top_k: int | Column, per_file: int = 2) -> DataFrame:
     """At most per_file chunks of a file, in rank order; if these are fewer than top_k, the others follow in rank order."""
     place = F.row_number().over(Window.partitionBy("qid", "file").orderBy("rank"))
     over = results.withColumn("_over", place > per_file)
@@ -97,19 +97,19 @@ def diversify(results: DataFrame, top_k: int, per_file: int = 2) -> DataFrame:
     return again.where(F.col("rank") <= top_k).drop("_over")
 
 
-def top(results: DataFrame, k: int) -> DataFrame:
+def top(results: DataFrame, k: int | Column) -> DataFrame:
     return results.where(F.col("rank") <= k)
 
 
-def apply_order(results: DataFrame, orders: DataFrame, top_k: int, window: int | None = None, config: RetrievalConfig = _DEFAULT) -> DataFrame:
+def apply_order(results: DataFrame, orders: DataFrame, top_k: int | Column, window: int | None = None, config: RetrievalConfig = _DEFAULT) -> DataFrame:
     """Applies a judge's order (orders: qid, ranking array<int> of 1-based ranks) to the first `window` results.
 
     Chosen ranks come first, each with 0.30 over its place as a bonus; the others follow in order. Repeated, out-of-range and
     missing ranks do nothing. Questions with no more than top_k results, no order, or no valid rank stay as they are.
     """
-    wide = max(top_k, window or config.rerank_window)
+    wide = F.greatest(F.lit(top_k), F.lit(window or config.rerank_window))
     rows = results.withColumn("_n", F.count("*").over(Window.partitionBy("qid")))
-    size = F.least(F.col("_n"), F.lit(wide))
+    size = F.least(F.col("_n"), wide)
     rows = rows.join(orders, "qid", "left").withColumn("_order", F.array_distinct(F.filter(F.coalesce("ranking", F.array().cast("array<int>")), lambda x: (x >= 1) & (x <= size))))
     place = F.when((F.col("_n") > top_k) & (F.col("rank") <= size), F.array_position("_order", F.col("rank"))).otherwise(F.lit(0))
     rows = rows.withColumn("_place", place)
@@ -119,9 +119,9 @@ def apply_order(results: DataFrame, orders: DataFrame, top_k: int, window: int |
     return rows.withColumn("rank", F.row_number().over(order)).drop("_n", "_order", "_place", "ranking")
 
 
-def apply_cross_scores(results: DataFrame, scores: DataFrame, top_k: int, window: int | None = None, config: RetrievalConfig = _DEFAULT) -> DataFrame:
+def apply_cross_scores(results: DataFrame, scores: DataFrame, top_k: int | Column, window: int | None = None, config: RetrievalConfig = _DEFAULT) -> DataFrame:
     """Adds a cross-encoder's scores (qid, chunk_id, cross) within the first `window` results, and ranks these anew; the tail keeps its order, and rows without a score stay in."""
-    wide = max(top_k, window or config.cross_window)
+    wide = F.greatest(F.lit(top_k), F.lit(window or config.cross_window))
     rows = results.join(scores, ["qid", "chunk_id"], "left").withColumn("_n", F.count("*").over(Window.partitionBy("qid")))
     inside = (F.col("_n") > top_k) & (F.col("rank") <= wide)
     rows = rows.withColumn("final", F.when(inside, F.col("final") + F.coalesce("cross", F.lit(0.0))).otherwise(F.col("final")))

@@ -86,29 +86,42 @@ def search(
     boosts: Callable[[DataFrame], DataFrame] | None = None,
     rerankers: tuple[Callable[[DataFrame], DataFrame], ...] = (),
     per_file: int | None = None,
+    adapt: bool = True,
+    inventory: Column | None = None,
+    focus: str | None = None,
 ) -> SearchResult:
-    """The chain for a batch: variants, vector search per variant, fusion, BM25 on the candidates, hybrid score, threshold, technical filter, boosts, rerankers, diversification, top k.
+    """The chain for a batch: adaptive parameters, variants, vector search per variant, fusion, BM25 on the candidates, hybrid score, threshold, technical filter, boosts, rerankers, diversification, top k.
 
     questions: qid, question. chunks: chunk columns and `embedding`. embed: variants to (qid, variant_pos, embedding).
     With an active filter, every chunk that passes is a candidate; it is applied at the scan, below the ranking.
+    adapt: each question has its own top_k, candidate_k and min_score (see adaptive, which gets `inventory`); without it all
+    have the config's. Boosts and rerankers see them as columns. focus: a column of questions with the lower-case terms of
+    files that technical questions are narrowed to.
     """
-    wide = max(config.top_k, config.candidate_k)
+    fixed = {"top_k": config.top_k, "candidate_k": max(config.top_k, config.candidate_k), "min_score": config.min_score}
+    asked = adaptive(questions, config, inventory).drop("branch") if adapt else questions.withColumns({c: F.lit(v) for c, v in fixed.items()})
     found = variants(questions, rules, rewrite)
-    pool = chunks.where(where.column()) if where and where.active() else chunks
-    k = pool.count() if where and where.active() else wide
-    hits = vector_topk(pool, embed(found), max(1, k))
+    if where and where.active():
+        pool = chunks.where(where.column())
+        hits = vector_topk(pool, embed(found), max(1, pool.count()))
+    else:
+        pool = chunks
+        # One search as wide as the widest question needs; the others keep their own first hits.
+        wide = asked.agg(F.max("candidate_k")).first()[0] if adapt else fixed["candidate_k"]
+        hits = vector_topk(pool, embed(found), max(1, wide or 1))
+        hits = hits.join(asked.select("qid", "candidate_k"), "qid").where(F.col("hit_rank") <= F.col("candidate_k")).drop("candidate_k") if adapt else hits
     fused = fuse(hits, config)
     candidates = fused.join(pool.drop("embedding"), "chunk_id")
     scored = hybrid(bm25_candidates(candidates, labelled_text(found), config=config, texts=pool), config)
-    rows = scored.where(F.round("final", 9) >= config.min_score).join(questions, "qid")
-    rows = technical_filter(rows, asks_technical("question"))
+    rows = scored.join(asked, "qid").where(F.round("final", 9) >= F.col("min_score"))
+    rows = technical_filter(rows, asks_technical("question"), focus=focus)
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
     if boosts:
         rows = boosts(rows)
     for apply in rerankers:
         rows = apply(rows)
-    rows = diversify(rows, config.top_k, per_file) if per_file else top(rows, config.top_k)
-    return SearchResult(rows, scored, found)
+    rows = diversify(rows, F.col("top_k"), per_file) if per_file else top(rows, F.col("top_k"))
+    return SearchResult(rows.drop(*fixed), scored, found)
 
 
 def trace(found: SearchResult) -> DataFrame:

@@ -79,6 +79,34 @@ def test_adaptive(spark):
     assert [(r.branch, r.top_k, r.candidate_k, r.min_score) for r in found] == [("portfolio", 12, 160, 0.0), ("technical", 8, 120, 0.0), ("synthesis", 10, 120, 0.05), ("standard", 8, 80, 0.1)]
 
 
+def test_search_adapts(spark):
+    n = 200
+    chunks = spark.createDataFrame([(i, f"{i} watt" if i % 4 else "plain", f"F{i % 3}.pdf", 1, i, "pdf", "", [1.0 - 2 * i / n, 0.0]) for i in range(n)], "chunk_id long, text string, file string, page int, ordinal int, source_type string, url string, embedding array<double>")
+    asked = spark.createDataFrame([(1, "toutes les capacités", None), (2, "combien de watts", ["f1"]), (3, "une synthese", None), (4, "hello", None), (5, "dimensions", None)], "qid int, question string, terms array<string>")
+    embed = lambda v: v.select("qid", "variant_pos", F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
+    rules = spark.createDataFrame([], plans.RULE_SCHEMA)
+    seen = {}
+
+    def count(rows):
+        seen.update({r.qid: r.n for r in rows.groupBy("qid").agg(F.count("*").alias("n")).collect()})
+        return rank.apply_order(rows, spark.createDataFrame([(4, [9])], "qid int, ranking array<int>"), F.col("top_k"))
+
+    out = plans.search(asked, chunks, embed, rules, rerankers=(count,), focus="terms")
+    assert {r.qid: r.n for r in out.candidates.groupBy("qid").agg(F.count("*").alias("n")).collect()} == {1: 160, 2: 120, 3: 120, 4: 80, 5: 120}
+    rows = out.results.orderBy("qid", "rank").collect()
+    assert {q: sum(r.qid == q for r in rows) for q in range(1, 6)} == {1: 12, 2: 8, 3: 10, 4: 8, 5: 8}
+    assert {r.file for r in rows if r.qid == 2} == {"F1.pdf"} and {r.file for r in rows if r.qid == 5} > {"F1.pdf"}
+    assert next(r.chunk_id for r in rows if r.qid == 4) == 8
+    assert not {"top_k", "candidate_k", "min_score", "branch"} & set(out.results.columns)
+    # Scores are 0.7 (1 - 2 i / n): 0.05 is reached up to 92, and 0 up to 100, where every fourth chunk has no value.
+    assert seen[3] == 93 and seen[4] == 80 and seen[5] == 101 - 26
+    fixed = plans.search(asked, chunks, embed, rules, adapt=False)
+    assert {r.n for r in fixed.candidates.groupBy("qid").agg(F.count("*").alias("n")).collect()} == {80}
+    assert {r.n for r in fixed.results.groupBy("qid").agg(F.count("*").alias("n")).collect()} == {8}
+    only = plans.search(asked.where("qid >= 4"), chunks, embed, rules, where=rank.MetadataFilter(files=frozenset({"F0.pdf"})))
+    assert {r.n for r in only.candidates.groupBy("qid").agg(F.count("*").alias("n")).collect()} == {67}
+
+
 def test_variants(spark):
     rules = spark.createDataFrame([("p", 0, "extra words", ["cat"], []), ("p", 1, "never", ["cat"], ["dog"]), ("p", 2, "no terms", [], [])], plans.RULE_SCHEMA)
     asked = spark.createDataFrame([(1, "The cat"), (2, "nothing")], "qid int, question string")
