@@ -42,10 +42,17 @@ def family(identifier: str) -> str:
 
 def postfix(text: str) -> list[str]:
     """An expression in postfix order by the shunting-yard method; reads as far as the text is an expression."""
+    return _parse(text)[0]
+
+
+def _parse(text: str) -> tuple[list[str], bool]:
+    """The postfix order, and whether text that is added at the end could change it."""
+    more = True
     out: list[str] = []
     stack: list[str] = []
     operand = True
-    for token in _WORD.findall(text):
+    for found in _WORD.finditer(text):
+        token, more = found.group(), found.end() == len(text)
         low = token.lower()
         if operand and token == "(":
             stack.append(token)
@@ -65,9 +72,22 @@ def postfix(text: str) -> list[str]:
             stack.pop()
         else:
             break
+    else:
+        more = True
     if operand and stack and stack[-1] in _RANK:
         stack.pop()  # a dangling operator
-    return out + [x for x in reversed(stack) if x != "("]
+    return out + [x for x in reversed(stack) if x != "("], more
+
+
+def expression(text: bytes, begin: int) -> list[str]:
+    """The expression from a place to the end of its line, in postfix order; decodes no more than about twice what it needs."""
+    end, size = text.find(b"\n", begin), 4096
+    end = len(text) if end < 0 else end
+    while True:
+        tokens, more = _parse(text[begin : min(end, begin + size)].decode("utf-8", "replace"))
+        if not more or begin + size >= end:
+            return tokens
+        size *= 2
 
 
 def evaluate(tokens: list[str]) -> tuple[set[str], float | None]:
@@ -82,7 +102,9 @@ def evaluate(tokens: list[str]) -> tuple[set[str], float | None]:
             if t == "with":
                 stack.append((a, None if x is None else max(0, x - 1)))
             else:
-                stack.append((a | b, (max if t == "and" else min)(known) if known else None))
+                a, b = (a, b) if len(a) >= len(b) else (b, a)
+                a |= b
+                stack.append((a, (max if t == "and" else min)(known) if known else None))
     labels = set().union(*(s for s, _ in stack))
     return labels, stack[-1][1] if stack else None
 
@@ -117,8 +139,7 @@ def scan(text: bytes) -> tuple:
             base.add(label)
     expressions, strict = [], None
     for end, _ in tags.iter(text.lower().decode("latin-1")) if b"SPDX" in text or b"spdx" in text.lower() else ():
-        rest = text[end + 1 : end + 1 + 4096].split(b"\n")[0].decode("utf-8", "replace")
-        tokens = postfix(rest)
+        tokens = expression(text, end + 1)
         found, level = evaluate(tokens)
         if tokens:
             labels |= found

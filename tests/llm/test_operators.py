@@ -341,6 +341,18 @@ def test_token_counts(spark, docs):
 # 9 licences
 
 
+def test_long_license_expressions():
+    names = [f"Licence-{k}" for k in range(3000)]
+    for n in (370, 371, 372, 373, 374, 3000):
+        text = ("x SPDX-License-Identifier: " + " OR ".join(names[:n]) + "\nMIT").encode()
+        assert license_scan.scan(text)[5] == ",".join(sorted(x.lower() for x in names[:n]))
+        assert license_scan.scan(text)[7] == [" ".join(license_scan.postfix(" OR ".join(names[:n])))]
+    for blanks in (*range(4080, 4100), 20_000):
+        assert license_scan.scan(b"SPDX-License-Identifier:" + b" " * blanks + b"MIT OR GPL-2.0. AND BSD\n")[5] == "gpl,mit"
+        assert license_scan.scan("SPDX-License-Identifier:".encode() + b" " * blanks + "MIT é ISC".encode())[5] == "mit"
+    assert license_scan.scan(b"SPDX-License-Identifier:" + b" " * 5000 + b"\nMIT")[5] == ""
+
+
 def test_licenses(spark, docs):
     rows = docs + odd_rows() + [(1, "MIT   License mit-license CC\nBY-NC; gnu General PUBLIC license."), (2, "SPDX-License-Identifier: MIT OR (GPL-2.0-only AND BSD-3-Clause)\nx"), (None, "Apache License")]
     df = frame(spark, rows).withColumn("labels", F.lit("x")).withColumn("score", F.lit(1))
