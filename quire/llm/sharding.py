@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from .common import free_name, ready
 
 BUNDLES = 8192
-"""Bundles of small groups at most. A large group has more than 1/BUNDLES of all bytes, so there are fewer than BUNDLES."""
+"""Bundles of small groups; with a capacity, SHARE a shard if these are more. A large group has more than its share of all bytes, so there are fewer of them than bundles."""
+SHARE = 64
+"""Bundles that a shard of fixed capacity is filled with at least, on average."""
 
 
 class Rooms:
@@ -102,13 +104,12 @@ def shard(df: DataFrame, shards: int | None = 40, capacity: int | None = None, k
     groups = sized.groupBy(group).agg(F.sum(size).alias("bytes"), F.count("*").alias("rows"))
     total = groups.agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).first()
     whole, rows = total["bytes"] or 0, total["rows"] or 0
-    unit = max(1, (whole if capacity is None else min(whole, BUNDLES // 64 * capacity)) // BUNDLES)
-    if capacity is not None and whole > BUNDLES // 64 * capacity:
-        raise ValueError(f"a capacity of {capacity} bytes makes more than {BUNDLES // 64} shards; shard in rounds: by `shards` first")
+    bundles = BUNDLES if capacity is None else max(BUNDLES, SHARE * -(-whole // capacity))
+    unit = max(1, whole // bundles)
     large = groups.where(F.col("bytes") > unit).select(F.col(group).alias("g"), "bytes").orderBy(F.desc("bytes"), "g").collect()
     names = [r["g"] for r in large]
     lone = spark.createDataFrame([(r["g"], k) for k, r in enumerate(large)], f"`{group}` long, `{alone}` int")
-    bundle = (F.pmod(group, F.lit(BUNDLES)) + len(names)).cast("int")
+    bundle = (F.pmod(group, F.lit(bundles)) + len(names)).cast("int")
     numbered = groups.join(F.broadcast(lone), group, "left").withColumn(item, F.coalesce(alone, bundle))
     items = sorted((r[item], r["bytes"]) for r in numbered.groupBy(item).agg(F.sum("bytes").alias("bytes")).collect())
     sizes = [b for _, b in items]

@@ -224,6 +224,18 @@ def test_rooms(sizes):
             plain.append((n, k))
 
 
+def test_many_shards_of_a_capacity(spark):
+    rng = random.Random(5)
+    rows = [(k, f"{k} " + "x" * rng.randrange(200)) for k in range(4000)]
+    got = sharding.shard(frame(spark, rows), shards=None, capacity=1500).collect()
+    assert sorted(r.doc_id for r in got) == list(range(4000))
+    filled = Counter()
+    for r in got:
+        filled[r.shard] += r.size
+    least = -(-sum(filled.values()) // 1500)
+    assert 128 < least <= len(filled) <= 1.05 * least and max(filled.values()) <= 1500
+
+
 # 5 decontamination
 
 
