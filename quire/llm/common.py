@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_BATCH_BYTES, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+"""Rows cross to Python a few megabytes at a time, unless the user has set another size than Spark's own."""
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -28,6 +33,8 @@ def ready(df: DataFrame) -> SparkSession:
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.addPyFile(shutil.make_archive(f"{folder}/{root.name}_library", "zip", root.parent, root.name))
         context._quire_sent = True
+    if spark.conf.get(_BATCH_BYTES) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_BYTES, "4m")
     return spark
 
 
@@ -53,7 +60,16 @@ def cut(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, label)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quire_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete cut tables that nothing reads any more."""
+    for df in tables:
+        _remove(df.sparkSession, df._quire_path)
+        _written.remove((df.sparkSession, df._quire_path))
 
 
 def release(spark: SparkSession) -> None:
@@ -68,6 +84,38 @@ def _remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_held: dict[str, object] = {}
+
+
+def trim() -> None:
+    """Give freed memory of this Python process back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps what it has
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def kept(name: str, make: Callable[[], object]):
+    """What a worker keeps from task to task under `name`. Another name's things go first: workers outlive operators, and keep those of one only."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
+def lean(run: Callable) -> Callable:
+    """A mapInArrow function that leaves no freed memory behind when its task ends."""
+
+    @wraps(run)
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            trim()
+
+    return trimmed
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def _ordered(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -18,9 +18,9 @@ def _ordered(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def _is_forest(edges: DataFrame) -> bool:
     """Whether each node b has one edge, to a node that is no b itself."""
-    if edges.groupBy("b").count().where("count > 1").limit(1).count():
-        return False
-    return not edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count()
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("low")), F.struct(F.col("b").alias("node"), F.lit(1).alias("low")))).alias("e")).select("e.*")
+    nodes = ends.groupBy("node").agg(F.sum("low").alias("low"), F.count("*").alias("all"))
+    return not nodes.where("low > 1 or (low = 1 and all > 1)").limit(1).count()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -35,6 +35,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b").alias("b")))).alias("e")).select("e.a", "e.b")
-        edges = cut(_ordered(small, "a", "b"), "links")
+        before, edges = edges, cut(_ordered(small, "a", "b"), "links")
+        discard(before)
     tops = edges.select(F.col("a").alias("node")).distinct()
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionAll(tops.select("node", F.col("node").alias("component")))

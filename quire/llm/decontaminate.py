@@ -5,7 +5,7 @@ score for their own text are retrieved, and a hit stands if the document repeats
 of its answer. An item longer than a passage is also indexed in pieces that fit in one wherever they begin, and any piece
 retrieves it. Posting weights are divided by the own score of the item or piece, so one threshold serves all. Whole batches
 of passages are first held against WAND's upper bounds at once; only those that could reach the threshold are searched.
-The index is cut into slices of bounded size, so a large benchmark means more passes, not a larger broadcast.
+The index is cut into slices of bounded size. A worker holds one slice at a time, and documents meet slice after slice.
 """
 
 from __future__ import annotations
@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import free_name, ready, slices
+from .common import free_name, lean, ready, slices
 
 K1, B = 1.2, 0.75
 PASSAGE, STRIDE, SHARE, OVERLAP, GRAM = 64, 32, 0.5, 0.6, 3
 """Words of a passage, words between passages, share of an item's own score to retrieve it, overlap of question and of answer, words of a compared n-gram."""
-SLICE_BYTES, BLOCK = 16 << 20, 64
-"""Item text that one index holds at most, postings of a block."""
+SLICE_BYTES, BLOCK, HELD_BYTES = 4 << 20, 64, 32 << 20
+"""Item text that one index holds at most, postings of a block, document text that is held while it meets one index after another."""
 
 
 def words(text: str | None) -> list[str]:
@@ -196,72 +196,90 @@ def _indexes(items: DataFrame, key: str, text: str) -> Iterator[Index]:
         yield Index(sorted((r["id"], r["text"]) for r in mine.where("id is not null").select("id", "text").collect()), total["n"], total["mean"], {r["t"]: r["n"] for r in terms})
 
 
-def find_leaks(df: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", hits: str = "hits", chunk_bytes: int = 1 << 21) -> DataFrame:
+def find_leaks(df: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", hits: str = "hits", chunk_bytes: int = 1 << 20) -> DataFrame:
     """df with `hits`: an array of (item_id, score, question_overlap, answer_overlap, first_word) by item, empty for clean rows.
 
     score is the best of the document's passages, for items of more than PASSAGE words that of their best piece. Words are runs of [0-9a-z] and non-ASCII characters after lower-casing A-Z.
     Null and empty texts have no hits; items without words or with a null key match nothing; repeated items each match.
     Other columns pass through; if `hits` is taken, it gets an underscore. Empty tables of either kind are fine.
     """
-    ready(df)
+    spark = ready(df)
     name = free_name(df.columns, hits)
     hit = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double,first_word:bigint>>"
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("first_word", pa.int64())]))
     schema = df.withColumn(name, F.array().cast(hit)).schema
 
-    def look(index: Index, name: str, first: bool):
-        def verify(found: dict[int, dict[int, tuple[float, int]]], w: W.Words) -> dict[int, list]:
-            out: dict[int, list] = {}
-            for doc, by_item in found.items():
-                a, b = w.first[doc], w.first[doc + 1]
-                near = [w.buffer[x:y].decode() for x, y in zip(w.starts[a:b], w.ends[a:b], strict=True)]
-                grams: dict[int, set] = {}
-                for item, (score, at) in sorted(by_item.items()):
-                    q, ans = (overlap(p, grams, near) for p in index.parts[item])
-                    if q >= OVERLAP and ans >= OVERLAP:
-                        out.setdefault(doc, []).append({"item_id": index.ids[item], "score": score, "question_overlap": q, "answer_overlap": ans, "first_word": at})
-            return out
+    def verify(index: Index, found: dict[int, dict[int, tuple[float, int]]], w: W.Words) -> dict[int, list]:
+        out: dict[int, list] = {}
+        for doc, by_item in found.items():
+            a, b = w.first[doc], w.first[doc + 1]
+            near = [w.buffer[x:y].decode() for x, y in zip(w.starts[a:b], w.ends[a:b], strict=True)]
+            grams: dict[int, set] = {}
+            for item, (score, at) in sorted(by_item.items()):
+                q, ans = (overlap(p, grams, near) for p in index.parts[item])
+                if q >= OVERLAP and ans >= OVERLAP:
+                    out.setdefault(doc, []).append({"item_id": index.ids[item], "score": score, "question_overlap": q, "answer_overlap": ans, "first_word": at})
+        return out
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch, text, chunk_bytes):
-                    w = W.words_of(W.utf8(part.column(part.schema.get_field_index(text))), W.NOT_ALNUM)
-                    counts = w.counts()
-                    per = np.maximum(1, -(-(counts - PASSAGE) // STRIDE) + 1) * (counts > 0)
-                    base = np.concatenate([[0], np.cumsum(per)])
-                    n = int(base[-1])
-                    terms = index.lookup(w.hashes())
-                    hit_at = np.flatnonzero(terms >= 0)
-                    doc = np.searchsorted(w.first, hit_at, side="right") - 1
-                    inside = hit_at - w.first[doc]
-                    # A word is in the passages that begin at (k * STRIDE) for k in [last - PASSAGE / STRIDE + 1, last].
-                    last = inside // STRIDE
-                    spots = [(last - k) for k in range(PASSAGE // STRIDE)]
-                    pairs = [(base[doc] + s, terms[hit_at]) for s in spots]
-                    ok = [(s >= 0) & (s < per[doc]) for s in spots]
-                    passage = np.concatenate([p[g] for (p, _), g in zip(pairs, ok, strict=True)])
-                    term = np.concatenate([t[g] for (_, t), g in zip(pairs, ok, strict=True)])
-                    both = np.unique(passage * max(1, len(index.terms)) + term) if len(term) else np.zeros(0, np.int64)
-                    passage, term = both // max(1, len(index.terms)), both % max(1, len(index.terms))
-                    edges = np.searchsorted(passage, np.arange(n + 1))
-                    found: dict[int, dict[int, tuple[float, int]]] = {}
-                    for p in np.flatnonzero(index.possible(passage, term, n)):
-                        d = int(np.searchsorted(base, p, side="right") - 1)
-                        for unit, score in index.search(term[edges[p] : edges[p + 1]].tolist()):
-                            item = index.owner[unit]
-                            old = found.setdefault(d, {}).get(item)
-                            if old is None or score > old[0]:
-                                found[d][item] = (score, int(p - base[d]) * STRIDE)
-                    leaks = verify(found, w)
-                    new = [leaks.get(k, []) for k in range(part.num_rows)]
-                    columns = list(part.columns)
-                    if not first:
-                        new = [x + y for x, y in zip(columns.pop().to_pylist(), new, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(new, kind)], names=[*part.schema.names[: len(columns)], name])
-
-        return run
-
-    out, first = df, True
-    for index in _indexes(items, item_key, item_text):
-        out, first = out.mapInArrow(look(index, name, first), schema), False
-    return out.withColumn(name, F.array().cast(hit)) if first else out
+    def look(index: Index, texts: list[bytes]) -> dict[int, list]:
+        """The hits of each text that has any."""
+        w = W.words_of(texts, W.NOT_ALNUM)
+        counts = w.counts()
+        per = np.maximum(1, -(-(counts - PASSAGE) // STRIDE) + 1) * (counts > 0)
+        base = np.concatenate([[0], np.cumsum(per)])
+        n = int(base[-1])
+        terms = index.lookup(w.hashes())
+        hit_at = np.flatnonzero(terms >= 0)
+        doc = np.searchsorted(w.first, hit_at, side="right") - 1
+        # A word is in the passages that begin at (k * STRIDE) for k in [last - PASSAGE / STRIDE + 1, last].
+        last = (hit_at - w.first[doc]) // STRIDE
+        spots = [(last - k) for k in range(PASSAGE // STRIDE)]
+        pairs = [(base[doc] + s, terms[hit_at]) for s in spots]
+        ok = [(s >= 0) & (s < per[doc]) for s in spots]
+        passage = np.concatenate([p[g] for (p, _), g in zip(pairs, ok, strict=True)])
+        term = np.concatenate([t[g] for (_, t), g in zip(pairs, ok, strict=True)])
+        both = np.unique(passage * max(1, len(index.terms)) + term) if len(term) else np.zeros(0, np.int64)
+        passage, term = both // max(1, len(index.terms)), both % max(1, len(index.terms))
+        edges = np.searchsorted(passage, np.arange(n + 1))
+        found: dict[int, dict[int, tuple[float, int]]] = {}
+        for p in np.flatnonzero(index.possible(passage, term, n)):
+            d = int(np.searchsorted(base, p, side="right") - 1)
+            for unit, score in index.search(term[edges[p] : edges[p + 1]].tolist()):
+                item = index.owner[unit]
+                old = found.setdefault(d, {}).get(item)
+                if old is None or score > old[0]:
+                    found[d][item] = (score, int(p - base[d]) * STRIDE)
+        return verify(index, found, w)
+
+    slices_of = [spark.sparkContext.broadcast(index) for index in _indexes(items, item_key, item_text)]
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+        """Parts of about `chunk_bytes`: one at a time for one index, more for several."""
+        group, size = [], 0
+        for batch in batches:
+            for part in slices(batch, text, chunk_bytes):
+                group.append(part)
+                size += chunk_bytes
+                if len(slices_of) == 1 or size >= HELD_BYTES:
+                    yield group
+                    group, size = [], 0
+        if group:
+            yield group
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in held(batches):
+            texts = [W.utf8(part.column(part.schema.get_field_index(text))) for part in group]
+            hits = [[[] for _ in range(part.num_rows)] for part in group]
+            for handle in slices_of:
+                index = handle.value
+                for mine, own in zip(hits, texts, strict=True):
+                    for k, more in look(index, own).items():
+                        mine[k] += more
+                if len(slices_of) > 1:
+                    index = handle.__dict__.pop("_value", None)  # the worker keeps one slice only
+            for part, mine in zip(group, hits, strict=True):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([sorted(x, key=lambda h: h["item_id"]) for x in mine], kind)], names=[*part.schema.names, name])
+
+    if not slices_of:
+        return df.withColumn(name, F.array().cast(hit))
+    return df.mapInArrow(lean(run), schema)

@@ -1,10 +1,14 @@
 """Near-duplicates among embeddings: spherical k-means cells, blocked cosine products inside cells.
 
-Equal vectors are one class from the start. Each class belongs to the cell of its nearest centroid. For a link across two
-cells, a vector must lie within asin(sin(angle)) of the plane between the two centroids: for unit x with nearest
-centroid c, and a partner y nearest to d, x.(c - d) <= |c - d| sin(angle), where angle is that of the threshold. So x
-visits just those cells (with a larger number than its own), and no link is lost whatever the centroids are. Cells are compared block by
-block; a block pair returns, for each vector, how many it links with and one neighbour on a spanning forest, never pairs.
+Equal vectors are one class from the start. Each class belongs to the cell of its nearest centroid, and also visits each cell
+(with a larger number than its own) that a partner could belong to. For unit x with nearest centroid c and a partner
+y = cos(a) x + sin(a) z nearest to d, where a is the angle of the threshold or less and z a unit vector across x, y.(c - d) <= 0
+means x.(c - d) <= |z.(c - d)| sin(a). |z.(c - d)| is |c - d| at most, which is used for up to SPREAD^2 effective dimensions, so
+that no link is lost there whatever the vectors are. In more dimensions z is seldom along c - d: its share is about
+1 / sqrt(dimensions), and x visits the cells within SPREAD times that. Links at the very threshold can then be lost with the
+chance that a normal value exceeds SPREAD (3e-5); closer ones with a smaller one. The effective dimensions are the participation ratio of
+the sample's spectrum. Cells are compared block by block; a block pair returns, for each vector, how many it links with
+and one neighbour on a spanning forest, never pairs.
 """
 
 from __future__ import annotations
@@ -16,18 +20,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ready
+from .common import cut, discard, lean, ready, trim
 from .components import components
 
-FIT_ROWS, CELL_ROWS, CELLS, BLOCK = 8192, 4096, 1024, 1024
-"""Rows that the centroids are fitted on at most, rows a cell aimed at, cells at most, rows of a block."""
+FIT_ROWS, FIT_VALUES, CELL_ROWS, CELLS, SPREAD = 32_768, 1 << 23, 4096, 8192, 4.0
+"""Rows that the centroids are fitted on at most, and their components; rows a cell aimed at, cells at most, see above."""
+BLOCK_BYTES, TILE = 4 << 20, 1024
+"""Bytes of a block's vectors, rows multiplied at a time."""
 
 
 def spherical_kmeans(vectors: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
     """Unit centroids of unit vectors; starts from evenly spread rows. Empty cells keep their centroid."""
     centroids = vectors[np.linspace(0, len(vectors) - 1, cells).astype(int)].copy()
     for _ in range(rounds):
-        nearest = np.argmax(vectors @ centroids.T, axis=1)
+        nearest = np.concatenate([np.argmax(vectors[k : k + TILE] @ centroids.T, axis=1) for k in range(0, len(vectors), TILE)])
         sums = np.zeros_like(centroids)
         np.add.at(sums, nearest, vectors)
         norms = np.linalg.norm(sums, axis=1)
@@ -36,6 +42,12 @@ def spherical_kmeans(vectors: np.ndarray, cells: int, rounds: int = 8) -> np.nda
     return centroids
 
 
+def dimensions(vectors: np.ndarray) -> float:
+    """Effective dimensions of unit vectors: the participation ratio of their second moments' spectrum."""
+    moments = vectors.T @ vectors / max(1, len(vectors))
+    return float(np.trace(moments) ** 2 / max((moments**2).sum(), 1e-300))
+
+
 def _matrix(column, n: int) -> np.ndarray:
     values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return values.flatten().to_numpy().astype(np.float64).reshape(n, -1)
@@ -59,6 +71,12 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
+def _links(left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of left and of right whose products reach the threshold, a tile at a time."""
+    found = [np.nonzero(left[k : k + TILE] @ right.T >= threshold) for k in range(0, len(left), TILE)]
+    return np.concatenate([x + k * TILE for k, (x, _) in enumerate(found)]), np.concatenate([y for _, y in found])
+
+
 def _compare(threshold: float):
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("rep")
@@ -67,17 +85,20 @@ def _compare(threshold: float):
         kind, i, j = (group.column(c)[0].as_py() for c in ("kind", "i", "j"))
         if kind or i != j:
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            x, y = np.nonzero(unit[left] @ unit[right].T >= threshold)
-            x, y = left[x], right[y]
-            a, b = np.concatenate([x, y]), np.concatenate([y, x])
+            a = b = np.zeros(0, np.int64)
+            if len(left) and len(right):
+                x, y = _links(unit[left], unit[right], threshold)
+                a, b = np.concatenate([left[x], right[y]]), np.concatenate([right[y], left[x]])
         else:
-            a, b = np.nonzero(unit @ unit.T >= threshold)
+            a, b = _links(unit, unit, threshold)
             a, b = a[a != b], b[a != b]
         links = np.zeros(len(reps), np.int64)
         np.add.at(links, a, sizes[b])
         has = np.flatnonzero(links)
         root = _forest(a, b, len(reps)) if len(has) else has
-        return pa.table({"rep": pa.array(reps[has], pa.int64()), "links": pa.array(links[has], pa.int64()), "root": pa.array(reps[root[has]] if len(has) else [], pa.int64())})
+        out = pa.table({"rep": pa.array(reps[has], pa.int64()), "links": pa.array(links[has], pa.int64()), "root": pa.array(reps[root[has]] if len(has) else [], pa.int64())})
+        trim()
+        return out
 
     return run
 
@@ -98,11 +119,16 @@ def near_embeddings(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     classes = cut(good.groupBy("vector").agg(F.min("id").alias("rep"), F.count("*").alias("size")).withColumn("width", F.size("vector")), "vectors")
     widths = classes.groupBy("width").count().orderBy(F.desc("count"), "width").limit(1).collect()
     width, many = (widths[0]["width"], widths[0]["count"]) if widths else (0, 0)
-    sample = classes.where(F.col("width") == width).orderBy(F.xxhash64("vector", F.lit(seed)), "rep").limit(FIT_ROWS).select("vector")
-    fit = np.array([r[0] for r in sample.collect()], np.float64).reshape(-1, max(width, 1))
+    fit_rows = min(FIT_ROWS, FIT_VALUES // max(width, 1))
+    sample = classes.where(F.col("width") == width).select("vector", "rep", F.xxhash64("rep", F.lit(seed)).alias("h"))
+    # The rows with the smallest hashes; only hashes meet in one task, then at most as many vectors as are wanted.
+    bound = sample.select("h").orderBy("h").limit(fit_rows).agg(F.max("h")).first()[0]
+    fit = sample.where(F.col("h") <= F.lit(bound).cast("long")).orderBy("h", "rep").limit(fit_rows).select("vector").toArrow().column(0)
+    fit = _unit(_matrix(fit, len(fit))) if len(fit) else np.zeros((0, 1))
     cells = int(min(CELLS, max(1, many // CELL_ROWS), max(1, len(fit) // 4)))
-    centroids = spherical_kmeans(_unit(fit), cells) if len(fit) else np.zeros((1, 1))
-    reach = float(np.sqrt(max(0.0, 1 - threshold * threshold))) + 1e-9
+    centroids = spherical_kmeans(fit, cells) if len(fit) else np.zeros((1, 1))
+    reach = float(np.sqrt(max(0.0, 1 - threshold * threshold))) * min(1.0, SPREAD / np.sqrt(max(1.0, dimensions(fit)))) + 1e-9
+    block_rows = max(TILE, BLOCK_BYTES // (8 * max(1, width)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gaps = np.sqrt(np.maximum(0, 2 - 2 * (centroids @ centroids.T)))
@@ -128,8 +154,8 @@ def near_embeddings(df: DataFrame, key: str = "vec_id", vector: str = "embedding
                 taken = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(side), *(taken.column(taken.schema.get_field_index(c)) for c in ("rep", "size")), body.take(pa.array(row))], names=["cell", "side", "rep", "size", "vector"])
 
-    placed = cut(classes.select("vector", "rep", "size", "width").mapInArrow(place, "cell long, side int, rep long, size long, vector binary"), "cells")
-    counts = placed.groupBy("cell").agg(F.ceil(F.count_if(F.col("side") == 0) / BLOCK).cast("int").alias("hb"), F.ceil(F.count_if(F.col("side") == 1) / BLOCK).cast("int").alias("vb"))
+    placed = cut(classes.select("vector", "rep", "size", "width").mapInArrow(lean(place), "cell long, side int, rep long, size long, vector binary"), "cells")
+    counts = placed.groupBy("cell").agg(F.ceil(F.count_if(F.col("side") == 0) / block_rows).cast("int").alias("hb"), F.ceil(F.count_if(F.col("side") == 1) / block_rows).cast("int").alias("vb"))
     own = F.pmod(F.xxhash64("rep"), F.when(F.col("side") == 0, F.col("hb")).otherwise(F.col("vb"))).cast("int")
     # The rows of two blocks meet in one place, on different sides; a block meets itself in (i, i).
     block = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
@@ -139,7 +165,9 @@ def near_embeddings(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     across = F.when(F.col("side") == 0, F.transform(upto("vb"), lambda j: block(1, own, j, F.lit(0)))).otherwise(F.transform(upto("hb"), lambda i: block(1, i, own, F.lit(1))))
     dealt = placed.join(counts, "cell").where("hb > 0").select("cell", "rep", "size", "vector", F.explode(F.concat(inside, across)).alias("x")).select("cell", "x.*", "rep", "size", "vector")
     found = dealt.groupBy("cell", "kind", "i", "j").applyInArrow(_compare(threshold), "rep long, links long, root long")
-    return _result(rows, classes, cut(found, "linked"), key)
+    linked = cut(found, "linked")
+    discard(placed)
+    return _result(rows, classes, linked, key)
 
 
 def _result(rows: DataFrame, classes: DataFrame, found: DataFrame, key: str) -> DataFrame:

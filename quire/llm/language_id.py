@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import free_name, ready, slices, small
+from .common import cut, free_name, lean, ready, slices, small
 
 BUCKETS = 1 << 15
 FIT_ROWS = 6000
@@ -28,22 +28,23 @@ SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "e
 
 
 def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed trigrams of all texts (bytes; A-Z lowered; runs of what is no letter as one space) and where each text's begin."""
+    """Hashed trigrams of all texts (bytes; A-Z lowered; a space at either end; runs of what is no letter as one space) and where each text's begin."""
     table = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
-    buffer = np.frombuffer(b"  ".join(texts).translate(table) + b"  ", np.uint8)
+    buffer = np.frombuffer(b" " + b"  ".join(texts).translate(table) + b" ", np.uint8)
     at = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(x) + 2 for x in texts], out=at[1:])
     space = buffer == 0x20
     keep = ~(space & np.concatenate([[False], space[:-1]]))
-    keep[np.minimum(at[:-1], len(keep) - 1)] = True
-    sums = np.concatenate([[0], np.cumsum(keep)])
-    first = sums[at]
+    keep[at[:-1]] = True
+    first = np.concatenate([[0], np.cumsum(keep)])[at]
     codes = buffer[keep].astype(np.uint32)
-    n = len(codes)
-    grams = np.zeros(n, np.uint32)
-    if n > 2:
-        grams[: n - 2] = codes[: n - 2] << np.uint32(16) | codes[1 : n - 1] << np.uint32(8) | codes[2:]
-    return ((grams * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64), first
+    grams = np.zeros(len(codes), np.uint32)
+    grams[:-2] = codes[:-2] << np.uint32(16) | codes[1:-1] << np.uint32(8) | codes[2:]
+    # The last two places of a text have no trigram of their own.
+    whole = np.ones(len(codes), bool)
+    for back in (1, 2):
+        whole[np.maximum(first[1:] - back, first[:-1])] = False
+    return ((grams[whole] * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64), np.concatenate([[0], np.cumsum(whole)])[first]
 
 
 def _letters(texts: list[bytes]) -> list[int]:
@@ -59,7 +60,7 @@ class TextModel:
         self.languages = languages
         rates = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * counts.shape[1])
         logs = np.log(rates)
-        self.weights = np.ascontiguousarray((logs - logs.mean(axis=0)).T.astype(np.float32))
+        self.weights = np.ascontiguousarray((logs - (logs.mean(axis=0) if len(logs) else 0)).T.astype(np.float32))
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Texts x languages. Trigrams are not independent, so the evidence of n of them counts as that of 4 sqrt(n), or n if less."""
@@ -84,13 +85,13 @@ def fit(df: DataFrame, text: str, label: str, rows: int = FIT_ROWS) -> TextModel
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 1 << 19):
                 grams, first = trigrams(W.utf8(part.column(0)))
                 names, index = np.unique(np.array(part.column(1).to_pylist(), object), return_inverse=True)
                 keys, n = np.unique(np.repeat(index, np.diff(first)) * BUCKETS + grams[: first[-1]], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(names[keys // BUCKETS].tolist(), pa.string()), pa.array(keys % BUCKETS, pa.int64()), pa.array(n, pa.int64())], names=["label", "bucket", "n"])
 
-    found = sample.repartition(8).mapInArrow(count, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = sample.repartition(8).mapInArrow(lean(count), "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["label"].unique())
     counts = np.zeros((len(languages), BUCKETS))
     counts[np.searchsorted(languages, found["label"].to_numpy(str)) if languages else [], found["bucket"]] = found["n"]
@@ -117,33 +118,36 @@ def _softmax(scores):
     return F.transform(exps, lambda x: x / total)
 
 
-def identify(df: DataFrame, model: TextModel, text: str = "text", declared: str | None = None, url: str | None = None, host: str | None = None, accepted: list[str] | None = None, least: float = LEAST, min_letters: int = 1) -> DataFrame:
+def identify(df: DataFrame, model: TextModel, text: str = "text", declared: str | None = None, url: str | None = None, host: str | None = None, accepted: list[str] | None = None, least: float = LEAST, min_letters: int = 1, keep_text: bool = True) -> DataFrame:
     """df with language, confidence and accepted.
 
     declared, url and host name optional columns; without `host` the url's host is used. A row is accepted if its text has at
     least `min_letters` letters, its language is among the accepted ones (all of the model's if not given) and the posterior
     is at least `least`. Null or empty texts give no evidence: the others decide, but the row is not accepted. A
     model without languages gives null and accepts nothing. Rows with a null host share no prior. Ties go to the first
-    language by name. Other columns pass through; added columns that clash get an underscore. An empty table stays empty.
+    language by name. Other columns pass through (the text only if `keep_text`); added columns that clash get an underscore.
+    An empty table stays empty. With hosts, the scored rows are written to the shared folder once, and read for the priors and
+    for the result.
     """
     ready(df)
     names = [free_name(df.columns, x) for x in ("language", "confidence", "accepted")]
     languages = model.languages
+    columns = [c for c in df.columns if keep_text or c != text]
     if not languages:
-        return df.withColumns({names[0]: F.lit(None).cast("string"), names[1]: F.lit(0.0), names[2]: F.lit(False)})
+        return df.select(*columns).withColumns({names[0]: F.lit(None).cast("string"), names[1]: F.lit(0.0), names[2]: F.lit(False)})
     scores, letters, home, parent, prior = (free_name([*df.columns, *names], x) for x in ("_scores", "_letters", "_host", "_parent", "_prior"))
     schema = df.withColumns({scores: F.array(F.lit(0.0)), letters: F.lit(0)}).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text, 1 << 21):
+            for part in slices(batch, text, 1 << 19):
                 texts = W.utf8(part.column(part.schema.get_field_index(text)))
                 found = model.score(texts)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, len(languages)), pa.int32()), pa.array(found.ravel()))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(_letters(texts), pa.int32())], names=[*part.schema.names, scores, letters])
 
     def evidence() -> DataFrame:
-        out = df.mapInArrow(score, schema)
+        out = df.mapInArrow(lean(score), schema).select(*columns, scores, letters)
         parts = [F.col(scores)]
         if declared:
             parts.append(_points(languages, F.col(declared), DECLARED))
@@ -161,15 +165,16 @@ def identify(df: DataFrame, model: TextModel, text: str = "text", declared: str
     out = evidence()
     total = F.col(scores)
     if host or url:
+        out = cut(out, "scored")
         soft = out.where(F.col(home).isNotNull()).select(F.col(home).alias("home"), F.col(parent).alias("parent"), _softmax(F.col(scores)).alias("posterior"))
-        priors = small(host_priors(soft, languages), 200_000)
+        priors = small(cut(host_priors(soft, languages), "priors"), 200_000)
         out = out.join(priors.select(F.col("home").alias(home), F.col("prior").alias(prior)), home, "left")
         total = _add(F.col(scores), F.coalesce(prior, F.array(*(F.lit(0.0) for _ in languages))))
     out = out.withColumn(scores, _softmax(total))
     which = F.array_position(scores, F.array_max(scores)).cast("int")
     out = out.withColumns({names[0]: F.element_at(F.array(*(F.lit(x) for x in languages)), which), names[1]: F.array_max(scores)})
     good = (F.col(letters) >= min_letters) & (F.col(names[1]) >= least) & F.col(names[0]).isin(accepted or languages)
-    return out.withColumn(names[2], good).select(*df.columns, *names)
+    return out.withColumn(names[2], good).select(*columns, *names)
 
 
 def host_priors(soft: DataFrame, languages: list[str]) -> DataFrame:

@@ -8,8 +8,10 @@ WITH above AND above OR, and judged: AND is as strict as its strictest part, OR
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import free_name, ready, slices
+from .common import free_name, lean, ready, slices
 
 # Notice phrases and the labels they stand for.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -129,13 +131,13 @@ def scan(text: bytes) -> tuple:
     words = text.translate(_TABLE).split(b" ")
     words = [w for w in words if w]
     line = b" " + b" ".join(words) + b" "
-    places, base, labels, covered = [], set(), set(), 0
+    places, base, labels, covered, starts = [], set(), set(), 0, None
     for end, (phrase, label, is_base) in phrases.iter(line.decode("latin-1")):
         labels.add(label)
         covered += phrase.count(" ") + 1
         if is_base:
-            start = end - len(phrase) - 1
-            places.append(line.count(b" ", 0, start + 1) - 1)
+            starts = starts or list(accumulate((len(w) + 1 for w in words), initial=1))
+            places.append(bisect_left(starts, end - len(phrase)))
             base.add(label)
     expressions, strict = [], None
     for end, _ in tags.iter(text.lower().decode("latin-1")) if b"SPDX" in text or b"spdx" in text.lower() else ():
@@ -155,7 +157,7 @@ _NAMES = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels
 _TYPES = ("long", "long", "long", "long", "string", "string", "double", "array<string>", "double")
 
 
-def scan_licenses(df: DataFrame, text: str = "text", chunk_bytes: int = 1 << 21) -> DataFrame:
+def scan_licenses(df: DataFrame, text: str = "text", chunk_bytes: int = 1 << 20) -> DataFrame:
     """df with n_words, n_base, first_word, last_word, base_labels, labels, score, expressions (postfix) and strictness.
 
     A null text counts as empty: no words, no labels (""), null places and strictness, score 0. score is 0 without a label,
@@ -173,4 +175,4 @@ def scan_licenses(df: DataFrame, text: str = "text", chunk_bytes: int = 1 << 21)
                 found = zip(*map(scan, W.utf8(part.column(part.schema.get_field_index(text)))), strict=True)
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, k) for c, k in zip(found, kinds, strict=True))], names=[*part.schema.names, *names])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)

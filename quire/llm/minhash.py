@@ -15,6 +15,7 @@ pass the sketch leave a block. With 32 bands of 4, a pair at resemblance 0.75 is
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import cut, ready, release, slices, small
+from .common import cut, discard, lean, ready, release, slices, small
 from .components import components
 
 SAMPLES, BANDS, SKETCH_BITS, SET_BITS = 128, 32, 512, 2048
@@ -40,10 +41,10 @@ def shingle_sets(texts: list[bytes], size: int = 5) -> tuple[np.ndarray, np.ndar
     hashes, counts = words.hashes(), words.counts()
     starts, shingles = W.windows(hashes, words.first, size)
     owner = np.searchsorted(words.first, starts, side="right") - 1
-    brief = np.flatnonzero((counts > 0) & (counts < size))
-    if len(brief):
-        whole = W.spans_hash(hashes, words.first[brief], words.first[brief + 1], base=0xA24BAED4963EE407)
-        shingles, owner = np.concatenate([shingles, whole]), np.concatenate([owner, brief])
+    for n in range(1, size):
+        brief = np.flatnonzero(counts == n)
+        if len(brief):
+            shingles, owner = np.concatenate([shingles, W.rolled(hashes, n)[words.first[brief]]]), np.concatenate([owner, brief])
     order = np.argsort(shingles, kind="stable")
     order = order[np.argsort(owner[order], kind="stable")]
     shingles, owner = shingles[order], owner[order]
@@ -117,12 +118,12 @@ def signature_table(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 1 << 19):
                 counts, low, high, full, bands, sketches = _signed(W.utf8(part.column(1)), size)
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(low), pa.array(high), _lists(bands, full, n, BANDS), _lists(sketches, full, n, sketches.shape[1])], names=["id", "n", "low", "high", "bands", "sketch"])
 
-    return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(sign, schema)
+    return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(lean(sign), schema)
 
 
 def least_estimate(threshold: float) -> tuple[float, int]:
@@ -211,47 +212,48 @@ def _block_pairs(most_bits: int, percent: int, most: int | None):
     return run
 
 
+def _judge(asks: list[tuple[int, int]], bodies: list[tuple[int, bytes]], size: int, percent: int) -> pa.RecordBatch:
+    """Which asks, pairs of places in `bodies`, resemble on their full sets; as ids."""
+    sets, first = shingle_sets([body for _, body in bodies], size)
+    found = []
+    for x, y in asks:
+        a, b = sets[first[x] : first[x + 1]], sets[first[y] : first[y + 1]]
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        if 100 * both >= percent * (len(a) + len(b) - both):
+            found.append((bodies[x][0], bodies[y][0]))
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["c", "id"])
+
+
 def _confirm(texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (c, id) whose full sets resemble. Each centre meets its partners in groups of at most about 64."""
+    """The pairs (c, id) whose full sets resemble. Each centre meets its partners in groups of about 64, about a megabyte of text at a time."""
     pairs = cut(pairs.select("c", "id"), "pairs")
     many = pairs.groupBy("c").agg(F.ceil(F.count("*") / 64).alias("salts"))
     dealt = pairs.join(many, "c").select("c", "id", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"))
     asks = dealt.select("id", "c", "salt").unionAll(dealt.select(F.col("c").alias("id"), "c", "salt").distinct())
-    bodies = texts.join(small(asks, BROADCAST_IDS), "id").select("c", "salt", "id", "text")
-    key = ["c", "salt"]
-    dealt_rows = bodies.repartition(*key).sortWithinPartitions(*key)
-
-    def judge(groups: list[tuple[int, int, list]]) -> pa.RecordBatch:
-        sets, first = shingle_sets([body for *_, held in groups for _, body in held], size)
-        at, centres, found = 0, [], []
-        for c, _, held in groups:
-            mine = at + next(k for k, (i, _) in enumerate(held) if i == c)
-            base = sets[first[mine] : first[mine + 1]]
-            for k, (i, _) in enumerate(held, at):
-                if k != mine:
-                    other = sets[first[k] : first[k + 1]]
-                    both = len(np.intersect1d(base, other, assume_unique=True))
-                    if 100 * both >= percent * (len(base) + len(other) - both):
-                        centres.append(c)
-                        found.append(i)
-            at += len(held)
-        return pa.RecordBatch.from_arrays([pa.array(centres, pa.int64()), pa.array(found, pa.int64())], names=["c", "id"])
+    bodies = texts.join(small(asks, BROADCAST_IDS), "id").select("c", "salt", (F.col("id") != F.col("c")).alias("partner"), "id", "text")
+    rows = bodies.repartition("c", "salt").sortWithinPartitions("c", "salt", "partner")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups, held_bytes = [], 0
+        centre, held, asks, held_bytes = None, [], [], 0
         for batch in batches:
-            for c, salt, i, body in zip(*(batch.column(k).to_pylist() for k in range(3)), W.utf8(batch.column(3)), strict=True):
-                if not groups or groups[-1][:2] != (c, salt):
-                    if held_bytes > 1 << 20:
-                        yield judge(groups)
-                        groups, held_bytes = [], 0
-                    groups.append((c, salt, []))
-                groups[-1][2].append((i, body))
+            for c, salt, partner, i, body in zip(*(batch.column(k).to_pylist() for k in range(4)), W.utf8(batch.column(4)), strict=True):
+                if not partner:  # comes first in its group
+                    centre = (c, salt, len(held))
+                else:
+                    asks.append((centre[2], len(held)))
+                held.append((i, body))
                 held_bytes += len(body)
-        if groups:
-            yield judge(groups)
-
-    return cut(dealt_rows.mapInArrow(confirm, "c long, id long"), "confirmed")
+                if held_bytes > 1 << 20:
+                    yield _judge(asks, held, size, percent)
+                    held, asks, centre = [held[centre[2]]], [], (*centre[:2], 0)
+                    held_bytes = len(held[0][1]) if len(held[0][1]) < 1 << 19 else 1 << 19
+        if asks:
+            yield _judge(asks, held, size, percent)
+
+    out = cut(rows.mapInArrow(lean(confirm), "c long, id long"), "confirmed")
+    discard(pairs)
+    return out
 
 
 def _blocks(placed: DataFrame, slim: DataFrame) -> DataFrame:
@@ -289,42 +291,51 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     bands = heads.select("id", F.explode("bands").alias("band"))
     shared = cut(bands.groupBy("band").agg(F.min("id").alias("c"), F.count("*").alias("members")).where("members > 1"), "shared")
     members = cut(bands.join(shared, "band").select("band", "c", "members", "id"), "members")
+    discard(shared)
     release(spark)
     slim = heads.select("id", "n", "sketch")
     centre = slim.select(F.col("id").alias("c"), F.col("n").alias("n_c"), F.col("sketch").alias("sketch_c"))
     stars = members.where("id != c").select("c", "id").distinct().join(slim, "id").join(centre, "c")
     stars = cut(_resemble(stars, most_bits, percent), "stars")
     best = stars.groupBy("id").agg(F.min(F.struct("apart", "c")).alias("x")).select("x.c", "id")
-    links = _confirm(texts, best, size, percent)
-    parts = cut(components(links, "c", "id"), "parts")
+    confirmed = [_confirm(texts, best, size, percent)]
+    parts = cut(components(confirmed[0], "c", "id"), "parts")
 
     def part_of(frame: DataFrame, column: str, name: str) -> DataFrame:
         return frame.join(parts.select(F.col("node").alias(column), F.col("component").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
 
+    def join_up(pairs: DataFrame) -> DataFrame:
+        """The components once those of `pairs` that are confirmed are links too."""
+        confirmed.append(_confirm(texts, pairs, size, percent))
+        joined = cut(components(reduce(DataFrame.unionAll, confirmed), "c", "id"), "parts")
+        discard(parts)
+        return joined
+
     rest = part_of(part_of(stars.select("c", "id").join(best, ["c", "id"], "left_anti"), "c", "pc"), "id", "pi").where("pc != pi").select("c", "id")
-    more = _confirm(texts, rest, size, percent)
-    links = links.unionAll(more)
-    parts = cut(components(links, "c", "id"), "parts")
-    tested = stars.select("c", "id")
+    parts = join_up(rest)
+    tested, seen = stars.select("c", "id"), []
 
     # Buckets with several components are compared across them, in blocks of _BLOCK rows a side: each row's likeliest pairs
     # first, as these join most of a group of copies; again, while any were left out; and at last all that still cross components.
     for most in (4, 4, None):
         placed = cut(part_of(part_of(members.where("members > 2"), "id", "part"), "c", "main"), "placed")
-        found = cut(_blocks(placed, slim).mapInArrow(_block_pairs(most_bits, percent, most), "c long, id long, more boolean").distinct(), "found")
-        fresh = found.select("c", "id").distinct().join(tested, ["c", "id"], "left_anti")
-        links = links.unionAll(_confirm(texts, fresh, size, percent))
-        parts = cut(components(links, "c", "id"), "parts")
+        found = cut(_blocks(placed, slim).mapInArrow(lean(_block_pairs(most_bits, percent, most)), "c long, id long, more boolean").distinct(), "found")
+        seen.append(found)
+        parts = join_up(found.select("c", "id").distinct().join(tested, ["c", "id"], "left_anti"))
+        discard(placed)
         release(spark)
         if not found.where("more").limit(1).count():
             break
         tested = tested.unionAll(found.select("c", "id")).distinct()
+    discard(heads, members, stars, *confirmed, *seen)
 
     reach = part_of(classes, "rep", "part")
     # A class with a shared key only has no rep and stays alone; elsewhere the smallest key may be a shared one.
     lowest = reach.where("part is not null").groupBy("part").agg(F.min("least").alias("lowest"))
     labels = reach.join(lowest, "part", "left").select("low", "high", F.coalesce("lowest", "least").alias("component_id"))
-    out = signed.select("id", "n", "low", "high").join(labels, ["low", "high"], "left")
+    # Empty sets have no class: their keys stand in for the pair of hashes, so that they do not meet in one task.
+    alone = lambda h: F.when(F.col("n") > 0, F.col(h)).otherwise(F.col("id")).alias(h)
+    out = signed.select("id", "n", alone("low"), alone("high")).join(labels, ["low", "high"], "left")
     least = F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
     out = out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), least).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
-from functools import cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -20,32 +21,34 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import ready, slices
+from .common import kept, lean, ready, slices
 from .pretokens import Batch, Known, byte_letters
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT = 1_500_000
-"""Pieces whose ids a worker keeps before it starts anew (about 50 bytes each)."""
+KEPT_BYTES = 24 << 20
+"""What the ids of known pieces may take in a worker."""
 
 
 class Encoder:
     """Ids of one byte-level BPE tokenizer file, equal to those of the tokenizers library."""
 
     def __init__(self, path: str) -> None:
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         back = {c: b for b, c in byte_letters().items()}
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         ranks = {bytes(back[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.bpe = tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.known = Known(KEPT)
-        self._forget()
+        self.known = Known(KEPT_BYTES)
 
-    def _forget(self) -> None:
-        self.known.clear()
-        self.flat, self.begin, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    @cached_property
+    def library(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
+    def _ids(self, piece: bytes) -> bytes:
+        return array("I", self.bpe._core_bpe.encode_single_piece(piece)).tobytes()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's begin."""
@@ -55,24 +58,13 @@ class Encoder:
         if odd.any():
             batch = Batch(["" if o else x for x, o in zip(texts, odd, strict=True)])
         starts, ends = batch.pieces("byte")
-        kinds, where, place = np.unique(batch.hashes(starts, ends), return_index=True, return_inverse=True)
-        if len(self.known.keys) + len(kinds) > KEPT:
-            self._forget()
-        row = self.known.find(kinds)
-        new = np.flatnonzero(row < 0)
-        joined = "".join("" if o else x for x, o in zip(texts, odd, strict=True))
-        one, spans = self.bpe._core_bpe.encode_single_piece, zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)
-        parts = [one(joined[a:b].encode()) for a, b in spans]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        row[new] = np.arange(len(self.sizes), len(self.sizes) + len(new))
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for p in parts for i in p), np.uint32, int(sizes.sum()))])
-        self.known.add(kinds[new], row[new])
-        row = row[place]
-        lengths = self.sizes[row]
+        kinds, place = batch.distinct(starts, ends)
+        parts = self.known.of(kinds, self._ids)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        flat, begin = np.frombuffer(b"".join(parts), np.uint32), np.cumsum(sizes) - sizes
+        lengths = sizes[place]
         edges = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-        ids = self.flat[np.repeat(self.begin[row] - edges[:-1], lengths) + np.arange(edges[-1])]
+        ids = flat[np.repeat(begin[place] - edges[:-1], lengths) + np.arange(edges[-1])]
         first = edges[batch.texts_of(starts)]
         if odd.any():
             own = {k: np.array(self.library.encode(texts[k], add_special_tokens=False).ids, np.uint32) for k in np.flatnonzero(odd)}
@@ -81,9 +73,8 @@ class Encoder:
         return ids, first
 
 
-@cache
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return kept(f"ids {path}", lambda: Encoder(path))
 
 
 class CapacityTree:
@@ -156,7 +147,7 @@ def _fill(bins: list[list[tuple]], window: int, slack: int) -> list[list[tuple]]
     return [b for b in bins if b]
 
 
-def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", window: int = 2048, end_id: int = 1, most: int = 4096, slack: float = 0.03, chunk_bytes: int = 1 << 22) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", window: int = 2048, end_id: int = 1, most: int = 4096, slack: float = 0.03, chunk_bytes: int = 1 << 20) -> DataFrame:
     """Pieces of documents in sequences of at most `window` ids: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null text is an empty document: one piece with the end id alone. Rows with a null or repeated key are documents of
@@ -210,4 +201,4 @@ def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
             emit(held, True)
             yield out()
 
-    return df.selectExpr(f"cast(`{key}` as long) as doc_id", f"`{text}` as text").mapInArrow(run, _SCHEMA)
+    return df.selectExpr(f"cast(`{key}` as long) as doc_id", f"`{text}` as text").mapInArrow(lean(run), _SCHEMA)

@@ -11,11 +11,12 @@ Texts with characters whose class differs between Unicode versions, or with spec
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
 
-from .words import U, spans_hash
+from .words import distinct
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 _LIMIT = 0x2C00
@@ -91,8 +92,15 @@ class Batch:
         rest = rest[(rest < end) & (self.kinds[np.minimum(rest, len(self.kinds) - 1)] == LETTER)]
         start[rest] = True
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return spans_hash(self.codes.astype(U) + U(1), starts, ends)
+    def distinct(self, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """The distinct pieces in UTF-8, and which of them each piece is."""
+        sizes = np.ones(len(self.codes), np.int8)
+        for bound in (0x80, 0x800, 0x10000):
+            sizes += self.codes >= bound
+        at = np.zeros(len(self.codes) + 1, np.int64)
+        np.cumsum(sizes, out=at[1:])
+        body = np.frombuffer(self.codes.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)
+        return distinct(body, at[starts], at[ends])
 
     def texts_of(self, starts: np.ndarray) -> np.ndarray:
         """For sorted piece starts: how many pieces lie before each text's begin, and all of them."""
@@ -100,26 +108,22 @@ class Batch:
 
 
 class Known:
-    """What is known of pieces by hash: sorted arrays, emptied when they would hold more than `most` pieces."""
+    """What is known of pieces, by their bytes; emptied before a batch once they take more than about `most` bytes."""
 
     def __init__(self, most: int) -> None:
-        self.most = most
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys, self.rows = np.zeros(0, U), np.zeros(0, np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The row of each key, -1 for new ones."""
-        if not len(self.keys):
-            return np.full(len(keys), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.rows[at], -1)
-
-    def add(self, keys: np.ndarray, rows: np.ndarray) -> None:
-        """keys: sorted and new."""
-        at = np.searchsorted(self.keys, keys)
-        self.keys, self.rows = np.insert(self.keys, at, keys), np.insert(self.rows, at, rows)
+        self.most, self.size, self.found = most, 0, {}
+
+    def of(self, pieces: list[bytes], make: Callable[[bytes], object]) -> list:
+        if self.size > self.most:
+            self.size, self.found = 0, {}
+        out = []
+        for piece in pieces:
+            value = self.found.get(piece)
+            if value is None:
+                value = self.found[piece] = make(piece)
+                self.size += len(piece) + 150  # about what an entry takes
+            out.append(value)
+        return out
 
 
 def byte_letters() -> dict[int, str]:

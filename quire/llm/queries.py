@@ -64,10 +64,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text and source decide; lang is what the text model is fitted on, so it is no evidence."""
     from .language_id import fit, identify
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    out = identify(docs, fit(docs, "text", "lang"), declared="lang", host="source")
+    docs = table(spark, sf_dir, "documents")
+    out = identify(docs.select("doc_id", "text", "source"), fit(docs, "text", "lang"), host="source", keep_text=False)
     return out.select("doc_id", "language", F.round("confidence", 6).alias("confidence"), F.col("accepted").alias("kept"))
 
 

@@ -8,8 +8,6 @@ of a bin (there can be few), and for all others the bundles into which their has
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,31 +20,71 @@ SHARE = 64
 
 
 class Rooms:
-    """Open bins ordered by remaining capacity: a two-level balanced list (blocks of bounded size), so every operation is short."""
-
-    def __init__(self, block: int = 512) -> None:
-        self.blocks: list[list[tuple[int, int]]] = [[]]
-        self.block = block
+    """Open bins ordered by (remaining capacity, name) in an AVL tree. A node is [key, left, right, height]."""
 
-    def _at(self, room: tuple[int, int]) -> int:
-        return max(0, bisect_left([b[0] if b else (0, -1) for b in self.blocks], room) - 1)
+    def __init__(self) -> None:
+        self.root: list | None = None
 
     def put(self, room: int, name: int) -> None:
-        k = self._at((room, name))
-        insort(self.blocks[k], (room, name))
-        if len(self.blocks[k]) > self.block:
-            half = len(self.blocks[k]) // 2
-            self.blocks[k : k + 1] = [self.blocks[k][:half], self.blocks[k][half:]]
+        self.root = _insert(self.root, (room, name))
 
     def take(self, need: int) -> tuple[int, int] | None:
-        for k in range(self._at((need, -1)), len(self.blocks)):
-            i = bisect_left(self.blocks[k], (need, -1))
-            if i < len(self.blocks[k]):
-                found = self.blocks[k].pop(i)
-                if not self.blocks[k] and len(self.blocks) > 1:
-                    del self.blocks[k]
-                return found
-        return None
+        """Removes and returns the bin with the tightest room >= need."""
+        node, found = self.root, None
+        while node:
+            if node[0][0] >= need:
+                node, found = node[1], node[0]
+            else:
+                node = node[2]
+        if found is not None:
+            self.root = _remove(self.root, found)
+        return found
+
+
+def _height(node: list | None) -> int:
+    return node[3] if node else 0
+
+
+def _turn(node: list, side: int) -> list:
+    """Rotates the child on `side` (1 left, 2 right) above its parent."""
+    child = node[side]
+    node[side], child[3 - side] = child[3 - side], node
+    for x in (node, child):
+        x[3] = 1 + max(_height(x[1]), _height(x[2]))
+    return child
+
+
+def _level(node: list) -> list:
+    node[3] = 1 + max(_height(node[1]), _height(node[2]))
+    lean = _height(node[1]) - _height(node[2])
+    if abs(lean) < 2:
+        return node
+    side = 1 if lean > 0 else 2
+    if _height(node[side][3 - side]) > _height(node[side][side]):
+        node[side] = _turn(node[side], 3 - side)
+    return _turn(node, side)
+
+
+def _insert(node: list | None, key: tuple[int, int]) -> list:
+    if not node:
+        return [key, None, None, 1]
+    side = 1 if key < node[0] else 2
+    node[side] = _insert(node[side], key)
+    return _level(node)
+
+
+def _remove(node: list, key: tuple[int, int]) -> list | None:
+    if key != node[0]:
+        side = 1 if key < node[0] else 2
+        node[side] = _remove(node[side], key)
+        return _level(node)
+    if not node[1] or not node[2]:
+        return node[1] or node[2]
+    after = node[2]
+    while after[1]:
+        after = after[1]
+    node[0], node[2] = after[0], _remove(node[2], after[0])
+    return _level(node)
 
 
 def best_fit_decreasing(sizes: list[int], capacity: int, most: int | None = None) -> list[int] | None:

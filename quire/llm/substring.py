@@ -9,8 +9,8 @@ their hashes are compared, and the union of the repeated ones is the set of maxi
 
 Texts live in chunks of about `chunk_bytes` (one Arrow stream each). A chunk sends each distinct hash once to the bucket
 that owns it, and gets a bit back, so a passage with a million copies costs one value a chunk: no group of rows grows with
-the number of copies, and nothing is collected or broadcast. Hashes are 64 bits wide in round two; among w candidate
-windows the expected number of false pairs is w^2 / 2^65.
+the number of copies, and nothing is collected or broadcast. Round one is a filter, on 32 bits of a hash within a bucket. Round
+two compares 96 bits, which come from digests of the words: among w candidate windows w^2 / 2^97 false pairs are expected.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import cut, free_name, ready, release, slices
+from .common import cut, free_name, lean, ready, release, slices, trim
 
 _CHUNK = "chunk long, n_words long, body binary"
 _ASK = "bucket int, chunk long, step int, asked binary, marks binary"
@@ -47,11 +47,34 @@ def _words(table, text: str) -> W.Words:
     return W.words_of(W.utf8(table.column(text)), lower=False)
 
 
+_WIDE = np.dtype([("high", np.uint64), ("low", np.uint32)])
+"""96 bits of a window's hash."""
+
+
+def _wide(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    out = np.empty(len(high), _WIDE)
+    out["high"], out["low"] = high, low
+    return out
+
+
+def _unique(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, the place of each value among them, and how often each occurs; of plain or of wide hashes."""
+    if hashes.dtype != _WIDE:
+        return np.unique(hashes, return_inverse=True, return_counts=True)
+    order = np.lexsort((hashes["low"], hashes["high"]))
+    ordered = hashes[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (ordered["high"][1:] != ordered["high"][:-1]) | (ordered["low"][1:] != ordered["low"][:-1])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ordered[new], place, np.diff(np.append(np.flatnonzero(new), len(order)))
+
+
 def _sets(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes ordered by bucket and value, whether each occurs more than once, each hash's place among them, and the buckets' borders."""
     # The order is by (bucket, value): a bucket is a range of the top bits, so it is the order of the values.
-    kinds, place, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-    return kinds, counts > 1, place, np.searchsorted(kinds, _borders(buckets))
+    kinds, place, counts = _unique(hashes)
+    return kinds, counts > 1, place, np.searchsorted(kinds["high"] if kinds.dtype == _WIDE else kinds, _borders(buckets))
 
 
 def _borders(buckets: int) -> np.ndarray:
@@ -89,14 +112,15 @@ class _Chunk:
         return out
 
     def candidates(self, hit_kinds: np.ndarray) -> tuple:
-        """Windows with a hit block inside: their starts, and their hashes' sets as of _sets."""
-        starts, hashes = W.windows(self.hashes, self.first, self.window)
-        sums = np.zeros(len(self.hashes) + 1, np.int32)
+        """Windows with a hit block inside: their starts, and their wide hashes' sets as of _sets."""
         hit = np.zeros(len(self.hashes), np.int32)
         hit[self.at[hit_kinds[self.place]]] = 1
+        sums = np.zeros(len(self.hashes) + 1, np.int32)
         np.cumsum(hit, out=sums[1:])
+        starts, high = W.windows(self.hashes, self.first, self.window)
         near = sums[starts + self.window - self.block + 1] > sums[starts]
-        return starts[near], *_sets(hashes[near], self.buckets)
+        high, low = high[near], W.windows(self.words.hashes(1), self.first, self.window)[1][near]
+        return starts[near], *_sets(_wide(high, (low >> np.uint64(32)).astype(np.uint32)), self.buckets)
 
 
 def _ask(chunk: int, step: int, kinds: np.ndarray, borders: np.ndarray, buckets: int, *flags: np.ndarray) -> Iterator[dict]:
@@ -118,9 +142,9 @@ def _told(rows, step: int, borders: np.ndarray, n: int) -> np.ndarray:
 def _answer(group: pa.Table) -> pa.Table:
     """For one bucket: which of the values that each chunk asks for occur in more than one place (round one: and are a grid block)."""
     rows = group.to_pylist()
-    kind = np.uint32 if rows[0]["step"] == 1 else np.uint64
+    kind = np.uint32 if rows[0]["step"] == 1 else _WIDE
     asked = [np.frombuffer(r["asked"], kind) for r in rows]
-    values, place, counts = np.unique(np.concatenate(asked), return_inverse=True, return_counts=True)
+    values, place, counts = _unique(np.concatenate(asked))
     marks = [_flags(r["marks"], len(a), 2 if r["step"] == 1 else 1) for r, a in zip(rows, asked, strict=True)]
     twice = counts > 1
     twice[place[np.concatenate([m[0] for m in marks])]] = True
@@ -136,7 +160,7 @@ def _answer(group: pa.Table) -> pa.Table:
 _ASK_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("step", pa.int32()), ("asked", pa.binary()), ("marks", pa.binary())])
 
 
-def remove_repeats(df: DataFrame, text: str = "text", window: int = 35, kept: str = "kept_text", chunk_bytes: int = 1 << 21, bucket_words: int = 1 << 20) -> DataFrame:
+def remove_repeats(df: DataFrame, text: str = "text", window: int = 35, kept: str = "kept_text", chunk_bytes: int = 1 << 20, bucket_words: int = 1 << 20) -> DataFrame:
     """Each row of df with `kept` (its words that no repeated window covers, joined by one space), n_words and n_removed.
 
     Words are runs outside [\\x20\\x09-\\x0D], unchanged. A null text has no words: `kept` is null, both counts 0. Texts
@@ -170,7 +194,7 @@ def remove_repeats(df: DataFrame, text: str = "text", window: int = 35, kept: st
         if held:
             yield body()
 
-    store = cut(df.mapInArrow(chunks, _CHUNK), "chunks", "uncompressed")
+    store = cut(df.mapInArrow(lean(chunks), _CHUNK), "chunks", "uncompressed")
     buckets = max(128, (store.agg(F.sum("n_words")).first()[0] or 0) // bucket_words)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,6 +206,7 @@ def remove_repeats(df: DataFrame, text: str = "text", window: int = 35, kept: st
     def second(chunk: pa.Table, told: pa.Table) -> pa.Table:
         if not chunk.num_rows or not told.num_rows:
             return _ASK_ARROW.empty_table()
+        trim()
         c = _Chunk(_unpack(chunk.column("body")[0].as_buffer()), text, window, buckets)
         _, kinds, twice, _, borders = c.candidates(_told(told.to_pylist(), 1, c.borders, len(c.kinds)))
         return pa.Table.from_pylist(list(_ask(chunk.column("chunk")[0].as_py(), 2, kinds, borders, buckets, twice)), schema=_ASK_ARROW)
@@ -189,6 +214,7 @@ def remove_repeats(df: DataFrame, text: str = "text", window: int = 35, kept: st
     def last(chunk: pa.Table, told: pa.Table) -> pa.Table:
         if not chunk.num_rows:
             return out_arrow.empty_table()
+        trim()
         table, rows = _unpack(chunk.column("body")[0].as_buffer()), told.to_pylist()
         gone = None
         if rows:
@@ -225,7 +251,7 @@ def remove_repeats(df: DataFrame, text: str = "text", window: int = 35, kept: st
 
     out_schema = StructType([*df.schema.fields, StructField(names[0], StringType()), StructField(names[1], LongType()), StructField(names[2], LongType())])
     out_arrow = to_arrow_schema(out_schema)
-    tells = [store.mapInArrow(first, _ASK).groupBy("bucket").applyInArrow(_answer, _TELL)]
+    tells = [store.mapInArrow(lean(first), _ASK).groupBy("bucket").applyInArrow(_answer, _TELL)]
     tells[0] = cut(tells[0], "hits")
     release(spark)
     by_chunk = store.groupBy("chunk")

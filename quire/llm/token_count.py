@@ -10,7 +10,6 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +17,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, ready, slices
+from .common import free_name, kept, lean, ready, slices
 from .pretokens import Batch, Known, byte_letters
 
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-KEPT = 4_000_000
-"""Piece counts that a worker keeps before it starts anew (16 bytes each)."""
+KEPT_BYTES = 24 << 20
+"""What the counts of known pieces may take in a worker."""
 
 
 class Counter:
@@ -38,8 +37,7 @@ class Counter:
         self.final = [vocab[letters[b] + suffix] for b in range(256)]
         self.ranks = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(spec["model"]["merges"])}
         self.special = regex.compile("|".join(regex.escape(x["content"]) for x in spec["added_tokens"]) or r"(?!)")
-        self.known = Known(KEPT)
-        self.by_text: dict[str, int] = {}
+        self.known = Known(KEPT_BYTES)
 
     def merged(self, piece: bytes) -> int:
         """Symbols left after all merges in one piece."""
@@ -81,13 +79,7 @@ class Counter:
         parts = self.special.split(text)
         total = len(parts) - 1
         for part in parts:
-            for piece in PATTERN.findall(self._plain(part)):
-                n = self.by_text.get(piece)
-                if n is None:
-                    if len(self.by_text) > KEPT // 32:
-                        self.by_text.clear()
-                    n = self.by_text[piece] = self.merged(piece.encode())
-                total += n
+            total += sum(self.known.of([x.encode() for x in PATTERN.findall(self._plain(part))], self.merged))
         return total
 
     def counts(self, texts: list[str]) -> np.ndarray:
@@ -102,25 +94,18 @@ class Counter:
             plain = ["" if o else x for x, o in zip(plain, odd, strict=True)]
             batch = Batch(plain)
         starts, ends = batch.pieces("word")
-        kinds, where, place = np.unique(batch.hashes(starts, ends), return_index=True, return_inverse=True)
-        if len(self.known.keys) + len(kinds) > KEPT:
-            self.known.clear()
-        sizes = self.known.find(kinds)
-        new = np.flatnonzero(sizes < 0)
-        joined, spans = "".join(plain), zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)
-        sizes[new] = [self.merged(joined[a:b].encode()) for a, b in spans]
-        self.known.add(kinds[new], sizes[new])
+        kinds, place = batch.distinct(starts, ends)
+        sizes = np.array(self.known.of(kinds, self.merged), np.int64)
         sums = np.concatenate([[0], np.cumsum(sizes[place])]).astype(np.int64)
         first = batch.texts_of(starts)
         return out + sums[first[1:]] - sums[first[:-1]]
 
 
-@cache
 def counter(path: str) -> Counter:
-    return Counter(path)
+    return kept(f"counts {path}", lambda: Counter(path))
 
 
-def count_tokens(df: DataFrame, tokenizer: str, text: str = "text", limit: int = 2048, chunk_bytes: int = 1 << 22) -> DataFrame:
+def count_tokens(df: DataFrame, tokenizer: str, text: str = "text", limit: int = 2048, chunk_bytes: int = 1 << 20) -> DataFrame:
     """df with n_bytes, n_tokens and over_limit (n_tokens > limit).
 
     A null text counts as empty: 0 bytes, 0 tokens. Whole texts are counted, without added special tokens; a special string
@@ -139,4 +124,4 @@ def count_tokens(df: DataFrame, tokenizer: str, text: str = "text", limit: int =
                 sizes = pa.array([len(x.encode("utf-8", "surrogatepass")) for x in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns, sizes, pa.array(n), pa.array(n > limit)], names=[*part.schema.names, *names])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)

@@ -155,7 +155,9 @@ def write_warc(df: DataFrame, path: str, key: str = "page_id", url: str = "url",
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(url).cast("string").alias("u"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("p"))
     rows = rows.withColumn("size", F.octet_length("p").cast("long")).withColumn("digest", F.sha1(F.col("p").cast("binary")))
     groups = rows.where(F.col("size") >= least).groupBy("digest").agg(F.max(F.struct("k", "u")).alias("head"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("same"), "head")
-    rows = rows.join(small(groups, 100_000), (F.col("digest") == F.col("same")) & (F.col("size") >= least), "left")
+    # Small payloads join nothing: they get keys of their own, so that empty pages do not meet in one task.
+    rows = rows.withColumn("seek", F.when(F.col("size") >= least, F.col("digest")).otherwise(F.concat_ws(" ", F.lit("-"), "k", "u")))
+    rows = rows.join(small(groups, 100_000), F.col("seek") == F.col("same"), "left")
     revisit = F.col("head").isNotNull() & ~(F.col("k").eqNullSafe(F.col("head.k")) & F.col("u").eqNullSafe(F.col("head.u")))
     body = F.concat(F.lit(f"HTTP/1.1 200 OK{BREAK}Content-Type: text/html; charset=utf-8{BREAK}Content-Length: "), F.col("size").cast("string"), F.lit(BREAK * 2), F.col("p"))
     body = F.when(revisit, F.lit("")).otherwise(body)

@@ -1,19 +1,19 @@
-"""Vectorised words: boundaries and 64-bit hashes of whole batches of texts, in NumPy.
+"""Vectorised words: boundaries and hashes of whole batches of texts, in NumPy.
 
-A batch's texts are joined by a space into one byte buffer. Words are maximal runs of bytes outside a separator set.
-Hashes are polynomials modulo 2^64 taken from prefix sums (the base is odd, so its powers can be inverted), mixed at the end.
+A batch's texts are joined by a space into one byte buffer. Words are maximal runs of bytes outside a separator set. Equal
+words of a batch are found by their bytes, and each distinct one is digested once (BLAKE2b, 128 bits, read as two lanes of 64).
+Hashes of runs of words join those of halves with a mixing function, so no structure of the text makes them collide.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
-_BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
-_MASK = (1 << 64) - 1
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 SPACE = bytes(range(9, 14)) + b" "
 """Separators of plain words: [\\x20\\x09-\\x0D]."""
@@ -28,31 +28,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^0..base^n and their inverses modulo 2^64; kept between batches."""
-    have = _tables.get(base)
-    if have is None or len(have[0]) <= n:
-        m = max(n + 1, 1 << 16, 0 if have is None else min(2 * len(have[0]), 1 << 22))
-        steps = np.full(m, base, U)
-        steps[0] = 1
-        back = np.full(m, pow(base, -1, 1 << 64), U)
-        back[0] = 1
-        have = (np.cumprod(steps), np.cumprod(back))
-        if m <= 1 << 23:
-            _tables[base] = have
-    return have
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of two runs one after the other."""
+    return mix(a ^ (b * U(0x9E3779B97F4A7C15) + U(0xD1342543DE82EF95)))
 
 
-def _sums(values: np.ndarray, base: int) -> np.ndarray:
-    out = np.zeros(len(values) + 1, U)
-    np.cumsum(values * powers(base, len(values))[0][: len(values)], out=out[1:])
-    return out
-
-
-def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """Hashes of values[start:end] for each pair; values are uint64."""
-    sums, back = _sums(values, base), powers(base, len(values))[1]
-    return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(U) * U(0x9FB21C651E98DF25))
+def distinct(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct byte spans, and which of them each span is. Spans are not empty, in order, and do not overlap."""
+    if not len(starts):
+        return [], np.zeros(0, np.int32)
+    steps = np.zeros(len(buffer) + 1, np.int8)
+    steps[starts] = 1
+    steps[ends] -= 1  # a span may begin where another ends
+    body = buffer[np.cumsum(steps[:-1], dtype=np.int8).view(bool)]
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(body)]).dictionary_encode()
+    return found.dictionary.to_pylist(), found.indices.to_numpy()
 
 
 @dataclass
@@ -62,9 +54,15 @@ class Words:
     ends: np.ndarray
     first: np.ndarray
     """first[d]:first[d + 1] are the words of text d."""
+    _lanes: np.ndarray | None = field(default=None, repr=False)
 
-    def hashes(self) -> np.ndarray:
-        return spans_hash(np.frombuffer(self.buffer, np.uint8).astype(U) + U(1), self.starts, self.ends)
+    def hashes(self, lane: int = 0) -> np.ndarray:
+        """64 of the 128 bits of each word's digest."""
+        if self._lanes is None:
+            kinds, place = distinct(np.frombuffer(self.buffer, np.uint8), self.starts, self.ends)
+            digests = b"".join(hashlib.blake2b(k, digest_size=16).digest() for k in kinds)
+            self._lanes = np.ascontiguousarray(np.frombuffer(digests, U).reshape(-1, 2).T)[:, place]
+        return self._lanes[lane]
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -86,6 +84,22 @@ def words_of(texts: list[bytes], separators: bytes = SPACE, lower: bool = True)
     return Words(buffer, starts, ends, np.searchsorted(starts, at))
 
 
+def rolled(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of `size` values, by joining runs of doubling length."""
+    n, done, length, run, out = len(hashes), 0, 1, hashes, None
+    if n < size:
+        return np.zeros(0, U)
+    while True:
+        if size & length:
+            many = n - done - length + 1
+            out = run if out is None else join(out[:many], run[done : done + many])
+            done += length
+        if done == size:
+            return mix(out + U(size))
+        run = join(run[:-length], run[length:])
+        length *= 2
+
+
 def windows(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts (word numbers in the batch) and hashes of all windows of `size` words inside one text."""
     n = len(hashes)
@@ -93,12 +107,9 @@ def windows(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarra
         return np.zeros(0, np.int64), np.zeros(0, U)
     left = np.repeat(first[1:], np.diff(first)) - np.arange(n)
     starts = np.flatnonzero(left >= size)
-    sums, back = _sums(hashes, _WORD_BASE), powers(_WORD_BASE, n)[1]
-    return starts, mix((sums[starts + size] - sums[starts]) * back[starts] + U(size))
+    return starts, rolled(hashes, size)[starts]
 
 
 def utf8(column) -> list[bytes]:
     """The bytes of a string column; null is empty."""
-    import pyarrow as pa
-
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

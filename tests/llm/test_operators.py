@@ -29,9 +29,13 @@ def odd_rows(start=10_000):
     return [(start + k, t) for k, t in enumerate(ODD * 2)]
 
 
-def run(spark, name, rows):
-    """A query over rows of documents given instead of a folder."""
-    return name(frame(spark, rows)).collect()
+def thue_morse(n, a, b):
+    """Two strings that polynomial hashes modulo powers of two cannot tell apart."""
+    ones = [k.bit_count() % 2 for k in range(n)]
+    return "".join(b if x else a for x in ones), "".join(a if x else b for x in ones)
+
+
+THUE_MORSE = [x for n in (1024, 2048) for pair in ("ab", "eq", "no", "th") for x in thue_morse(n, *pair)]
 
 
 # words and components
@@ -52,6 +56,20 @@ def test_words(texts):
     assert all(len(x) == 1 for x in by_hash.values())
 
 
+def test_hashes_of_structured_words():
+    w = words.words_of([x.encode() for x in THUE_MORSE])
+    for lane in (0, 1):
+        assert len(set(w.hashes(lane).tolist())) == len(THUE_MORSE)
+    rng = random.Random(9)
+    runs = words.words_of([" ".join(rng.choice("xy") for _ in range(3000)).encode(), " ".join(thue_morse(2048, "x ", "y ")).encode()])
+    for size in (1, 2, 3, 5, 35, 64, 1024):
+        starts, hashes = words.windows(runs.hashes(), runs.first, size)
+        spans = [runs.buffer[runs.starts[k] : runs.ends[k + size - 1]].split() for k in starts]
+        assert len(set(hashes.tolist())) == len({tuple(x) for x in spans})
+        of_words = {}
+        assert all(of_words.setdefault(tuple(x), h) == h for x, h in zip(spans, hashes.tolist()))
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(40)] + [(5, 5), (None, 3)]
@@ -98,6 +116,18 @@ def test_warc_pushes_filters(tmp_path):
 # 2 packing
 
 
+def test_structured_pieces():
+    for name, make in (("byte_bpe_50k.json", packing.Encoder), ("word_bpe_49k.json", token_count.Counter)):
+        path = queries.tokenizer(name)
+        library, own = tokenizers.Tokenizer.from_file(path), make(path)
+        want = [library.encode(x, add_special_tokens=False).ids for x in THUE_MORSE]
+        if name.startswith("byte"):
+            ids, first = own.encode(THUE_MORSE)
+            assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == want
+        else:
+            assert own.counts(THUE_MORSE).tolist() == [len(x) for x in want]
+
+
 def check_packing(rows, found, path):
     library = tokenizers.Tokenizer.from_file(path)
     want = Counter()
@@ -169,7 +199,8 @@ def test_embeddings(spark, monkeypatch):
     rows = [(k, x) for k, x in enumerate(v)]
     odd = [(5000, None), (5001, []), (5002, [0.0] * 8), (5003, [float("nan")] * 8), (5004, [1.0, None, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]), (5005, [float("inf")] * 8), (5006, [1.0, 2.0]), (5007, [2.0, 4.0]), (None, v[0])]
     monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 40)
-    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", 16 * 64)
+    monkeypatch.setattr(embedding_dedup, "TILE", 16)
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumn("size", F.lit(1)).withColumn("rep", F.lit(2))
     found = {r.vec_id: tuple(r)[1:] for r in embedding_dedup.near_embeddings(df).collect()}
     m = np.array(v)
@@ -211,8 +242,16 @@ def test_sharding(spark, docs):
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=80))
 def test_rooms(sizes):
-    rooms, plain = sharding.Rooms(block=4), []
+    rooms, plain = sharding.Rooms(), []
+    def balanced(node):
+        if not node:
+            return 0
+        a, b = balanced(node[1]), balanced(node[2])
+        assert abs(a - b) < 2 and node[3] == 1 + max(a, b)
+        return node[3]
+
     for k, n in enumerate(sizes):
+        balanced(rooms.root)
         if k % 3 == 2:
             found = rooms.take(n)
             fits = [x for x in plain if x[0] >= n]
@@ -311,6 +350,62 @@ def test_language(spark):
     assert language_id.identify(frame(spark, [(1, "x")]), empty).first().accepted is False
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.text(alphabet="aBc \té0.", max_size=12), max_size=5))
+def test_trigrams(texts):
+    grams, first = language_id.trigrams([t.encode() for t in texts])
+    for k, t in enumerate(texts):
+        plain = bytes(b if chr(b).isalpha() or b >= 0x80 else 0x20 for b in f" {t} ".encode()).lower()
+        while b"  " in plain:
+            plain = plain.replace(b"  ", b" ")
+        want = [(int.from_bytes(plain[i : i + 3], "big") * 2654435761 % 2**32) >> 17 for i in range(len(plain) - 2)]
+        assert grams[first[k] : first[k + 1]].tolist() == want
+
+
+def test_fusion_against_plain_arithmetic(spark):
+    """Text likelihoods, declared language, address and host priors, all in plain Python."""
+    from math import exp, log, sqrt
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sample = [(r.lang, r.text) for r in docs.select("lang", "text").collect() if r.text is not None and r.lang is not None]
+    model = language_id.fit(docs, "text", "lang", rows=10_000)
+    names = sorted({x for x, _ in sample})
+    assert model.languages == names
+    grams = lambda t: language_id.trigrams([(t or "").encode()])[0]
+    counts = {x: Counter() for x in names}
+    for lang, text in {(min(a for a, b in sample if b == t), t) for _, t in sample}:  # equal texts count once
+        counts[lang].update(grams(text).tolist())
+    size = language_id.BUCKETS
+    rate = {x: lambda g, c=c, n=sum(c.values()): log((c[g] + 0.5) / (n + 0.5 * size)) for x, c in counts.items()}
+    sites = ["http://a.example.de/x", "http://b.example.de/fr/y", "https://u@c.example.com:80/en-us", None, "mailto:x", "http://a.example.de/z"]
+    rows = [(k, t, sites[k % 6], [None, "de-DE", "fr_FR", "xx"][k % 4]) for k, (_, t) in enumerate(sample[:90])] + [(900, None, sites[0], None), (901, "", sites[1], "es")]
+    soft = lambda v: [exp(x - max(v)) / sum(exp(y - max(v)) for y in v) for x in v]
+    evidence, host = {}, {}
+    for i, text, url, said in rows:
+        g = grams(text).tolist()
+        text_part = [sum(rate[x](b) - sum(rate[y](b) for y in names) / len(names) for b in g) * min(1, 4 / sqrt(max(1, len(g)))) for x in names]
+        site = {None: None, "mailto:x": None}.get(url, (url or "").split("//")[-1].split("/")[0].split("@")[-1].split(":")[0])
+        suffix = language_id.SUFFIXES.get((site or "").split(".")[-1])
+        path = {1: "fr", 2: "en"}.get(sites.index(url))
+        code = (said or "").split("-")[0].split("_")[0].lower()
+        evidence[i] = [t + 3.0 * (code == x) + 1.5 * (suffix == x) + 1.5 * (path == x) for t, x in zip(text_part, names)]
+        host[i] = site
+    posterior = {i: soft(v) for i, v in evidence.items()}
+    up = lambda h: ".".join(h.split(".")[-2:])
+    total = lambda ids: [sum(posterior[i][k] for i in ids) for k in range(len(names))]
+    all_ids = [i for i in host if host[i]]
+    for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, url string, said string"), model, declared="said", url="url").collect():
+        v, h = evidence[r.doc_id], host[r.doc_id]
+        if h:
+            w, near, own = total(all_ids), [i for i in all_ids if up(host[i]) == up(h)], [i for i in all_ids if host[i] == h]
+            base = [(x + 1) / (len(all_ids) + len(names)) for x in w]
+            parent = [(x + 20 * b) / (len(near) + 20) for x, b in zip(total(near), base)]
+            v = [x + log((o + 20 * p) / (len(own) + 20)) for x, o, p in zip(v, total(own), parent)]
+        want = soft(v)
+        assert r.confidence == pytest.approx(max(want), abs=1e-4)
+        assert r.language == names[want.index(max(want))] or sorted(want)[-1] - sorted(want)[-2] < 1e-4
+
+
 # 7 substring
 
 
@@ -335,6 +430,12 @@ def test_substring(spark, window):
     assert substring.remove_repeats(df.where("false")).count() == 0
 
 
+def test_substring_of_structured_words(spark):
+    rows = [(k, " ".join([f"w{j}" for j in range(20)] + [x] + [f"w{j}" for j in range(14)])) for k, x in enumerate(THUE_MORSE)]
+    assert {(r.n_words, r.n_removed) for r in substring.remove_repeats(frame(spark, rows)).collect()} == {(35, 0)}
+    assert {(r.n_words, r.n_removed) for r in substring.remove_repeats(frame(spark, rows + rows)).collect()} == {(35, 35)}
+
+
 # 8 tokens
 
 
@@ -365,6 +466,12 @@ def test_long_license_expressions():
     assert license_scan.scan(b"SPDX-License-Identifier:" + b" " * 5000 + b"\nMIT")[5] == ""
 
 
+def test_many_notices_in_a_text():
+    words_, n = "a mit license b cc by nc c ", 30_000
+    found = license_scan.scan((words_ * n).encode())
+    assert found[:6] == (8 * n, 2 * n, 1, 8 * (n - 1) + 4, "cc-by,mit", "cc-by,cc-by-nc,mit")
+
+
 def test_licenses(spark, docs):
     rows = docs + odd_rows() + [(1, "MIT   License mit-license CC\nBY-NC; gnu General PUBLIC license."), (2, "SPDX-License-Identifier: MIT OR (GPL-2.0-only AND BSD-3-Clause)\nx"), (None, "Apache License")]
     df = frame(spark, rows).withColumn("labels", F.lit("x")).withColumn("score", F.lit(1))
@@ -413,6 +520,19 @@ def test_near_duplicates(spark, docs):
     assert minhash.near_duplicates(df.where("false")).count() == 0
 
 
+def test_near_duplicates_of_structured_words(spark):
+    rows = [(k, f"one two {x} four five") for k, x in enumerate(THUE_MORSE)]
+    assert all(r.component_id == r.doc_id and r.kept for r in minhash.near_duplicates(frame(spark, rows)).collect())
+
+
+def test_confirming_very_long_texts(spark):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(50_000)}" for _ in range(60_000)]
+    rows = [(k, " ".join(base[: 60_000 - 900 * k] + [f"x{k}"])) for k in range(8)]
+    got = {r.doc_id: tuple(r)[1:] for r in minhash.near_duplicates(frame(spark, rows).repartition(3)).collect()}
+    assert got == brute.near(rows)
+
+
 def test_sketch_never_rules_out_a_link():
     rng = np.random.default_rng(1)
     for n in (3, 20, 150, 2000):
