@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut, release, small
+from quire.llm.common import cut, discard, release, small
 from quire.llm.decontaminate import find_leaks
 from quire.llm.language_id import fit, identify
 from quire.llm.minhash import BROADCAST_IDS, near_duplicates
@@ -20,7 +20,7 @@ from quire.llm.substring import remove_repeats
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter or without a language that is more likely than not."""
-    return identify(docs, fit(docs, "text", "lang"), declared="lang", host="source").where("accepted").select(*docs.columns)
+    return identify(docs, fit(docs, "text", "lang"), host="source").where("accepted").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,10 +60,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, done = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = cut(docs, name)
+            if done is not None:
+                discard(done)
+            done = docs
             release(spark)
     return docs
