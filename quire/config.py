@@ -40,6 +40,7 @@ EXPANSION_LEAD = "\n\nTermes de recherche additionnels : "
 LABELS = ("question originale", "reformulation LLM", "expansion synonymes")
 TITLE_UNIT = r"\d\s*(?:TB|TiB|PB|PiB|GB/s|IOPS|W|watts?)\b"
 VALUE_PATTERN = r"\d[\d,.\s–-]*(?:watts?|w|pb|pib|tb|tib|gb/s|gb|iops|ms|µs|us|sla|u)\b"
+REWRITE_CHARS = 600
 TRUE_WORDS = ("1", "true", "yes", "oui", "on")
 ADAPTIVE = (  # branch, least top_k, least candidate_k, most min_score; the first that applies wins
     ("inventory", 12, 180, 0.0),

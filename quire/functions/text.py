@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import sys
 import unicodedata
 from collections.abc import Iterable
-from functools import reduce
+from functools import cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,17 +16,23 @@ from pyspark.sql.types import StringType
 from ..config import STOP_WORDS, TECHNICAL_HINTS, UNITS
 
 
-def _folds() -> tuple[str, str]:
-    """Latin letters whose compatibility decomposition leaves one ASCII character, and that character."""
-    pairs = []
-    for code in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00)]:
-        plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
-        if len(plain) == 1:
-            pairs.append((chr(code), plain))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+@cache
+def folds() -> tuple[dict[str, str], dict[str, str]]:
+    """What compatibility decomposition leaves of characters in ASCII: of those that leave one character, and of those that leave more."""
+    one, more = {}, {}
+    for x in map(chr, range(0x80, sys.maxunicode + 1)):
+        if unicodedata.decomposition(x):
+            plain = unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode()
+            if plain:
+                (one if len(plain) == 1 else more)[x] = plain
+    return one, more
 
 
-ACCENTED, PLAIN = _folds()
+def ranges(characters: Iterable[str]) -> str:
+    """Characters as ranges of a regular expression's class."""
+    codes = sorted(map(ord, characters))
+    ends = [k for k in range(len(codes)) if k + 1 == len(codes) or codes[k + 1] != codes[k] + 1]
+    return "".join(f"{chr(codes[a])}-{chr(codes[b])}" for a, b in zip([0, *(k + 1 for k in ends)], ends))
 
 
 def col(x: Column | str) -> Column:
@@ -37,13 +45,18 @@ def squash(x: Column | str) -> Column:
 
 
 def fold(x: Column | str) -> Column:
-    """Accents dropped, then anything that is not ASCII, lower-cased. Covers Latin letters; fold_full covers all of Unicode."""
-    return F.lower(F.regexp_replace(F.translate(col(x), ACCENTED, PLAIN), r"[^\x00-\x7F]", ""))
+    """Compatibility decomposition of all of Unicode, what is not ASCII dropped, lower-cased. Plain ASCII texts skip the tables."""
+    x, (one, more) = col(x), folds()
+    long, may = ranges(more), ranges(c for c in more if c < "\u2000") + "\u2000-\U0010ffff"  # few ranges, tried first
+    pieces, table = F.regexp_extract_all(x, F.lit(f"[{long}]|[^{long}]+"), F.lit(0)), F.from_json(F.lit(json.dumps(more)), "map<string,string>")
+    whole = F.when(x.rlike(f"[{may}]"), F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(table, p), p)), "")).otherwise(x)
+    plain = F.regexp_replace(F.translate(whole, "".join(one), "".join(one.values())), r"[^\x00-\x7F]", "")
+    return F.lower(F.when(x.rlike(r"[^\x00-\x7F]"), plain).otherwise(x))
 
 
 @F.pandas_udf(StringType())
 def fold_full(x: pd.Series) -> pd.Series:
-    """Compatibility decomposition, non-ASCII dropped, lower-cased."""
+    """The same as fold through the Unicode library, in an Arrow UDF."""
     return x.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii").str.lower()
 
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.text import estimate_tokens, source_link
+from ..functions.text import estimate_tokens, excerpt, source_link
 from ..session import ready
 
+PATTERNS = 10_000
+# An empty context's sentence, the rules of a prompt, and the head of a source's block (in source_block).
 NO_CONTEXT = "Aucun contexte disponible."
 RULES = ("Réponds en français.", "N'utilise que le contexte.", "Cite les sources sous la forme [N].", "Présente les valeurs techniques en tableau.", "Si le contexte ne suffit pas, dis-le.")
 
@@ -57,7 +59,9 @@ def prompts(questions: DataFrame, contexts: DataFrame, rules: tuple[str, ...] =
 
 
 def mentions(results: DataFrame, patterns: DataFrame, most: int = 4) -> DataFrame:
-    """(qid, name, sources): for each named pattern (name, pattern) the ranks, at most `most`, of the results it matches."""
+    """(qid, name, sources): for each named pattern (name, pattern) the ranks, at most `most`, of the results it matches. The patterns meet every result, so there may be PATTERNS at most."""
+    if patterns.limit(PATTERNS + 1).count() > PATTERNS:
+        raise ValueError(f"more than {PATTERNS} patterns")
     hits = results.select("qid", "rank", "text").join(F.broadcast(patterns), F.expr("regexp_like(text, concat('(?i)', pattern))"))
     return hits.groupBy("qid", "name").agg(F.slice(F.array_sort(F.collect_set("rank")), 1, most).alias("sources"))
 
@@ -108,5 +112,8 @@ def recent(history: DataFrame, order: list[Column], n: int = 10) -> DataFrame:
     return history.orderBy(*order).limit(n)
 
 
-def numbered(results: DataFrame) -> DataFrame:
-    return results.withColumn("number", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
+def result_lines(results: DataFrame, size: int = 700) -> DataFrame:
+    """(qid, rank, line): a ranked result as a console shows it, with the start of its text."""
+    place = F.when(F.col("source_type") == "web", F.concat(F.lit("Web : "), "file", F.lit(" | "), F.coalesce("url", F.lit("")))).otherwise(F.concat("file", F.lit(", page "), F.col("page").cast("string")))
+    head = F.format_string("[%d] %s, chunk %d\nscore_final=%.3f | faiss=%.3f | lexical=%.3f\n%s", F.col("rank").cast("long"), place, F.col("ordinal").cast("long"), "final", "semantic", "lexical", excerpt("text", size))
+    return results.select("qid", "rank", head.alias("line"))

@@ -72,3 +72,9 @@ def report_delta(baseline: DataFrame, current: DataFrame, metrics: tuple[str, ..
     both = long(baseline, "baseline").join(long(current, "current"), "metric")
     delta = F.col("current") - F.col("baseline")
     return both.select("metric", "baseline", "current", delta.alias("delta"), signed(delta).alias("label"))
+
+
+def delta_lines(deltas: DataFrame) -> DataFrame:
+    """(metric, line) of report_delta's rows, as a console shows them; latencies are in seconds."""
+    unit = F.when(F.col("metric") == "latency", F.lit("s")).otherwise("")
+    return deltas.select("metric", F.format_string("%s %.2f%s -> %.2f%s  %s%s", F.rpad("metric", 16, " "), "baseline", unit, "current", unit, "label", unit).alias("line"))

@@ -19,23 +19,32 @@ def term_weight(tf: Column, length: Column, mean: Column, config: RetrievalConfi
     return tf * (config.k1 + 1) / (tf + config.k1 * (1 - config.b + config.b * length / F.greatest(F.lit(1.0), mean)))
 
 
+def asked_words(texts: DataFrame, key: str, text: str, vocabulary: DataFrame) -> DataFrame:
+    """(key, _length, _term, _tf) of each word of `vocabulary` (_term) that a text has, and one row with _term '' for the text itself.
+
+    Only words of the vocabulary survive the scan: they are met there, before anything is shuffled, if the vocabulary is small enough to be sent.
+    """
+    known = vocabulary.unionAll(texts.sparkSession.createDataFrame([("",)], "_term string"))
+    words = texts.select(key, F.coalesce(tokens(text), F.array().cast("array<string>")).alias("_tokens"))
+    words = words.select(key, F.size("_tokens").alias("_length"), F.explode_outer(F.concat(F.array(F.lit("")), "_tokens")).alias("_term"))  # never empty; see segment on the outer form
+    return words.join(known, "_term", "left_semi").groupBy(key, "_length", "_term").agg(F.count("*").alias("_tf"))
+
+
 def bm25_candidates(candidates: DataFrame, questions: DataFrame, text: str = "text", question: str = "query_text", config: RetrievalConfig = _DEFAULT, texts: DataFrame | None = None) -> DataFrame:
     """candidates (qid, chunk_id, text, ...) with `lexical`: BM25 where a question's corpus is its candidate set, divided by the best; 0 if none matches.
 
     Length counts all tokens of three characters or more. questions: qid and the labelled query text; one row a qid.
-    texts: chunk_id and text, if the candidates' texts are better read from their table.
+    texts: chunk_id and text, one row a chunk, if the candidates' texts are better read from their table.
     """
     whole = Window.partitionBy("qid")
     asked = questions.select("qid", F.explode(query_terms(question)).alias("_term"))
     pairs = candidates.select("qid", "chunk_id")
-    source = candidates if texts is None else texts.join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    words = source.select("chunk_id", text).dropDuplicates(["chunk_id"]).select("chunk_id", tokens(text).alias("_tokens"))
-    # Each chunk is tokenised once, however many questions it is a candidate of; only words that some question asks for go on.
-    words = words.select("chunk_id", F.size("_tokens").alias("_length"), F.explode_outer("_tokens").alias("_term"))
-    lengths = words.groupBy("chunk_id").agg(F.max("_length").alias("_length"))
-    tf = words.join(asked.select("_term").distinct(), "_term", "left_semi").groupBy("chunk_id", "_term").agg(F.count("*").alias("_tf"))
-    sized = pairs.join(lengths, "chunk_id").withColumn("_n", F.count("*").over(whole)).withColumn("_mean", F.avg("_length").over(whole))
-    hits = sized.join(tf, "chunk_id").join(asked, ["qid", "_term"])
+    # Each chunk is tokenised once, however many questions it is a candidate of, and has one row of its length and asked words.
+    source = candidates.select("chunk_id", text).dropDuplicates(["chunk_id"]) if texts is None else texts.join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    words = asked_words(source, "chunk_id", text, asked.select("_term").distinct()).where(F.col("_length").isNotNull())
+    words = words.groupBy("chunk_id", "_length").agg(F.collect_list(F.when(F.col("_term") != "", F.struct("_term", "_tf"))).alias("_words"))
+    sized = pairs.join(words, "chunk_id").withColumn("_n", F.count("*").over(whole)).withColumn("_mean", F.avg("_length").over(whole))
+    hits = sized.select("qid", "chunk_id", "_length", "_n", "_mean", F.explode("_words").alias("_x")).select("*", "_x.*").join(asked, ["qid", "_term"])
     hits = hits.withColumn("_df", F.count("*").over(Window.partitionBy("qid", "_term")))
     scored = hits.groupBy("qid", "chunk_id").agg(F.sum(idf(F.col("_n"), F.col("_df")) * term_weight(F.col("_tf"), F.col("_length"), F.col("_mean"), config)).alias("_score"))
     best = F.max("_score").over(whole)
@@ -46,16 +55,22 @@ def bm25_candidates(candidates: DataFrame, questions: DataFrame, text: str = "te
 def bm25_topk(corpus: DataFrame, questions: DataFrame, k: int, key: str = "chunk_id", text: str = "text", question: str = "question", config: RetrievalConfig = _DEFAULT) -> DataFrame:
     """(qid, key, score, rank): the k best of the whole corpus for each question, among texts that share a term; ties by key.
 
-    Only the questions' words survive the scan: a text becomes one row for each of them that it holds.
+    A text becomes one row for each of the questions' words that it holds, and one for its length.
     """
-    asked = questions.select("qid", F.explode(query_terms(question)).alias("term"))
-    vocabulary = asked.select("term").distinct()
-    rows = corpus.select(key, tokens(text).alias("_tokens")).withColumn("length", F.size("_tokens"))
-    stats = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    postings = rows.select(key, "length", F.explode("_tokens").alias("term")).join(vocabulary, "term", "left_semi").groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weights = postings.join(df, "term").join(F.broadcast(stats))  # stats is one row
-    weights = weights.select("term", key, (idf(F.col("n"), F.col("df")) * term_weight(F.col("tf"), F.col("length"), F.col("mean"), config)).alias("w"))
-    scored = weights.join(asked, "term").groupBy("qid", key).agg(F.sum("w").alias("score"))
+    asked = questions.select("qid", F.explode(query_terms(question)).alias("_term"))
+    postings = asked_words(corpus.select(F.col(key), text), key, text, asked.select("_term").distinct())
+    terms = postings.groupBy("_term").agg(F.count("*").alias("_df"), F.sum("_length").alias("_total")).cache()  # a row a word that is asked for
+    stats = terms.where("_term = ''").select(F.col("_df").alias("_n"), (F.col("_total") / F.col("_df")).alias("_mean"))
+    weights = postings.where("_term <> ''").join(terms.select("_term", "_df"), "_term").join(F.broadcast(stats))  # stats is one row
+    weights = weights.select("_term", key, (idf(F.col("_n"), F.col("_df")) * term_weight(F.col("_tf"), F.col("_length"), F.col("_mean"), config)).alias("w"))
+    scored = weights.join(asked, "_term").groupBy("qid", key).agg(F.sum("w").alias("score"))
     order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def overlaps(corpus: DataFrame, questions: DataFrame, key: str = "chunk_id", text: str = "text", question: str = "question") -> DataFrame:
+    """(qid, key, overlap): the share of a question's terms that a text has, for all pairs that share one."""
+    terms = questions.select("qid", query_terms(question).alias("_terms"))
+    asked = terms.select("qid", F.size("_terms").alias("_all"), F.explode("_terms").alias("_term"))
+    found = asked_words(corpus.select(F.col(key), text), key, text, asked.select("_term").distinct()).where("_term <> ''")
+    return found.join(asked, "_term").groupBy("qid", key, "_all").agg(F.count("*").alias("_n")).select("qid", key, (F.col("_n") / F.col("_all")).alias("overlap"))

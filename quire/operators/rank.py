@@ -46,8 +46,8 @@ class MetadataFilter:
 
 
 def fuse(hits: DataFrame, config: RetrievalConfig = _DEFAULT) -> DataFrame:
-    """(qid, chunk_id, semantic, matches, fused_rank) of hits (qid, variant_pos, chunk_id, score, hit_rank): the best score plus a bonus for each further variant; ties in the order first seen."""
-    one = hits.groupBy("qid", "chunk_id").agg(F.max("score").alias("best"), F.count_distinct("variant_pos").alias("matches"), F.min(F.struct("variant_pos", "hit_rank")).alias("seen"))
+    """(qid, chunk_id, semantic, matches, fused_rank) of hits (qid, variant_pos, chunk_id, score): the best score plus a bonus for each further variant; ties in the order first seen, by variant and then by its score."""
+    one = hits.groupBy("qid", "chunk_id").agg(F.max("score").alias("best"), F.count_distinct("variant_pos").alias("matches"), F.min(F.struct("variant_pos", -F.col("score"))).alias("seen"))
     one = one.withColumn("semantic", F.col("best") + config.fusion_bonus * (F.col("matches") - 1))
     order = Window.partitionBy("qid").orderBy(F.desc(F.round("semantic", 9)), "seen", "chunk_id")
     return one.select("qid", "chunk_id", "semantic", "matches", F.row_number().over(order).alias("fused_rank"))
@@ -89,10 +89,10 @@ def boost(results: DataFrame, rules: Iterable[tuple[Column, float]]) -> DataFram
     return rerank(results.withColumn("final", F.col("final") + bonus))
 
 
-def diversify(results: DataFrame, top_k: int | Column, per_file: int = 2) -> DataFrame:
-    """At most per_file chunks of a file, in rank order; if these are fewer than top_k, the others follow in rank order."""
+def diversify(results: DataFrame, top_k: int | Column, per_file: int = 2, when: Column | None = None) -> DataFrame:
+    """At most per_file chunks of a file, in rank order; if these are fewer than top_k, the others follow in rank order. `when`: only for questions where it holds."""
     place = F.row_number().over(Window.partitionBy("qid", "file").orderBy("rank"))
-    over = results.withColumn("_over", place > per_file)
+    over = results.withColumn("_over", (place > per_file) & (F.lit(True) if when is None else when))
     again = over.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("_over", "rank")))
     return again.where(F.col("rank") <= top_k).drop("_over")
 
@@ -120,9 +120,9 @@ def apply_order(results: DataFrame, orders: DataFrame, top_k: int | Column, wind
 
 
 def apply_cross_scores(results: DataFrame, scores: DataFrame, top_k: int | Column, window: int | None = None, config: RetrievalConfig = _DEFAULT) -> DataFrame:
-    """Adds a cross-encoder's scores (qid, chunk_id, cross) within the first `window` results, and ranks these anew; the tail keeps its order, and rows without a score stay in."""
+    """Adds a cross-encoder's scores (qid, chunk_id, cross) within the first `window` results, and ranks these anew; the tail keeps its order, rows without a score stay in, and a question without any score keeps its order."""
     wide = F.greatest(F.lit(top_k), F.lit(window or config.cross_window))
-    rows = results.join(scores, ["qid", "chunk_id"], "left").withColumn("_n", F.count("*").over(Window.partitionBy("qid")))
+    rows = results.join(scores, ["qid", "chunk_id"], "left").withColumn("_n", F.when(F.count("cross").over(Window.partitionBy("qid")) > 0, F.count("*").over(Window.partitionBy("qid"))).otherwise(0))
     inside = (F.col("_n") > top_k) & (F.col("rank") <= wide)
     rows = rows.withColumn("final", F.when(inside, F.col("final") + F.coalesce("cross", F.lit(0.0))).otherwise(F.col("final")))
     order = Window.partitionBy("qid").orderBy(F.col("rank") > wide, F.when(inside, -F.round("final", 9)).otherwise(0.0), "rank")

@@ -1,6 +1,7 @@
 """Text segmentation: sentences, packed chunks, sections, technical windows, table Markdown.
 
-All but the chunk packer, a sequential fold, are Column expressions and windows.
+All but the chunk packer, a sequential fold, are Column expressions and windows. Rows are exploded with the outer forms: for
+the others Spark puts a filter on the array's size below, and works the whole array out again for it.
 """
 
 from __future__ import annotations
@@ -114,25 +115,31 @@ def is_title(line: Column | str, after_blank: Column | str) -> Column:
     )
 
 
+def _marked(df: DataFrame, key: list[str], text: str) -> DataFrame:
+    """key, the text and `_lines`: its non-blank, non-boilerplate lines as (line_no, line, title). A text's lines stay in its row."""
+    numbered = F.transform(lines(text), lambda x, i: F.struct(i.alias("line_no"), squash(x).alias("line")))
+    rows = df.select(*key, F.col(text).alias("_text"), F.filter(numbered, lambda r: ~is_boilerplate(r["line"])).alias("_all"))
+    after_blank = lambda i: (i == 0) | (F.get("_all", i - 1)["line"] == "")
+    judged = F.transform("_all", lambda r, i: F.struct(r["line_no"].alias("line_no"), r["line"].alias("line"), ((r["line"] != "") & is_title(r["line"], after_blank(i))).alias("title")))
+    return rows.select(*key, "_text", F.filter(judged, lambda r: r["line"] != "").alias("_lines"))
+
+
 def title_lines(df: DataFrame, key: list[str], text: str) -> DataFrame:
     """Non-blank, non-boilerplate lines: key, line_no (from 0), line, title (whether it is one)."""
-    rows = df.select(*key, F.posexplode(lines(text)).alias("line_no", "line")).withColumn("line", squash("line")).where(~is_boilerplate("line"))
-    order = Window.partitionBy(*key).orderBy("line_no")
-    rows = rows.withColumn("after_blank", F.lag(F.col("line") == "", 1, True).over(order))
-    return rows.where("line <> ''").select(*key, "line_no", "line", is_title("line", "after_blank").alias("title"))
+    return _marked(df, key, text).select(*key, F.explode_outer("_lines").alias("_x")).where("_x is not null").select(*key, "_x.*")
 
 
 def sections(df: DataFrame, key: list[str], text: str) -> DataFrame:
     """key, pos (from 0), title (empty if none), body. A title without a body goes; a text without sections is one, squashed."""
-    order = Window.partitionBy(*key).orderBy("line_no")
-    marked = title_lines(df, key, text).withColumn("section", F.sum(F.col("title").cast("int")).over(order))
-    grouped = marked.groupBy(*key, "section").agg(
-        F.coalesce(F.max(F.when(F.col("title"), F.col("line"))), F.lit("")).alias("title"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("title"), F.struct("line_no", "line")))), lambda x: x["line"]), " ").alias("body"),
-    )
-    found = grouped.where("body <> ''").select(*key, (F.row_number().over(Window.partitionBy(*key).orderBy("section")) - 1).alias("pos"), "title", "body")
-    rest = df.join(found.select(*key).distinct(), key, "left_anti").select(*key, F.lit(0).alias("pos"), F.lit("").alias("title"), squash(text).alias("body")).where("body <> ''")
-    return found.unionByName(rest)
+    titles = F.filter(F.transform("_lines", lambda r, i: F.when(r["title"], i)), lambda i: i.isNotNull())
+    rows = _marked(df, key, text).withColumn("_starts", F.concat(F.array(F.lit(-1)), titles))
+    until = lambda k: F.coalesce(F.get("_starts", k + 1), F.size("_lines"))
+    body = lambda s, k: F.array_join(F.transform(F.slice("_lines", s + 2, until(k) - s - 1), lambda r: r["line"]), " ")
+    parts = F.transform("_starts", lambda s, k: F.struct(F.coalesce(F.get("_lines", s)["line"], F.lit("")).alias("title"), body(s, k).alias("body")))
+    rows = rows.select(*key, "_text", F.filter(parts, lambda x: x["body"] != "").alias("_parts"))
+    whole = F.array(F.struct(F.lit("").alias("title"), squash("_text").alias("body")))
+    found = F.when(F.size("_parts") > 0, F.col("_parts")).when(squash("_text") != "", whole)
+    return rows.select(*key, F.posexplode_outer(found).alias("pos", "_x")).where("_x is not null").select(*key, "pos", "_x.*")
 
 
 def clean_title(x: Column | str) -> Column:
@@ -148,7 +155,7 @@ def section_chunks(df: DataFrame, key: list[str], text: str, size: int = 800, ov
 
 def technical_windows(df: DataFrame, key: list[str], text: str, page: Column | str, pattern: str = VALUE_PATTERN, before: int = 4, after: int = 3, most: int = 4, least: int = 80) -> DataFrame:
     """key, window_no (from 1), excerpt: merged windows around lines that match; needs two such lines; the first `most`, short ones dropped but numbered."""
-    rows = df.select(*key, col(page).alias("_page"), F.posexplode(F.filter(F.transform(lines(text), squash), lambda x: x != "")).alias("i", "line"))
+    rows = df.select(*key, col(page).alias("_page"), F.posexplode_outer(F.filter(F.transform(lines(text), squash), lambda x: x != "")).alias("i", "line")).where("line is not null")
     whole, order = Window.partitionBy(*key), Window.partitionBy(*key).orderBy("i")
     hits = rows.withColumn("n_lines", F.count("*").over(whole)).where(F.col("line").rlike(f"(?iu){pattern}")).withColumn("hits", F.count("*").over(whole)).where("hits >= 2")
     step = F.col("i") - F.lag("i").over(order)

@@ -6,7 +6,7 @@ tasks x queries x k rows, whatever the table's size. Query sets beyond a bound a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..session import ready
 
-QUERY_BYTES = 64 << 20
-"""Bytes of query vectors that one pass sends to the executors."""
+QUERY_BYTES, EMIT = 64 << 20, 1 << 18
+"""Bytes of query vectors that one pass sends to the executors; scores of a batch."""
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -32,28 +32,54 @@ def _best(rows: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([sure, tied[np.argsort(ids[tied], kind="stable")][: k - len(sure)]])
 
 
-def vector_topk(chunks: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", query_key: tuple[str, ...] = ("qid", "variant_pos")) -> DataFrame:
-    """(query key..., chunk_id, score, hit_rank): the k chunks with the largest inner product; ties by chunk_id.
-
-    chunks: chunk_id and the vector; queries: the key and the vector. All vectors have one length. Filters belong below this operator.
-    """
+def _passes(queries: DataFrame, vector: str) -> int:
+    """Into how many blocks of QUERY_BYTES the query vectors go."""
     width = queries.select(F.max(F.size(vector)).alias("n"), F.count("*").alias("rows")).first()
-    per_pass = max(1, QUERY_BYTES // (8 * max(1, width["n"] or 1)))
-    passes = max(1, -(-(width["rows"] or 0) // per_pass))
-    out = None
+    return max(1, -(-(width["rows"] or 0) // max(1, QUERY_BYTES // (8 * max(1, width["n"] or 1)))))
+
+
+def _blocks(chunks: DataFrame, queries: DataFrame, vector: str, query_key: tuple[str, ...], run: Callable[[DataFrame, np.ndarray], DataFrame]) -> DataFrame:
+    """(query key..., and what run gives beside _q) for all blocks of queries; `run` gets the chunks and a block's matrix."""
+    passes, out = _passes(queries, vector), None
     for p in range(passes):
         mine = queries.where(F.pmod(F.xxhash64(*query_key), F.lit(passes)) == p) if passes > 1 else queries
-        rows = mine.select(*query_key, vector).collect()
+        rows = mine.where(F.col(vector).isNotNull()).select(*query_key, vector).collect()  # QUERY_BYTES at most
         keys = [tuple(r[c] for c in query_key) for r in rows]
-        matrix = np.array([r[vector] for r in rows], np.float64).reshape(len(rows), -1)
-        found = _search(chunks.select("chunk_id", vector), matrix, k)
+        found = run(chunks.select("chunk_id", vector), np.array([r[vector] for r in rows], np.float64).reshape(len(rows), -1 if rows else 0))
         named = queries.sparkSession.createDataFrame([(n, *key) for n, key in enumerate(keys)], f"_q int, {', '.join(f'{c} {queries.schema[c].dataType.simpleString()}' for c in query_key)}")
-        ranked = found.withColumn("hit_rank", F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("score"), "chunk_id"))).where(F.col("hit_rank") <= k)
-        part = ranked.join(F.broadcast(named), "_q").select(*query_key, "chunk_id", "score", "hit_rank")
+        part = found.join(F.broadcast(named), "_q").select(*query_key, *(c for c in found.columns if c != "_q"))
         out = part if out is None else out.unionAll(part)
     return out
 
 
+def vector_topk(chunks: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", query_key: tuple[str, ...] = ("qid", "variant_pos")) -> DataFrame:
+    """(query key..., chunk_id, score, hit_rank): the k chunks with the largest inner product; ties by chunk_id.
+
+    chunks: chunk_id and the vector; queries: the key and the vector. All vectors have one length. Filters belong below this operator.
+    """
+    order = Window.partitionBy("_q").orderBy(F.desc("score"), "chunk_id")
+    return _blocks(chunks, queries, vector, query_key, lambda rows, matrix: _search(rows, matrix, k).withColumn("hit_rank", F.row_number().over(order)).where(F.col("hit_rank") <= k))
+
+
+def all_scores(chunks: DataFrame, queries: DataFrame, vector: str = "embedding", query_key: tuple[str, ...] = ("qid", "variant_pos")) -> DataFrame:
+    """(query key..., chunk_id, score): every inner product, for pools that a filter has narrowed. Nothing is ranked, held or shuffled."""
+
+    def every(rows: DataFrame, matrix: np.ndarray) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            step = max(1, EMIT // max(1, len(matrix)))
+            for batch in batches:
+                batch = batch.filter(batch.column(1).is_valid())
+                for begin in range(0, batch.num_rows if len(matrix) else 0, step):
+                    part = batch.slice(begin, step)
+                    scores = matrix @ _matrix(part.column(1)).T
+                    ids = np.tile(part.column(0).to_numpy(zero_copy_only=False), len(matrix))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(matrix), dtype=np.int32), part.num_rows)), pa.array(ids), pa.array(scores.ravel())], names=["_q", "chunk_id", "score"])
+
+        return ready(rows).mapInArrow(run, "_q int, chunk_id long, score double")
+
+    return _blocks(chunks, queries, vector, query_key, every)
+
+
 def _search(chunks: DataFrame, matrix: np.ndarray, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(matrix)

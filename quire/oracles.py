@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from . import config
-from .functions.text import ACCENTED, PLAIN
-from .queries import DAY, MODEL, PATTERNS, RULES
+from .queries import BRANCH_WORDS, DAY, MODEL, PATTERNS, RULES
 
 
 def _quote(x: str) -> str:
@@ -12,7 +11,8 @@ def _quote(x: str) -> str:
 
 
 def _fold(x: str) -> str:
-    return f"lower(regexp_replace(translate({x}, {_quote(ACCENTED)}, {_quote(PLAIN)}), '[^\\x00-\\x7F]', '', 'g'))"
+    # The tables have accented Latin letters only; the full decomposition is held against Unicode's in the tests.
+    return f"lower(regexp_replace(strip_accents({x}), '[^\\x00-\\x7F]', '', 'g'))"
 
 
 def _tokens(x: str) -> str:
@@ -152,9 +152,7 @@ def _html(x: str) -> str:
 
 
 def _unescape(x: str) -> str:
-    from .sources.html import ENTITIES
-
-    for name, char in ENTITIES:
+    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):  # all that the tables have
         x = f"replace({x}, {_quote(name)}, {_quote(char)})"
     return x
 
@@ -211,6 +209,48 @@ t3 as (select *, coalesce(max((watt and narrow and power)::int) over (partition
 t5 as (select *, row_number() over (partition by qid, file order by rank) > 2 as over_cap from t4), t6 as (select * exclude (rank), row_number() over (partition by qid order by over_cap, rank) as rank from t5)"""
 
 
+def _profile_search() -> str:
+    """The chain over questions of all branches: each branch's own k and threshold, focus on files for one with watts, and a cap a file for portfolio questions."""
+    sql = _search().replace("qualify hit_rank <= 80", "qualify hit_rank <= [160, 120, 120, 80][qid % 4 + 1]")
+    sql = sql.replace("round(final, 9) >= 0.1", "round(final, 9) >= [0.0, 0.0, 0.05, 0.1][qid % 4 + 1]")
+    sql = sql.replace("t3 as (select *,", "f0 as (select *, qid % 4 = 1 and narrow and (contains(file, 'src1') or contains(file, 'src2')) as focus from t2), f1 as (select *, coalesce(max(focus::int) over (partition by qid), 0) = 1 as anyf from f0), t3 as (select *,")
+    sql = sql.replace("over (partition by qid), 0) = 1 as anyw from t2)", "over (partition by qid), 0) = 1 as anyw from f1 where not anyf or focus)")
+    sql = sql.replace("order by rank) > 2 as over_cap", "order by rank) > 2 and qid % 4 = 0 as over_cap").replace("benchmark", "bq")
+    head = f"with recursive bq as (select item_id, ({_list(BRANCH_WORDS)})[item_id % 4 + 1] || text as text from benchmark), "
+    return sql.replace("with recursive ", head, 1) + " select qid, chunk_id, round(semantic, 6) as semantic, round(lexical, 6) as lexical, round(final, 6) as final, rank from t6 where rank <= [12, 8, 10, 8][qid % 4 + 1]"
+
+
+def _filtered_search() -> str:
+    sql = _search().replace("from qv, ch where true", "from qv, ch where source_type = 'pdf' and file in ('src1', 'src2', 'src3') and page >= 2").replace("qualify hit_rank <= 80", "")
+    return sql.replace("order by rank) > 2 as over_cap", "order by rank) > 2 and false as over_cap") + " select qid, chunk_id, round(semantic, 6) as semantic, round(lexical, 6) as lexical, round(final, 6) as final, rank from t6 where rank <= 8"
+
+
+def _asked() -> str:
+    head = "\\[Source (\\d+) \\|[^\\]]*\\]\n(.*)"
+    parts = f"{_FIT}, {_CONTEXT}".replace("from scored where", "from t6 where").replace("1200", "6000")
+    return f"""{_search()}, {parts}, pr as (select item_id as qid, coalesce(context, '') as c from benchmark left join ctx on qid = item_id),
+an as (select qid, regexp_extract(c, '(?s){head}', 1) as n, substr({_squash(f"regexp_extract(c, '(?s){head}', 2)")}, 1, 200) as start from pr),
+li as (select qid, list(case when source_type = 'web' then url else '/app/static/pdfs/' || file || '#page=' || page end order by rank) as links from t6 where rank <= 8 group by 1)
+select qid, case when n = '' then 'Je ne sais pas : aucun contexte disponible.' else start || ' [' || n || ']' end as answer, case when n = '' then 'Je ne sais pas : aucun contexte disponible.' else start || ' [[' || n || ']](' || links[n::int] || ')' end as linked, false as fallback from an left join li using (qid)"""
+
+
+def _web(name: str) -> str:
+    return f"{name} as (select page_id, url, {_html_title('html', 'url')} as title, {_html('html')} as body from pages)"
+
+
+def _linked() -> str:
+    return f"""with recursive {SCORED}, li as (select qid, list(case when source_type = 'web' then url else '/app/static/pdfs/' || file || '#page=' || page end order by rank) as u from scored where rank <= 4 group by 1)
+select item_id as qid, case when item_id % 2 = 0 then 'See [[1]](' || u[1] || ') and [[2]](' || u[2] || '): ' || text else text || chr(10) || chr(10) || '[[1]](' || u[1] || ') [[2]](' || u[2] || ') [[3]](' || u[3] || ')' end as linked from benchmark join li on qid = item_id"""
+
+
+def _pages() -> str:
+    """No line of the tables has a number with a unit, so pages have tables and sections only."""
+    return f"""with recursive {SECTIONS}, sk as (select doc_id * 100000 + pos as id, * from sections), {_packed('sk', 'id', 'body')},
+md as ({_table_markdown()}), parts as (select doc_id, 0 as kind, length(markdown) as n from md where markdown <> ''
+union all select sk.doc_id, 2, length(p.chunk) + case when sk.title <> '' then length({_quote(config.TITLE_PREFIX)} || rtrim(substr(sk.title, 1, 90))) + 2 else 0 end from packed p join sk on sk.id = p.k)
+select source || '-' || doc_id as file, count(*) as chunks, count(*) as last, sum(n)::bigint as chars from parts join documents using (doc_id) group by 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     scored = f"with recursive {SCORED} "
     r6 = lambda *c: ", ".join(f"round({x}, 6) as {x}" for x in c)
@@ -224,7 +264,7 @@ def oracle_sql() -> dict[str, str]:
         "normalise_full": f"select doc_id, {_fold('text')} as folded from documents",
         "tokenise": f"select doc_id, len({_tokens('text')})::bigint as n_tokens, array_to_string({_tokens('text')}, ' ') as tokens from documents",
         "query_term_sets": f"select item_id as qid, array_to_string(list_sort({_terms('text')}), ' ') as terms from benchmark",
-        "lexical_overlap": f"select item_id as qid, coalesce(round(len(list_intersect({_terms('b.text')}, {_tokens('d.text')})) / nullif(len({_terms('b.text')}), 0), 6), 0.0)::double as overlap from benchmark b join documents d on doc_id = item_id",
+        "lexical_overlap": f"with q as (select item_id as qid, {_terms('text')} as ts from benchmark), a as (select qid, len(ts) as n, unnest(ts) as term from q), d as (select distinct doc_id as chunk_id, unnest({_tokens('text')}) as term from documents) select qid, chunk_id, round(count(*) / any_value(n), 6)::double as overlap from a join d using (term) group by 1, 2",
         "bm25_topk": _bm25_topk(),
         "sentences": f"select doc_id, generate_subscripts({_sentences('text')}, 1) - 1 as pos, unnest({_sentences('text')}) as sentence from documents",
         "hard_split": "select doc_id, g as pos, substr(text, g * 200 + 1, 200) as piece from documents, range(0, 100000) r(g) where g * 200 < length(text)",
@@ -236,7 +276,7 @@ def oracle_sql() -> dict[str, str]:
         "table_markdown": _table_markdown(),
         "html_text": f"select page_id, {_html_title('html', 'url')} as title, {_html('html')} as text from pages",
         "allow_list": f"select page_id, {_allowed('url')} as allowed from pages",
-        "web_upsert": "select url, page_id, 'new' as batch from pages where page_id % 3 = 0 union all select url, page_id, 'old' from pages where page_id % 2 = 0 and url not in (select url from pages where page_id % 3 = 0)",
+        "web_upsert": "with n as (select case when page_id % 3 = 0 then url else url || '#new' end as url, page_id from pages) select url, page_id, 'new' as batch from n union all select url, page_id, 'old' from pages where url not in (select url from n)",
         "url_list": "select distinct url from pages where url <> ''",
         "delete_source": "select doc_id, source from documents where source <> (select min(source) from documents)",
         "vector_topk": f"with {_hits(10)} select qid, variant_pos::bigint as variant_pos, chunk_id, {r6('score')}, hit_rank from hits",
@@ -279,10 +319,32 @@ def oracle_sql() -> dict[str, str]:
         "report_delta": """with m as (select round(avg(quality) filter (where doc_id % 2 = 0), 6) as qb, round(avg(quality) filter (where doc_id % 2 = 1), 6) as qc, round(avg(toxic) filter (where doc_id % 2 = 0), 6) as tb, round(avg(toxic) filter (where doc_id % 2 = 1), 6) as tc from labels),
             r as (select 'quality' as metric, qb as baseline, qc as current from m union all select 'toxic', tb, tc from m union all select 'latency', 0.0, 0.0) select metric, baseline::double as baseline, current::double as current, round(current - baseline, 6)::double as delta, format('{}{:.2f}', case when current - baseline >= 0 then '+' else '' end, (current - baseline)::double) as label from r""",
         "history": "select conv_id, turn, role from conversations order by conv_id desc, turn desc, role limit 10",
-        "source_links": f"with {CHUNKS} select chunk_id, case when source_type = 'web' then url else '/app/static/pdfs/' || file || '%20%C3%A9.pdf#page=' || page end as link, substr({_squash('text')}, 1, 40) as excerpt from ch",
+        "source_links": f"select doc_id as chunk_id, case when doc_id % 7 = 0 then 'https://example.com/' || doc_id else '/app/static/pdfs/' || source || '%20%C3%A9.pdf#page=' || (doc_id % 10 + 1) end as link, substr({_squash('text')}, 1, 40) as excerpt from documents",
         "export_markdown": f"{scored}, src as (select qid, string_agg(format('{{}}. {{}}, page {{}} (score {{:.3f}})', rank, file, page, final), chr(10) order by rank) as sources from scored where rank <= 4 group by 1) select item_id as qid, '# Question' || {rules} || text || {rules} || '## Réponse' || {rules} || 'A: ' || text || {rules} || '## Sources' || {rules} || coalesce(sources, '') as markdown from benchmark left join src on qid = item_id",
         "same_results": f"{scored}, {_BOOST}, a as (select qid, list(chunk_id order by rank) as x from scored where rank <= 5 group by 1), b as (select qid, list(chunk_id order by rank) as y from ranked where rank <= 5 group by 1) select qid, x = y as same from a join b using (qid)",
         "fallback_results": f"{scored} select qid, chunk_id, rank from scored where rank <= case when qid % 2 = 0 then 2 else 3 end",
         "hybrid_search": f"{_search()} select qid, chunk_id, {r6('semantic', 'lexical', 'final')}, rank from t6 where rank <= 8",
-        "search_trace": f"{_search()} select qid, (1 + two::int)::bigint as variants, candidates, coalesce(results, 0) as results from labelled0 left join (select qid, count(*) as candidates from scored group by 1) using (qid) left join (select qid, count(*) as results from t6 where rank <= 8 group by 1) using (qid)",
+        "search_trace": f"{_search()} select qid, 'standard' as branch, 8::bigint as top_k, 80::bigint as candidate_k, 0.1::double as min_score, (1 + two::int)::bigint as variants, candidates, coalesce(results, 0) as results from labelled0 left join (select qid, count(*) as candidates from scored group by 1) using (qid) left join (select qid, count(*) as results from t6 where rank <= 8 group by 1) using (qid)",
+        "profile_search": _profile_search(),
+        "filtered_search": _filtered_search(),
+        "asked_answers": _asked(),
+        "linked_answers": _linked(),
+        "pdf_page_chunks": _pages(),
+        "streamed_chunks": f"with recursive {_web('wp')}, {_packed('wp', 'page_id', 'body')} select url, count(*) as chunks, sum(length(chunk))::bigint as chars from packed join wp on k = page_id group by 1",
+        "published_chunks": f"with recursive {_web('wp')}, {_packed('wp', 'page_id', 'body')} select url, count(*) as chunks, sum(length(chunk))::bigint as chars from packed join wp on k = page_id group by 1",
+        "search_texts": f"with {EXPANDED} select qid, case when qid % 2 = 0 then question || {rules} || 'Reformulation LLM pour recherche : mot ' || {_squash('question')} || {rules} || expansion else expansion end as search_text from expanded",
+        "rewrite_cache": f"with k as (select item_id as qid, sha256('v2'::blob || '\\x00'::blob || 'generic'::blob || '\\x00'::blob || {_quote(MODEL)}::blob || '\\x00'::blob || encode(text)) as key from benchmark) select qid, case when qid % 3 = 0 then 'old' when not starts_with(key, '0') then 'new ' || key end as rewrite from k",
+        "judge_cache": f"""{scored}, c as (select *, count(*) over (partition by qid) as n from scored), p as (select *, case when n > 8 and rank = 3 then 1 when n > 8 and rank = 1 then 2 else 0 end as pl from c)
+            select qid, chunk_id, round(case when pl > 0 then final + 0.3::double / pl else final end, 6) as final, row_number() over (partition by qid order by case when pl > 0 then 0 else 1 end, case when pl > 0 then pl else rank end) as rank from p""",
+        "cross_encoder": f"""{scored}, c as (select s.*, count(*) over (partition by qid) as n, (length(b.text) + length(substr({_squash('s.text')}, 1, 1800))) % 7 / 10.0::double as cs from scored s join benchmark b on item_id = qid), p as (select *, n > 8 and rank <= 20 as inside, final + cs as boosted from c)
+            select qid, chunk_id, round(case when inside then boosted else final end, 6) as final, row_number() over (partition by qid order by rank > 20, case when inside then -round(boosted, 9) else 0 end, rank) as rank from p""",
+        "result_lines": f"{scored} select qid, rank, format('[{{}}] {{}}, chunk {{}}', rank, case when source_type = 'web' then 'Web : ' || file || ' | ' || url else file || ', page ' || page end, ordinal) || chr(10) || format('score_final={{:.3f}} | faiss={{:.3f}} | lexical={{:.3f}}', final, semantic, lexical) || chr(10) || substr({_squash('text')}, 1, 60) as line from scored where rank <= 3",
+        "delta_lines": """with m as (select round(avg(quality) filter (where doc_id % 2 = 0), 6) as qb, round(avg(quality) filter (where doc_id % 2 = 1), 6) as qc, round(avg(toxic) filter (where doc_id % 2 = 0), 6) as tb, round(avg(toxic) filter (where doc_id % 2 = 1), 6) as tc from labels),
+            r as (select 'quality' as metric, '' as u, qb as b, qc as c from m union all select 'toxic', '', tb, tc from m union all select 'latency', 's', 0.0, 0.0) select metric, format('{} {:.2f}{} -> {:.2f}{}  {}{:.2f}{}', rpad(metric, 16, ' '), b::double, u, c::double, u, case when c - b >= 0 then '+' else '' end, (c - b)::double, u) as line from r""",
+        "built_index": f"""with {_web('wp')}, a as (select 'pdf' as source_type, text as t, row_number() over () as id from documents where trim(text) <> '' union all select 'web', body, row_number() over () from wp where trim(body) <> '')
+            select source_type, count(*) as chunks, count(*) as ids, round(avg(length(t) / sqrt(length(t)::double * length(t) + 1)), 6) as first, '{DAY}' as day from a group by 1""",
+        "cache_stats": "select 'saved' as cache, true as found, count(distinct text) as entries, true as filled from documents union all select 'none', false, 0, false",
+        "case_files": "select case when item_id % 2 = 0 then item_id::varchar else substr(text, 1, 40) end as qid, text as question, 'src1' as docs, true as no_words from benchmark",
+        "answer_files": "select item_id::varchar as qid, text as answer from benchmark",
+        "report_files": f"{scored}, {_CASES} select 8::bigint as top_k, count(*) over () as questions, qid, doc_recall, keyword_recall from metrics",
     }

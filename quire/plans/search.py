@@ -8,14 +8,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import ADAPTIVE, CAPACITY_WORDS, EXPANSION_LEAD, LABELS, PORTFOLIO_WORDS, SYNTHESIS_WORDS, RetrievalConfig
+from ..config import ADAPTIVE, CAPACITY_WORDS, EXPANSION_LEAD, LABELS, PORTFOLIO_WORDS, REWRITE_CHARS, SYNTHESIS_WORDS, RetrievalConfig
 from ..functions.text import asks_both, asks_technical, contains_any, fold, squash
 from ..operators.corpus import variants_once
 from ..operators.lexical import bm25_candidates
-from ..operators.rank import MetadataFilter, diversify, fuse, hybrid, technical_filter, top
-from ..operators.vector import vector_topk
+from ..operators.rank import MetadataFilter, diversify, fuse, hybrid, technical_filter
+from ..operators.vector import all_scores, vector_topk
+from ..sources.profiles import GENERIC, RULE_SCHEMA, Profile
 
-RULE_SCHEMA = "profile string, rule_pos int, text string, any_terms array<string>, all_terms array<string>"
+RULE_ROWS = 10_000
+"""Rules that are sent to every task; more are an error, as a profile has a few."""
+REWRITE_LEAD = "Reformulation LLM pour recherche : "  # fixed value
 _DEFAULT = RetrievalConfig()
 
 
@@ -43,6 +46,8 @@ def expand(questions: DataFrame, rules: DataFrame) -> DataFrame:
 
     rules: a profile's table of a few rows.
     """
+    if rules.limit(RULE_ROWS + 1).count() > RULE_ROWS:
+        raise ValueError(f"more than {RULE_ROWS} expansion rules")
     hit = questions.join(F.broadcast(rules), rule_matches(F.col("any_terms"), F.col("all_terms"), F.col("question")))
     added = hit.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rule_pos", "text"))), lambda x: x["text"]), " ").alias("_added"))
     out = questions.join(added, "qid", "left")
@@ -55,13 +60,20 @@ def variants(questions: DataFrame, rules: DataFrame, rewrite: Callable[[Column],
     `rewrite` maps the question column to another text; null or empty means none. Rewrites are squashed and cut to 600 characters.
     """
     rows = expand(questions, rules)
-    rewritten = F.substring(squash(rewrite(F.col("question"))), 1, 600) if rewrite else F.lit(None).cast("string")
+    rewritten = F.substring(squash(rewrite(F.col("question"))), 1, REWRITE_CHARS) if rewrite else F.lit(None).cast("string")
     texts = [F.col("question"), rewritten, F.col("expansion")]
     cells = [F.struct(F.lit(k).alias("variant_pos"), F.lit(label).alias("label"), t.alias("query_text")) for k, (label, t) in enumerate(zip(LABELS, texts, strict=True))]
     rows = rows.select("qid", F.explode(F.array(*cells)).alias("x")).select("qid", "x.*").where(F.coalesce(F.trim("query_text"), F.lit("")) != "")
     return variants_once(rows, fold(squash("query_text")))
 
 
+def search_text(questions: DataFrame, rules: DataFrame, rewrite: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(qid, search_text): all in one text; the question, its rewrite and the expansion, or the expansion alone without a rewrite."""
+    rewritten = F.coalesce(squash(rewrite(F.col("question"))), F.lit("")) if rewrite else F.lit("")
+    joined = F.concat("question", F.lit(f"\n\n{REWRITE_LEAD}"), rewritten, F.lit("\n\n"), "expansion")
+    return expand(questions, rules).select("qid", F.when(rewritten == "", F.col("expansion")).otherwise(joined).alias("search_text"))
+
+
 def labelled_text(found: DataFrame) -> DataFrame:
     """(qid, query_text): all variants of a question with their labels, as BM25 scores them."""
     line = F.concat("label", F.lit(" : "), "query_text")
@@ -73,13 +85,15 @@ class SearchResult:
     results: DataFrame
     candidates: DataFrame
     variants: DataFrame
+    parameters: DataFrame
+    """qid, branch, top_k, candidate_k, min_score that each question was searched with."""
 
 
 def search(
     questions: DataFrame,
     chunks: DataFrame,
     embed: Callable[[DataFrame], DataFrame],
-    rules: DataFrame,
+    rules: DataFrame | None = None,
     where: MetadataFilter | None = None,
     config: RetrievalConfig = _DEFAULT,
     rewrite: Callable[[Column], Column] | None = None,
@@ -89,21 +103,28 @@ def search(
     adapt: bool = True,
     inventory: Column | None = None,
     focus: str | None = None,
+    profile: Profile = GENERIC,
 ) -> SearchResult:
     """The chain for a batch: adaptive parameters, variants, vector search per variant, fusion, BM25 on the candidates, hybrid score, threshold, technical filter, boosts, rerankers, diversification, top k.
 
     questions: qid, question. chunks: chunk columns and `embedding`. embed: variants to (qid, variant_pos, embedding).
-    With an active filter, every chunk that passes is a candidate; it is applied at the scan, below the ranking.
+    With an active filter, every chunk that passes is a candidate; it is applied at the scan, and nothing is ranked there.
     adapt: each question has its own top_k, candidate_k and min_score (see adaptive, which gets `inventory`); without it all
     have the config's. Boosts and rerankers see them as columns. focus: a column of questions with the lower-case terms of
-    files that technical questions are narrowed to.
+    files that technical questions are narrowed to; without it the profile's focus rules give them, as its expansion rules
+    stand in for `rules`. per_file: chunks of a file at most, for all questions; without it questions on a portfolio's
+    capacities get the config's per_document.
     """
+    rules = profile.rules(questions.sparkSession) if rules is None else rules
+    if focus is None and profile.technical_focus_rules:
+        questions, focus = questions.withColumn("_focus", profile.focus("question")), "_focus"
     fixed = {"top_k": config.top_k, "candidate_k": max(config.top_k, config.candidate_k), "min_score": config.min_score}
-    asked = adaptive(questions, config, inventory).drop("branch") if adapt else questions.withColumns({c: F.lit(v) for c, v in fixed.items()})
+    asked = adaptive(questions, config, inventory) if adapt else questions.withColumns({"branch": F.lit("fixed")} | {c: F.lit(v) for c, v in fixed.items()})
+    parameters, asked = asked.select("qid", "branch", *fixed), asked.drop("branch")
     found = variants(questions, rules, rewrite)
     if where and where.active():
         pool = chunks.where(where.column())
-        hits = vector_topk(pool, embed(found), max(1, pool.count()))
+        hits = all_scores(pool, embed(found))
     else:
         pool = chunks
         # One search as wide as the widest question needs; the others keep their own first hits.
@@ -120,13 +141,14 @@ def search(
         rows = boosts(rows)
     for apply in rerankers:
         rows = apply(rows)
-    rows = diversify(rows, F.col("top_k"), per_file) if per_file else top(rows, F.col("top_k"))
-    return SearchResult(rows.drop(*fixed), scored, found)
+    broad = None if per_file else asks_both("question", PORTFOLIO_WORDS, CAPACITY_WORDS)
+    rows = diversify(rows, F.col("top_k"), per_file or config.per_document, broad)
+    return SearchResult(rows.drop(*fixed, "_focus"), scored, found, parameters)
 
 
 def trace(found: SearchResult) -> DataFrame:
-    """(qid, variants, candidates, results) of a search."""
+    """(qid, branch, top_k, candidate_k, min_score, variants, candidates, results) of a search."""
     v = found.variants.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("variant_pos", "label", "query_text"))).alias("variants"))
     c = found.candidates.groupBy("qid").agg(F.count("*").alias("candidates"))
     r = found.results.groupBy("qid").agg(F.count("*").alias("results"))
-    return v.join(c, "qid", "left").join(r, "qid", "left").na.fill(0, ["candidates", "results"])
+    return found.parameters.join(v, "qid").join(c, "qid", "left").join(r, "qid", "left").na.fill(0, ["candidates", "results"])

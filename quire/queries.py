@@ -6,8 +6,6 @@ benchmark texts for questions, conversations for answers.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,9 +14,12 @@ from pyspark.sql import functions as F
 from .config import PORTFOLIO_WORDS, SYNTHESIS_WORDS
 from .functions import text as T
 from .operators import context, corpus, evaluate, lexical, rank, segment, vector
+from .plans import ask as asking
+from .plans import index, models
 from .plans import search as plans
-from .session import ready
-from .sources import html
+from .session import ready, work_folder
+from .sources import caches, html, store
+from .sources.profiles import Expansion, Focus, Profile
 
 Query = Callable[[SparkSession, str], DataFrame]
 _found: dict[str, Query] = {}
@@ -27,6 +28,8 @@ DOMAINS = ("example.com", "www.example.org")
 SPEC = r"\d"
 MODEL = "offline-1"
 RULES = [("demo", 0, "memory storage", ["the", "and"], []), ("demo", 1, "mémoire", ["de"], ["la"]), ("demo", 2, "network", [], ["with", "this"])]
+PROFILE = Profile("demo", expansion_rules=tuple(Expansion(text, tuple(some), tuple(every)) for _, _, text, some, every in RULES), technical_focus_rules=(Focus(("watt",), ("SRC1", "src2")), Focus(("nowhere",), ("src3",))), prompt_extra_rules=("Be brief.",))
+BRANCH_WORDS = ("toutes capacites ", "watts ", "compare ", "")
 PATTERNS = [("alpha", r"the\w*tion"), ("beta", r"an\w{3}[ .]"), ("gamma", "heon")]
 
 
@@ -43,10 +46,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def chunk_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as chunks."""
+    i = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(i.alias("chunk_id"), "text", F.col("source").alias("file"), (i % 10 + 1).cast("int").alias("page"), F.floor(i / 10).cast("int").alias("ordinal"), F.when(i % 7 == 0, "web").otherwise("pdf").alias("source_type"), F.concat(F.lit("https://example.com/"), i.cast("string")).alias("url"), F.col("lang").alias("title"), F.lit(DAY).cast("date").alias("fetched_on"))
+
+
 def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indexed chunks: documents with the embedding of the same number."""
-    i = F.col("doc_id")
-    docs = table(spark, sf_dir, "documents").select(i.alias("chunk_id"), "text", F.col("source").alias("file"), (i % 10 + 1).cast("int").alias("page"), F.floor(i / 10).cast("int").alias("ordinal"), F.when(i % 7 == 0, "web").otherwise("pdf").alias("source_type"), F.concat(F.lit("https://example.com/"), i.cast("string")).alias("url"), F.col("lang").alias("title"), F.lit(DAY).cast("date").alias("fetched_on"))
+    docs = chunk_columns(spark, sf_dir)
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
     return docs.join(vectors, "chunk_id")
 
@@ -112,9 +120,9 @@ def query_term_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lexical_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each question against the document of the same number."""
-    docs = documents(spark, sf_dir).withColumnRenamed("doc_id", "qid")
-    return questions(spark, sf_dir).join(docs, "qid").select("qid", F.round(T.token_overlap("question", "text"), 6).alias("overlap"))
+    """Each question against all documents that share a term with it."""
+    found = lexical.overlaps(documents(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id"), questions(spark, sf_dir))
+    return found.select("qid", "chunk_id", F.round("overlap", 6).alias("overlap"))
 
 
 @query
@@ -125,13 +133,13 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = documents(spark, sf_dir).select("doc_id", F.posexplode(segment.sentences("text")).alias("pos", "sentence"))
+    found = documents(spark, sf_dir).select("doc_id", F.posexplode_outer(segment.sentences("text")).alias("pos", "sentence")).where("sentence is not null")
     return found.select("doc_id", F.col("pos").cast("long").alias("pos"), "sentence")
 
 
 @query
 def hard_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = documents(spark, sf_dir).select("doc_id", F.posexplode(segment.hard_split("text", 200)).alias("pos", "piece"))
+    found = documents(spark, sf_dir).select("doc_id", F.posexplode_outer(segment.hard_split("text", 200)).alias("pos", "piece")).where("piece is not null")
     return found.select("doc_id", F.col("pos").cast("long").alias("pos"), "piece")
 
 
@@ -180,9 +188,10 @@ def allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def web_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with an even number are the old table; every third page is fetched anew."""
+    """All pages are the old table, and all are fetched anew: every third under its address, the others under a new one."""
     pages = table(spark, sf_dir, "pages").select("url", "page_id")
-    return corpus.upsert(pages.where("page_id % 2 = 0").withColumn("batch", F.lit("old")), pages.where("page_id % 3 = 0").withColumn("batch", F.lit("new")))
+    moved = F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise(F.concat("url", F.lit("#new")))
+    return corpus.upsert(pages.withColumn("batch", F.lit("old")), pages.withColumn("url", moved).withColumn("batch", F.lit("new")))
 
 
 @query
@@ -232,7 +241,7 @@ def threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions are the users' turns with words of the branches put in front by turn."""
     asked = table(spark, sf_dir, "conversations").where("role = 'user'")
-    words = F.array(F.lit("toutes capacites "), F.lit("watts "), F.lit("compare "), F.lit(""))
+    words = F.array(*map(F.lit, BRANCH_WORDS))
     asked = asked.select("conv_id", "turn", F.concat(words[((F.col("conv_id") + F.col("turn")) % 4).cast("int")], F.coalesce("text", F.lit(""))).alias("question"))
     return show(plans.adaptive(asked), "conv_id", "turn", "branch", "top_k", "candidate_k", "min_score")
 
@@ -429,7 +438,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def source_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunk_rows(spark, sf_dir).withColumn("file", F.concat("file", F.lit(" é.pdf")))
+    rows = chunk_columns(spark, sf_dir).withColumn("file", F.concat("file", F.lit(" é.pdf")))
     return rows.select("chunk_id", T.source_link("source_type", "url", "file", "page").alias("link"), T.excerpt("text", 40).alias("excerpt"))
 
 
@@ -463,16 +472,143 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return show(searched(spark, sf_dir).results, "qid", "chunk_id", "semantic", "lexical", "final", "rank")
 
 
-def searched(spark: SparkSession, sf_dir: str) -> plans.SearchResult:
+def embedder(spark: SparkSession, sf_dir: str):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    embed = lambda v: v.select("qid", "variant_pos").join(vectors, F.col("vec_id") == F.col("qid") + 100 * F.col("variant_pos")).select("qid", "variant_pos", "embedding")
-    return plans.search(questions(spark, sf_dir), chunk_rows(spark, sf_dir), embed, rules(spark), per_file=2)
+    return lambda v: v.select("qid", "variant_pos").join(vectors, F.col("vec_id") == F.col("qid") + 100 * F.col("variant_pos")).select("qid", "variant_pos", "embedding")
+
+
+def searched(spark: SparkSession, sf_dir: str) -> plans.SearchResult:
+    return plans.search(questions(spark, sf_dir), chunk_rows(spark, sf_dir), embedder(spark, sf_dir), rules(spark), per_file=2)
 
 
 @query
 def search_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = plans.trace(searched(spark, sf_dir))
-    return found.select("qid", F.size("variants").cast("long").alias("variants"), "candidates", "results")
+    return show(found.withColumn("variants", F.size("variants")), "qid", "branch", "top_k", "candidate_k", "min_score", "variants", "candidates", "results")
+
+
+@query
+def profile_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain with a profile's rules and focus, over questions of all branches: each has its own width, and only those on a portfolio are diversified."""
+    asked = questions(spark, sf_dir)
+    asked = asked.withColumn("question", F.concat(F.array(*map(F.lit, BRANCH_WORDS))[(F.col("qid") % 4).cast("int")], "question"))
+    return show(plans.search(asked, chunk_rows(spark, sf_dir), embedder(spark, sf_dir), profile=PROFILE).results, "qid", "chunk_id", "semantic", "lexical", "final", "rank")
+
+
+@query
+def filtered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain below a filter as a form gives it: every chunk that passes is a candidate."""
+    where = rank.MetadataFilter.from_form(("src1", "src2", "src3"), page_min=2, source_types=("pdf",))
+    return show(plans.search(questions(spark, sf_dir), chunk_rows(spark, sf_dir), embedder(spark, sf_dir), rules(spark), where=where).results, "qid", "chunk_id", "semantic", "lexical", "final", "rank")
+
+
+@query
+def asked_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the questions to linked answers, with the offline generator."""
+    found = asking.ask(questions(spark, sf_dir), chunk_rows(spark, sf_dir), embedder(spark, sf_dir), rules=rules(spark), per_file=2)
+    return found.answers.select("qid", "answer", "linked", "fallback")
+
+
+@query
+def search_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.search_text(questions(spark, sf_dir), rules(spark), lambda q: F.when(F.col("qid") % 2 == 0, F.concat(F.lit(" mot  "), q)))
+
+
+@query
+def rewrite_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third question is in the cache; calls fail for keys that begin with 0."""
+    call = lambda rows: rows.select("key", F.when(~F.col("key").startswith("0"), F.concat(F.lit(" new  "), "key")).alias("reply"))
+    asked, empty = questions(spark, sf_dir), spark.createDataFrame([], caches.REWRITES)
+    _, cache = models.rewrites(asked.where("qid % 3 = 0"), empty, MODEL, lambda rows: rows.select("key", F.lit("old").alias("reply")))
+    return models.rewrites(asked, cache, MODEL, call)[0].select("qid", "rewrite")
+
+
+@query
+def judge_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A judge that always says the same, through its cache."""
+    call = lambda rows: rows.select("key", F.lit("Ordre : [3, 1]").alias("reply"))
+    found, _ = models.judged(scored(spark, sf_dir), questions(spark, sf_dir), spark.createDataFrame([], caches.ORDERS), MODEL, call, 8)
+    return show(found, "qid", "chunk_id", "final", "rank")
+
+
+@query
+def cross_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scorer in Arrow batches: lengths stand in for a model."""
+    score = lambda asked, texts: [(len(q) + len(t)) % 7 / 10 for q, t in zip(asked, texts, strict=True)]
+    return show(models.cross_encoded(scored(spark, sf_dir), questions(spark, sf_dir), score, 8), "qid", "chunk_id", "final", "rank")
+
+
+@query
+def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return show(context.result_lines(rank.top(scored(spark, sf_dir), 3), 60), "qid", "rank", "line")
+
+
+@query
+def delta_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.delta_lines(report_delta(spark, sf_dir))
+
+
+@query
+def built_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and pages built into one index, read back; a text's length stands in for its embedding."""
+    embed = lambda rows: rows.select("key", F.array(F.length("text").cast("double"), F.lit(1.0)).alias("vector"))
+    root = work_folder(spark, "index")
+    web = html.web_pages(table(spark, sf_dir, "pages"), DAY)
+    index.build_index(chunk_columns(spark, sf_dir).drop("chunk_id").withColumn("source_type", F.lit("pdf")), web, embed, MODEL, f"{root}/chunks", f"{root}/cache")
+    rows = store.current(spark, f"{root}/chunks", index.INDEX_SCHEMA)
+    return rows.groupBy("source_type").agg(F.count("*").alias("chunks"), F.count_distinct("chunk_id").alias("ids"), F.round(F.avg(F.col("embedding")[0]), 6).alias("first"), F.max("fetched_on").cast("string").alias("day"))
+
+
+@query
+def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache saved, and one that is not there."""
+    root = work_folder(spark, "cache")
+    keys = corpus.with_keys(documents(spark, sf_dir), MODEL).select("key", F.array(F.lit(1.0)).alias("vector")).dropDuplicates(["key"])
+    caches.save(keys, root)
+    both = [caches.stats(spark, path, caches.VECTORS).select(F.lit(n).alias("cache"), "found", "entries", (F.col("bytes") > 0).alias("filled")) for n, path in (("saved", root), ("none", f"{root}-none"))]
+    return both[0].unionAll(both[1])
+
+
+@query
+def published_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' chunks published twice; readers see the newest version."""
+    root = work_folder(spark, "web")
+    rows = segment.chunks(html.web_pages(table(spark, sf_dir, "pages"), DAY), "text").drop("text")
+    store.publish(rows.where("false"), root)
+    store.publish(rows, root)
+    return store.current(spark, root, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)).groupBy("url").agg(F.count("*").alias("chunks"), F.sum(F.length("chunk")).alias("chars"))
+
+
+def _json_list(rows: DataFrame) -> DataFrame:
+    """One text: the rows of a bounded question set as a JSON list."""
+    return rows.agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct(*rows.columns))), ","), F.lit("]")).alias("value"))
+
+
+@query
+def case_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions written as an evaluation file and read again; half of them have an id."""
+    root = work_folder(spark, "cases")
+    cases = questions(spark, sf_dir).select(F.when(F.col("qid") % 2 == 0, F.col("qid").cast("string")).alias("id"), "question", F.array(F.lit("src1")).alias("expected_docs"))
+    _json_list(cases).write.text(root)
+    return store.retrieval_cases(spark, root).select("qid", "question", F.array_join("expected_docs", ",").alias("docs"), F.col("expected_keywords").isNull().alias("no_words"))
+
+
+@query
+def answer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = work_folder(spark, "answers")
+    pairs = questions(spark, sf_dir).select(F.col("qid").cast("string").alias("k"), "question")
+    pairs.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "question")))).alias("value")).write.text(root)
+    return store.prebuilt_answers(spark, root)
+
+
+@query
+def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An evaluation's report written and read again."""
+    root, found = work_folder(spark, "report"), _metrics(spark, sf_dir).select("qid", "doc_recall", "keyword_recall")
+    store.write_report(root, {"top_k": 8, "file": "benchmark"}, evaluate.retrieval_summary(found), found)
+    report = store.read_report(spark, root)
+    rows = [(report["configuration"]["top_k"], report["summary"]["questions"], r["qid"], r["doc_recall"], r["keyword_recall"]) for r in report["results"]]
+    return spark.createDataFrame(rows, "top_k long, questions long, qid long, doc_recall double, keyword_recall double")
 
 
 @query
@@ -489,14 +625,12 @@ def pdf_page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def streamed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages streamed from files into the web chunk table."""
-    from .sources.store import current
     from .streaming.ingest import WEB_SCHEMA, chunk_stream, keep_current, page_stream
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    root = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = work_folder(spark, "stream")
     stream = page_stream(spark, f"{sf_dir}/pages.parquet*")
     keep_current(chunk_stream(stream, DAY), f"{root}/table", f"{root}/checkpoint").awaitTermination()
-    return current(spark, f"{root}/table", WEB_SCHEMA).groupBy("url").agg(F.count("*").alias("chunks"), F.sum(F.length("chunk")).alias("chars"))
+    return store.current(spark, f"{root}/table", WEB_SCHEMA).groupBy("url").agg(F.count("*").alias("chunks"), F.sum(F.length("chunk")).alias("chars"))
 
 
 def queries() -> dict[str, Query]:

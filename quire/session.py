@@ -5,9 +5,10 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ready(df: DataFrame) -> DataFrame:
@@ -20,3 +21,11 @@ def ready(df: DataFrame) -> DataFrame:
         context.addPyFile(shutil.make_archive(f"{folder}/{root.name}_library", "zip", root.parent, root.name))
         context._quire_sent = True
     return df
+
+
+def work_folder(spark: SparkSession, label: str) -> str:
+    """A new folder's path in the one that driver and executors share (spark.checkpoint.dir); local sessions have one under /tmp."""
+    shared, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not shared and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(shared or f'file://{tempfile.gettempdir()}').rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from functools import cache
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,17 +13,44 @@ from ..functions.text import col, domain_allowed, squash
 
 # Elements dropped with all they hold.
 DROPPED = ("script", "style", "noscript", "svg", "header", "footer", "nav")
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+
+
+@cache
+def _references() -> tuple[str, str]:
+    """Named character references as JSON, and a pattern of those that need no semicolon, longest first."""
+    bare = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+    return json.dumps({f"&{n}": text for n, text in html5.items()}), f"&(?:{'|'.join(bare)})"
+
+
+def _numbered(reference: Column) -> Column:
+    """The character of &#...; numbers that stand for none give U+FFFD, controls nothing, and 128 to 159 are read as Windows-1252."""
+    digits = F.regexp_extract(reference, "^&#[xX]?0*([0-9a-fA-F]*)", 1)
+    n = F.when(F.length(digits) > 7, "0").when(reference.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(F.nullif(digits, F.lit("")))
+    n = F.coalesce(n.cast("long"), F.lit(0))
+    western = [bytes([k]).decode("cp1252", "replace").replace("�", chr(k)) for k in range(0x80, 0xA0)]
+    windows = F.get(F.array(*map(F.lit, western)), (n - 0x80).cast("int"))
+    dropped = n.between(1, 8) | n.between(0xE, 0x1F) | n.isin(0xB, 0x7F) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
+    char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "�").when(n.between(0x80, 0x9F), windows).when(dropped, "").otherwise(char)
+
+
+def _named(reference: Column) -> Column:
+    """A named reference's text. An unknown name may begin with one that needs no semicolon; otherwise it stays."""
+    table, bare = _references()
+    known = lambda name: F.try_element_at(F.from_json(F.lit(table), "map<string,string>"), name)
+    head = F.regexp_extract(reference, f"^{bare}", 0)
+    return F.coalesce(known(reference), F.concat(known(head), F.substr(reference, F.length(head) + 1)), reference)
 
 
 def unescape(x: Column) -> Column:
-    for name, char in ENTITIES:
-        x = F.replace(x, F.lit(name), F.lit(char))
-    return x
+    """Character references replaced, named and numbered ones."""
+    pieces = F.regexp_extract_all(x, F.lit(f"&#[xX][0-9a-fA-F]+;?|&#[0-9]+;?|&[A-Za-z][A-Za-z0-9]*;|{_references()[1]}|[^&]+|&"), F.lit(0))
+    one = lambda p: F.when(p.rlike("^&#[xX0-9]"), _numbered(p)).when(p.startswith("&"), _named(p)).otherwise(p)
+    return F.array_join(F.transform(pieces, one), "")
 
 
 def html_text(html: Column | str) -> Column:
-    """The page's text: comments, dropped elements and tags removed, entities replaced, squashed."""
+    """The page's text: comments, dropped elements and tags removed, character references replaced, squashed."""
     x = F.regexp_replace(col(html), r"(?s)<!--.*?-->", " ")
     for name in DROPPED:
         x = F.regexp_replace(x, rf"(?is)<{name}\b.*?</{name}\s*>", " ")

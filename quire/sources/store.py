@@ -9,20 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_SCHEMA = "chunk_id long, text string, file string, page int, ordinal int, source_type string, url string, title string, fetched_on date"
-CACHE_SCHEMA = "key string, model string, vector array<float>"
 CASE_SCHEMA = "id string, question string, expected_docs array<string>, expected_keywords array<string>"
 ANSWER_SCHEMA = "id string, question string, expected_facts array<string>, forbidden_terms array<string>, must_have_citation boolean, expected_unknown boolean"
-PROFILE_SCHEMA = "name string, display_name string, description string, query_rewrite_context string, query_rewrite_extra_constraints array<string>, expansion_rules array<struct<text:string,any_terms:array<string>,all_terms:array<string>>>, technical_focus_rules array<struct<any_terms:array<string>,filename_contains:array<string>>>, prompt_extra_rules array<string>, prompt_extra_formats array<string>"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _at(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _at(spark, path)
+    return fs.exists(at)
+
+
+def size_of(spark: SparkSession, path: str) -> int | None:
+    """Bytes of all files below a folder; None if there is none."""
+    fs, at = _at(spark, path)
+    return fs.getContentSummary(at).getLength() if fs.exists(at) else None
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A Parquet table, or an empty one if there is none. Missing columns of older files are null."""
-    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def publish(df: DataFrame, root: str) -> str:
@@ -37,6 +46,15 @@ def publish(df: DataFrame, root: str) -> str:
     return version
 
 
+def discard_versions(spark: SparkSession, root: str, keep: int = 2) -> None:
+    """Deletes all published versions but the newest `keep`."""
+    fs, top = _at(spark, root)
+    found = sorted((s for s in fs.listStatus(top) if s.getPath().getName().startswith("pointer-")), key=lambda s: (s.getModificationTime(), s.getPath().getName()))
+    for old in found[:-keep]:
+        fs.delete(old.getPath(), True)
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{old.getPath().getName().removeprefix('pointer-')}"), True)
+
+
 def current(spark: SparkSession, root: str, schema: str = CHUNK_SCHEMA) -> DataFrame:
     """The newest published version; FileNotFoundError without one."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

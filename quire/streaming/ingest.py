@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.corpus import upsert
 from ..operators.segment import chunks
 from ..sources.html import web_pages
-from ..sources.store import current, publish
+from ..sources.store import current, discard_versions, publish
 
 WEB_SCHEMA = "url string, file string, title string, page int, source_type string, fetched_on date, pos int, chunk string"
 
@@ -33,10 +33,7 @@ def keep_current(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuer
             old = spark.createDataFrame([], WEB_SCHEMA)
         names = [c.split()[0] for c in WEB_SCHEMA.split(", ")]
         publish(upsert(old.select(*names), batch.select(*names)), root)
+        discard_versions(spark, root)
 
     return stream.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-
-def counts_by_host(pages: DataFrame) -> DataFrame:
-    """A running count a host, for monitoring."""
-    return pages.groupBy(F.expr("parse_url(url, 'HOST')").alias("host")).count()
