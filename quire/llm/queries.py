@@ -119,5 +119,39 @@ select q.page_id, q.payload_bytes, q.payload_digest,
 from q left join g on q.payload_digest = g.payload_digest and q.payload_bytes >= 1000
 """
 
+
+_REACH = """reach as (select a as node, b as other from l union select r.node, l.b from reach r join l on l.a = r.other),
+c as (select node, least(node, min(other)) as component from reach group by 1)"""
+OP3_SQL = f"""
+with recursive v as (select vec_id, embedding::double[] as e from embeddings),
+u as (select vec_id, e, sqrt(list_inner_product(e, e)) as n from v where e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+l as (select x.vec_id as a, y.vec_id as b from u x join u y on x.vec_id <> y.vec_id where list_inner_product(x.e, y.e) >= 0.95::double * x.n * y.n),
+{_REACH}, k as (select a, count(*) as n from l group by 1)
+select vec_id, coalesce(k.n, 0) as n_links, coalesce(component, vec_id) as component_id, vec_id = coalesce(component, vec_id) as kept
+from embeddings left join k on k.a = vec_id left join c on c.node = vec_id
+"""
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+OP7_SQL = f"""
+with w as (select doc_id, {_WORDS.format("coalesce(text, '')")} as ws from documents),
+x as (select doc_id, len(ws) as n, unnest(ws) as word, generate_subscripts(ws, 1) as i from w),
+g as (select *, string_agg(word, ' ') over (partition by doc_id order by i rows between current row and 34 following) as s from x),
+r as (select *, i <= n - 34 and count(*) filter (where i <= n - 34) over (partition by s) > 1 as again from g),
+m as (select *, max(again::int) over (partition by doc_id order by i rows between 34 preceding and current row) = 1 as gone from r),
+d as (select doc_id, count(*) as n, count(*) filter (where gone) as lost, coalesce(string_agg(word, ' ' order by i) filter (where not gone), '') as kept from m group by 1)
+select doc_id, coalesce(n, 0) as n_words, coalesce(lost, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from documents left join d using (doc_id)
+"""
+OP10_SQL = f"""
+with recursive w as (select doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as ws from documents),
+x as (select doc_id, len(ws) as n, unnest(ws) as word, generate_subscripts(ws, 1) as i from w),
+g as (select doc_id, n, i, string_agg(word, ' ') over (partition by doc_id order by i rows between current row and 4 following) as s from x),
+h as (select distinct doc_id, s from g where i <= greatest(n - 4, 1)), z as (select doc_id, count(*) as n from h group by 1),
+o as (select p.doc_id as a, q.doc_id as b, count(*) as shared from h p join h q on p.s = q.s and p.doc_id <> q.doc_id group by 1, 2),
+l as (select a, b from o join z y on y.doc_id = a join z t on t.doc_id = b where 100 * shared >= 75 * (y.n + t.n - shared)),
+{_REACH}
+select doc_id, coalesce(z.n, 0) as n_shingles, coalesce(component, doc_id) as component_id, doc_id = coalesce(component, doc_id) as kept
+from documents left join z using (doc_id) left join c on node = doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL}
+    return {"op1_warc": OP1_SQL, "op3_embedding_dedup": OP3_SQL, "op7_substring": OP7_SQL, "op10_minhash": OP10_SQL}
