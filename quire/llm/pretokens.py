@@ -108,19 +108,20 @@ class Batch:
 
 
 class Known:
-    """What is known of pieces, by their bytes; emptied before a batch once they take more than about `most` bytes."""
+    """What is known of pieces, by their bytes, in about `most` bytes: once the young half is full it becomes the old one, and what is asked for again moves over."""
 
     def __init__(self, most: int) -> None:
-        self.most, self.size, self.found = most, 0, {}
+        self.most, self.size, self.young, self.old = most, 0, {}, {}
 
     def of(self, pieces: list[bytes], make: Callable[[bytes], object]) -> list:
-        if self.size > self.most:
-            self.size, self.found = 0, {}
+        if self.size > self.most // 2:
+            self.size, self.young, self.old = 0, {}, self.young
         out = []
         for piece in pieces:
-            value = self.found.get(piece)
+            value = self.young.get(piece)
             if value is None:
-                value = self.found[piece] = make(piece)
+                value = self.old.get(piece)
+                value = self.young[piece] = make(piece) if value is None else value
                 self.size += len(piece) + 150  # about what an entry takes
             out.append(value)
         return out

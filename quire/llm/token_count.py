@@ -21,7 +21,7 @@ from .common import free_name, kept, lean, ready, slices
 from .pretokens import Batch, Known, byte_letters
 
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-KEPT_BYTES = 24 << 20
+KEPT_BYTES = 96 << 20
 """What the counts of known pieces may take in a worker."""
 
 
