@@ -11,7 +11,7 @@ Texts with characters whose class differs between Unicode versions, or with spec
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -127,6 +127,23 @@ class Known:
         return out
 
 
+def plain(text: str) -> str:
+    """NFC, then lower case letter by letter (no final sigma), as the "word" tokenizer normalises."""
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
+def by_spaces(text: str, most: int = 1 << 16) -> Iterator[str]:
+    """Runs of a text of about `most` characters that end with a space or line break, one at least."""
+    begin = 0
+    while True:
+        ends = [x for x in (text.find(" ", begin + most), text.find("\n", begin + most)) if x >= 0] if len(text) - begin > most else []
+        if not ends:
+            yield text[begin:]
+            return
+        yield text[begin : min(ends) + 1]
+        begin = min(ends) + 1
+
+
 def byte_letters() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies: itself if printable, else the next free code from 256."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]

@@ -104,8 +104,26 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import compress
+
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_square_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .square_packing import pack_whole
+
+    return pack_whole(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_warc, op2_packing, op3_embedding_dedup, op4_sharding, op5_decontamination, op6_language_id, language_id_pages, op7_substring, op8_token_counts, op9_license_scan, op10_minhash]
+    found = [op1_warc, op2_packing, op3_embedding_dedup, op4_sharding, op5_decontamination, op6_language_id, language_id_pages, op7_substring, op8_token_counts, op9_license_scan, op10_minhash, op11_vector_codes, op12_spelling, op13_square_packing]
     return {f.__name__: f for f in found}
 
 
@@ -153,5 +171,42 @@ from documents left join z using (doc_id) left join c on node = doc_id
 """
 
 
+# Eight subspaces, sixteen entries, six rounds, all in whole numbers: a round is one assignment and one update.
+_NEAREST = """a{k} as (select x.vec_id, x.p, arg_min(b.e, struct_pack(d := {d}, e := b.e)) as e, min({d}) as d from v x join b{k} b on b.p = x.p group by x.vec_id, x.p)"""
+_UPDATED = """s{k} as (select a.p, a.e, i, sum(v.x[i]::hugeint) as t, count(*) as n from a{k} a join v on v.vec_id = a.vec_id and v.p = a.p, range(1, 9) r(i) group by all),
+u{k} as (select p, e, list((t - ((t % n) + n) % n) // n order by i) as x from s{k} group by p, e),
+b{n} as (select b.p, b.e, coalesce(u.x::bigint[], b.x) as x from b{k} b left join u{k} u on u.p = b.p and u.e = b.e)"""
+_GAP = "list_sum(list_transform(list_zip(x.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+OP11_SQL = f"""
+with q as materialized (select vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) as x from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+v as materialized (select vec_id, p, x[p * 8 + 1 : p * 8 + 8] as x from q, range(8) t(p)),
+w as (select vec_id, row_number() over (order by vec_id) - 1 as e from q order by vec_id limit 16),
+b0 as materialized (select p, e, x from v join w using (vec_id)),
+{", ".join((_NEAREST.format(k=k, d=_GAP) + ", " + _UPDATED.format(k=k, n=k + 1)).replace(" as (", " as materialized (") for k in range(6))},
+{_NEAREST.format(k=6, d=_GAP).replace(" as (", " as materialized (", 1)},
+c as (select vec_id, string_agg(lpad(lower(hex(e)), 2, '0'), '' order by p) as code, sum(d)::bigint as error from a6 group by 1),
+h as (select sha256(string_agg(array_to_string(x, ','), ',' order by p, e)) as codebooks_sha256 from b6)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from c join q using (vec_id), h
+"""
+OP12_SQL = """
+with recursive t as (select list(c order by i) as tab from (select i, list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from (select i::bigint as i from range(256) r(i)))),
+r as (select doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents),
+s as (select run, hex(encode(doc_id || ':' || run)) as x from r where length(run) >= 7),
+h as (select run, xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(1, length(x), 2), lambda i: ('0x' || x[i : i + 1])::bigint)), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) as h from s, t),
+m as (select case when h % 31 = 0 then substring(run, 1, (h % length(run))::int) || substring(run, (h % length(run))::int + 2) else run end as word from h),
+w as materialized (select word, count(*) as n from m where length(word) >= 7 group by 1 having count(*) >= 2),
+d as materialized (select word, n, i, substring(word, 1, i::int) || substring(word, i::int + 2) as short from w, range(0, length(word)) g(i)),
+l as materialized (
+  select x.word, x.n, y.word as near, y.n as near_n from d x join d y on x.short = y.short and x.i = y.i and x.word <> y.word
+  union select x.word, x.n, y.word, y.n from d x join w y on x.short = y.word
+  union select y.word, y.n, x.word, x.n from d x join w y on x.short = y.word),
+b as (select word, n, count(*) as n_near, arg_min(near, struct_pack(m := -near_n, near := near)) as near, max(near_n) as m from l group by 1, 2),
+f as materialized (select word, n_near, case when m >= 10 * n then near end as form, case when m >= 10 * n then m end as form_n from b),
+z as (select word, form as root from f where form is not null union select z.word, f.form from z join f on f.word = z.root where f.form is not null),
+e as (select z.word, z.root from z join f on f.word = z.root where f.form is null)
+select w.word, f.form, coalesce(e.root, w.word) as root, w.n, coalesce(f.n_near, 0) as n_near, f.form_n from w left join f using (word) left join e on e.word = w.word
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_embedding_dedup": OP3_SQL, "op7_substring": OP7_SQL, "op10_minhash": OP10_SQL}
+    return {"op1_warc": OP1_SQL, "op3_embedding_dedup": OP3_SQL, "op7_substring": OP7_SQL, "op10_minhash": OP10_SQL, "op11_vector_codes": OP11_SQL, "op12_spelling": OP12_SQL}
