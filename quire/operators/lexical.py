@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from ..config import RetrievalConfig
 from ..functions.text import query_terms, tokens
+from ..session import small, written
+from .postings import Postings, best, term_table
 
+VOCABULARY = 200_000
+"""Words asked for up to which they are sent to the tasks that read texts; more are met by a shuffled join."""
 _DEFAULT = RetrievalConfig()
 
 
@@ -22,12 +26,16 @@ def term_weight(tf: Column, length: Column, mean: Column, config: RetrievalConfi
 def asked_words(texts: DataFrame, key: str, text: str, vocabulary: DataFrame) -> DataFrame:
     """(key, _length, _term, _tf) of each word of `vocabulary` (_term) that a text has, and one row with _term '' for the text itself.
 
-    Only words of the vocabulary survive the scan: they are met there, before anything is shuffled, if the vocabulary is small enough to be sent.
+    Only words of the vocabulary survive the scan: a vocabulary of at most VOCABULARY words is sent to it, so that nothing else is shuffled.
     """
-    known = vocabulary.unionAll(texts.sparkSession.createDataFrame([("",)], "_term string"))
     words = texts.select(key, F.coalesce(tokens(text), F.array().cast("array<string>")).alias("_tokens"))
     words = words.select(key, F.size("_tokens").alias("_length"), F.explode_outer(F.concat(F.array(F.lit("")), "_tokens")).alias("_term"))  # never empty; see segment on the outer form
-    return words.join(known, "_term", "left_semi").groupBy(key, "_length", "_term").agg(F.count("*").alias("_tf"))
+    known = small(vocabulary, VOCABULARY)
+    if known is vocabulary:  # too many to send: the rows of the texts themselves stay out of the shuffled join
+        found = words.where("_term = ''").unionByName(words.where("_term <> ''").join(known, "_term", "left_semi").select(*words.columns))
+    else:
+        found = words.withColumn("_known", F.col("_term") != "").join(F.broadcast(vocabulary.select("_term", F.lit(True).alias("_asked"))), "_term", "left").where("_asked or not _known")
+    return found.groupBy(key, "_length", "_term").agg(F.count("*").alias("_tf"))
 
 
 def bm25_candidates(candidates: DataFrame, questions: DataFrame, text: str = "text", question: str = "query_text", config: RetrievalConfig = _DEFAULT, texts: DataFrame | None = None) -> DataFrame:
@@ -38,6 +46,7 @@ def bm25_candidates(candidates: DataFrame, questions: DataFrame, text: str = "te
     """
     whole = Window.partitionBy("qid")
     asked = questions.select("qid", F.explode(query_terms(question)).alias("_term"))
+    candidates = written(candidates, "candidates")  # read four times below
     pairs = candidates.select("qid", "chunk_id")
     # Each chunk is tokenised once, however many questions it is a candidate of, and has one row of its length and asked words.
     source = candidates.select("chunk_id", text).dropDuplicates(["chunk_id"]) if texts is None else texts.join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi")
@@ -55,17 +64,13 @@ def bm25_candidates(candidates: DataFrame, questions: DataFrame, text: str = "te
 def bm25_topk(corpus: DataFrame, questions: DataFrame, k: int, key: str = "chunk_id", text: str = "text", question: str = "question", config: RetrievalConfig = _DEFAULT) -> DataFrame:
     """(qid, key, score, rank): the k best of the whole corpus for each question, among texts that share a term; ties by key.
 
-    A text becomes one row for each of the questions' words that it holds, and one for its length.
+    Texts are read once: a text becomes one row for each of the questions' words that it holds, and one for its length.
     """
-    asked = questions.select("qid", F.explode(query_terms(question)).alias("_term"))
-    postings = asked_words(corpus.select(F.col(key), text), key, text, asked.select("_term").distinct())
-    terms = postings.groupBy("_term").agg(F.count("*").alias("_df"), F.sum("_length").alias("_total")).cache()  # a row a word that is asked for
-    stats = terms.where("_term = ''").select(F.col("_df").alias("_n"), (F.col("_total") / F.col("_df")).alias("_mean"))
-    weights = postings.where("_term <> ''").join(terms.select("_term", "_df"), "_term").join(F.broadcast(stats))  # stats is one row
-    weights = weights.select("_term", key, (idf(F.col("_n"), F.col("_df")) * term_weight(F.col("_tf"), F.col("_length"), F.col("_mean"), config)).alias("w"))
-    scored = weights.join(asked, "_term").groupBy("qid", key).agg(F.sum("w").alias("score"))
-    order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), key)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    asked = written(questions.select("qid", F.explode_outer(query_terms(question)).alias("_term")).where("_term is not null"), "asked")
+    words = written(asked_words(corpus.select(F.col(key), text), key, text, asked.select("_term").distinct()), "words")
+    stats = words.where("_term = ''").agg(F.count("*").alias("n"), F.coalesce(F.avg("_length"), F.lit(0.0)).alias("mean")).first()
+    found = words.where("_term <> ''")
+    return best(Postings(found, term_table(found), stats.n, stats.mean, key), asked, k, config)
 
 
 def overlaps(corpus: DataFrame, questions: DataFrame, key: str = "chunk_id", text: str = "text", question: str = "question") -> DataFrame:

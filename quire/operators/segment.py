@@ -87,7 +87,7 @@ def pack_sentences(df: DataFrame, text: str, size: int = 800, overlap: int = 2,
 def chunks(df: DataFrame, text: str, size: int = 800, overlap: int = 2) -> DataFrame:
     """One row a chunk: df's columns with pos (from 0) and chunk."""
     packed = pack_sentences(df, text, size, overlap, out="_chunks")
-    return packed.select(*df.columns, F.posexplode("_chunks").alias("pos", "chunk"))
+    return packed.select(*df.columns, F.posexplode_outer("_chunks").alias("pos", "chunk")).where("chunk is not null")  # the plain form would pack twice, in a pushed filter
 
 
 def lines(x: Column | str) -> Column:

@@ -53,7 +53,7 @@ def _blocks(chunks: DataFrame, queries: DataFrame, vector: str, query_key: tuple
 
 
 def vector_topk(chunks: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", query_key: tuple[str, ...] = ("qid", "variant_pos")) -> DataFrame:
-    """(query key..., chunk_id, score, hit_rank): the k chunks with the largest inner product; ties by chunk_id.
+    """(query key..., chunk_id, score, hit_rank): the k chunks with the largest inner product to nine decimals; ties by chunk_id.
 
     chunks: chunk_id and the vector; queries: the key and the vector. All vectors have one length. Filters belong below this operator.
     """
@@ -71,7 +71,7 @@ def all_scores(chunks: DataFrame, queries: DataFrame, vector: str = "embedding",
                 batch = batch.filter(batch.column(1).is_valid())
                 for begin in range(0, batch.num_rows if len(matrix) else 0, step):
                     part = batch.slice(begin, step)
-                    scores = matrix @ _matrix(part.column(1)).T
+                    scores = np.round(matrix @ _matrix(part.column(1)).T, 9)
                     ids = np.tile(part.column(0).to_numpy(zero_copy_only=False), len(matrix))
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(matrix), dtype=np.int32), part.num_rows)), pa.array(ids), pa.array(scores.ravel())], names=["_q", "chunk_id", "score"])
 
@@ -88,7 +88,7 @@ def _search(chunks: DataFrame, matrix: np.ndarray, k: int) -> DataFrame:
             if not batch.num_rows or not len(matrix):
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            scores = matrix @ _matrix(batch.column(1)).T
+            scores = np.round(matrix @ _matrix(batch.column(1)).T, 9)
             for q, row in enumerate(scores):
                 all_ids, all_rows = np.concatenate([held[q][0], ids]), np.concatenate([held[q][1], row])
                 at = _best(all_rows, all_ids, k)

@@ -48,15 +48,33 @@ def _sentences(x: str) -> str:
     return f"string_split(regexp_replace({_squash(x)}, '([.!?])\\s+', concat('\\1', chr(1)), 'g'), chr(1))"
 
 
+def _hashed(name: str, source: str, text: str) -> str:
+    """CTEs that give <name>(k, v): hashed vectors of source (k, text); slots must be there for others than `hv`."""
+    slots = """slots as (select ('0x' || m[1:4])::int as slot, count(distinct k) as df from hv_t group by 1), size as (select count(text) as n from documents),
+""" if name == "hv" else ""
+    return f"""{name}_t as materialized (select k, md5(term) as m, count(*) as tf from (select k, unnest({_tokens(text)}) as term from {source}) group by all), {slots}{name}_d as (select k, ('0x' || m[5:6])::int as d, sum(case when m[7] < '8' then 1 else -1 end * tf * floor(1024 * ln((n + 1) / (coalesce(df, 0) + 1)))::bigint)::double as x from {name}_t cross join size left join slots on slot = ('0x' || m[1:4])::int group by all),
+{name}_l as (select k, list(coalesce(x, 0.0) order by d) as l from (select k, d from {source}, range(256) r(d)) left join {name}_d using (k, d) group by k),
+{name} as materialized (select k, list_transform(l, lambda x: x / case when list_inner_product(l, l) = 0 then 1 else sqrt(list_inner_product(l, l)) end) as v from {name}_l)"""
+
+
 # Shared tables of the retrieval queries.
-CHUNKS = f"""ch as (select doc_id as chunk_id, text, source as file, doc_id % 10 + 1 as page, doc_id // 10 as ordinal,
-    case when doc_id % 7 = 0 then 'web' else 'pdf' end as source_type, 'https://example.com/' || doc_id as url, lang as title, date '{DAY}' as fetched_on, embedding
-    from documents join embeddings on doc_id = vec_id)"""
-VECTORS = "qv as (select item_id as qid, pos as variant_pos, embedding::double[] as v from benchmark, (values (0), (1), (2)) p(pos) join embeddings on vec_id = item_id + 100 * pos)"
+CHUNKS = f"""{_hashed("hv", "(select doc_id as k, text from documents)", "text")},
+ch as (select doc_id as chunk_id, text, source as file, doc_id % 10 + 1 as page, doc_id // 10 as ordinal,
+    case when doc_id % 7 = 0 then 'web' else 'pdf' end as source_type, 'https://example.com/' || doc_id as url, lang as title, date '{DAY}' as fetched_on, v as embedding
+    from documents join hv on doc_id = k)"""
+_THREE = "select item_id as qid, pos, case pos when 0 then text when 1 then substr(text, 1, 60) else substr(text, 61) end as text from benchmark, range(3) p(pos)"
+_TWO = "select qid, 0 as pos, question as text from expanded0 union all select qid, 2, expansion from expanded0 join labelled0 using (qid) where two"
+
+
+def _vectors(variants: str) -> str:
+    return f"qt as (select qid * 10 + pos as k, * from ({variants})), {_hashed('qh', 'qt', 'text')}, qv as (select k // 10 as qid, k % 10 as variant_pos, v from qh)"
+
+
+VECTORS = _vectors(_THREE)
 
 
 def _hits(k: int, where: str = "true") -> str:
-    return f"""{CHUNKS}, {VECTORS}, sc as (select qid, variant_pos, chunk_id, list_inner_product(v, embedding::double[]) as score from qv, ch where {where}),
+    return f"""{CHUNKS}, {VECTORS}, sc as (select qid, variant_pos, chunk_id, round(list_inner_product(v, embedding), 9) as score from qv, ch where {where}),
 hits as (select *, row_number() over (partition by qid, variant_pos order by score desc, chunk_id) as hit_rank from sc qualify hit_rank <= {k})"""
 
 
@@ -199,7 +217,7 @@ def _mentions() -> str:
 
 def _search() -> str:
     """The whole chain with the variants that remain: the expansion has the vector of its position."""
-    narrowed = SCORED.replace("pos as variant_pos, embedding::double[] as v from benchmark, (values (0), (1), (2)) p(pos) join embeddings on vec_id = item_id + 100 * pos", "pos as variant_pos, embedding::double[] as v from benchmark, (values (0), (2)) p(pos) join embeddings on vec_id = item_id + 100 * pos where pos = 0 or item_id in (select qid from labelled0 where two)")
+    narrowed = SCORED.replace(VECTORS, _vectors(_TWO))
     extra = EXPANDED.replace("rules(", "rules0(").replace("from rules", "from rules0").replace("ex as", "ex0 as").replace("from ex)", "from ex0)").replace("expanded as", "expanded0 as") + f", labelled0 as (select qid, {_fold(_squash('expansion'))} <> {_fold(_squash('question'))} as two from expanded0)"
     tech = f"(regexp_matches(s.text, '\\d') and {_any('s.text', config.UNITS)})"
     return f"""with recursive {extra}, {narrowed},
@@ -266,6 +284,7 @@ def oracle_sql() -> dict[str, str]:
         "query_term_sets": f"select item_id as qid, array_to_string(list_sort({_terms('text')}), ' ') as terms from benchmark",
         "lexical_overlap": f"with q as (select item_id as qid, {_terms('text')} as ts from benchmark), a as (select qid, len(ts) as n, unnest(ts) as term from q), d as (select distinct doc_id as chunk_id, unnest({_tokens('text')}) as term from documents) select qid, chunk_id, round(count(*) / any_value(n), 6)::double as overlap from a join d using (term) group by 1, 2",
         "bm25_topk": _bm25_topk(),
+        "kept_postings": _bm25_topk(),
         "sentences": f"select doc_id, generate_subscripts({_sentences('text')}, 1) - 1 as pos, unnest({_sentences('text')}) as sentence from documents",
         "hard_split": "select doc_id, g as pos, substr(text, g * 200 + 1, 200) as piece from documents, range(0, 100000) r(g) where g * 200 < length(text)",
         "chunks": f"with recursive {_packed('documents', 'doc_id', 'text')} select k as doc_id, pos, chunk from packed",
@@ -280,6 +299,7 @@ def oracle_sql() -> dict[str, str]:
         "url_list": "select distinct url from pages where url <> ''",
         "delete_source": "select doc_id, source from documents where source <> (select min(source) from documents)",
         "vector_topk": f"with {_hits(10)} select qid, variant_pos::bigint as variant_pos, chunk_id, {r6('score')}, hit_rank from hits",
+        "hashed_vectors": f"with {_hashed('hv', '(select doc_id as k, text from documents)', 'text')} select k as chunk_id, round(list_inner_product(v, v), 6) as norm, len(list_filter(v, lambda x: x <> 0)) as filled, round(v[8], 6) as eighth from hv",
         "normalise_vectors": "select vec_id, round(embedding[1] * 3::double / sqrt(list_inner_product(embedding::double[], embedding::double[]) * 9), 6) as first, 1.0::double as norm from embeddings",
         "fusion": f"with {FUSED} select qid, chunk_id, {r6('semantic')}, matches, fused_rank from fused",
         "metadata_filter": "with " + _hits(5, "source_type = 'pdf' and file in ('src1', 'src2', 'src3') and page between 2 and 8") + f" select qid, variant_pos::bigint as variant_pos, chunk_id, {r6('score')}, hit_rank from hits",

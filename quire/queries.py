@@ -1,6 +1,6 @@
 """The library's registered queries over the driver's tables.
 
-Documents stand in for page text and for indexed chunks (joined with the embedding of the same number), pages for web pages,
+Documents stand in for page text and, with hashed vectors, for indexed chunks, pages for web pages,
 benchmark texts for questions, conversations for answers.
 """
 
@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import PORTFOLIO_WORDS, SYNTHESIS_WORDS
+from .functions import hashed
 from .functions import text as T
-from .operators import context, corpus, evaluate, lexical, rank, segment, vector
+from .operators import context, corpus, evaluate, lexical, postings, rank, segment, vector
 from .plans import ask as asking
 from .plans import index, models
 from .plans import search as plans
-from .session import ready, work_folder
+from .session import ready, work_folder, written
 from .sources import caches, html, store
 from .sources.profiles import Expansion, Focus, Profile
 
@@ -52,11 +53,21 @@ def chunk_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(i.alias("chunk_id"), "text", F.col("source").alias("file"), (i % 10 + 1).cast("int").alias("page"), F.floor(i / 10).cast("int").alias("ordinal"), F.when(i % 7 == 0, "web").otherwise("pdf").alias("source_type"), F.concat(F.lit("https://example.com/"), i.cast("string")).alias("url"), F.col("lang").alias("title"), F.lit(DAY).cast("date").alias("fetched_on"))
 
 
+_indexed: dict[tuple, tuple[DataFrame, hashed.HashedVectors]] = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, hashed.HashedVectors]:
+    """All documents as chunks with hashed vectors, written once for a session and a state of the table's files, and the vectors' weights."""
+    path = f"{sf_dir}/documents.parquet"
+    state = (spark.sparkContext.applicationId, path, *store.state_of(spark, path))
+    if state not in _indexed:
+        model = hashed.fit(documents(spark, sf_dir))
+        _indexed[state] = written(model.embed(chunk_columns(spark, sf_dir), out="embedding"), "chunks"), model
+    return _indexed[state]
+
+
 def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Indexed chunks: documents with the embedding of the same number."""
-    docs = chunk_columns(spark, sf_dir)
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    return docs.join(vectors, "chunk_id")
+    return indexed(spark, sf_dir)[0]
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,10 +79,10 @@ def rules(spark: SparkSession) -> DataFrame:
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three variants a question; variant p of question q has the vector of row q + 100 p."""
-    pos = questions(spark, sf_dir).select("qid", F.explode(F.array(*map(F.lit, range(3)))).alias("variant_pos"))
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id"), "embedding")
-    return pos.join(vectors, F.col("vec_id") == F.col("qid") + 100 * F.col("variant_pos")).select("qid", "variant_pos", "embedding")
+    """Three variants a question: the whole, its first 60 characters, the rest."""
+    texts = F.array("question", F.substring("question", 1, 60), F.substring(F.col("question"), F.lit(61), F.length("question")))
+    asked = questions(spark, sf_dir).select("qid", F.posexplode(texts).alias("variant_pos", "query_text"))
+    return embedder(spark, sf_dir)(asked)
 
 
 def hits(spark: SparkSession, sf_dir: str, where: rank.MetadataFilter | None = None, k: int = 80) -> DataFrame:
@@ -131,6 +142,14 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return show(found, "qid", "chunk_id", "score", "rank")
 
 
+@query
+def kept_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search through an inverted index that is written first and read by the questions' words."""
+    root = work_folder(spark, "inverted")
+    postings.write_postings(documents(spark, sf_dir), root, "doc_id")
+    return show(postings.search_postings(spark, root, questions(spark, sf_dir), 10), "qid", "chunk_id", "score", "rank")
+
+
 @query
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = documents(spark, sf_dir).select("doc_id", F.posexplode_outer(segment.sentences("text")).alias("pos", "sentence")).where("sentence is not null")
@@ -210,6 +229,13 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return show(hits(spark, sf_dir, k=10), "qid", "variant_pos", "chunk_id", "score", "hit_rank")
 
 
+@query
+def hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's hashed vector: its length, components that are not zero, and one of them."""
+    rows = chunk_rows(spark, sf_dir)
+    return rows.select("chunk_id", F.round(T.dot("embedding", "embedding"), 6).alias("norm"), F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("filled"), F.round(F.col("embedding")[7], 6).alias("eighth"))
+
+
 @query
 def normalise_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", T.l2_normalise(F.transform("embedding", lambda x: x * 3)).alias("v"))
@@ -473,8 +499,8 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedder(spark: SparkSession, sf_dir: str):
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return lambda v: v.select("qid", "variant_pos").join(vectors, F.col("vec_id") == F.col("qid") + 100 * F.col("variant_pos")).select("qid", "variant_pos", "embedding")
+    model = indexed(spark, sf_dir)[1]
+    return lambda v: model.embed(v.select("qid", "variant_pos", "query_text"), "query_text", "embedding").drop("query_text")
 
 
 def searched(spark: SparkSession, sf_dir: str) -> plans.SearchResult:

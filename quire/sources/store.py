@@ -29,6 +29,13 @@ def size_of(spark: SparkSession, path: str) -> int | None:
     return fs.getContentSummary(at).getLength() if fs.exists(at) else None
 
 
+def state_of(spark: SparkSession, path: str) -> tuple[int, ...]:
+    """Files and bytes below a path, and when the newest of them was written: changes with the table."""
+    fs, at = _at(spark, path)
+    found = fs.listStatus(at)
+    return len(found), sum(s.getLen() for s in found), max([s.getModificationTime() for s in found], default=0)
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A Parquet table, or an empty one if there is none. Missing columns of older files are null."""
     return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
