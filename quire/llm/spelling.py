@@ -2,10 +2,11 @@
 
 Bigrams are put in one order by frequency, then text, then position. An edit destroys two bigrams of a word at most, so of two
 words one edit apart both keep, among their three rarest, the rarest bigram that the edit leaves alone. It stands either
-before the edit, and then all before it is equal, or after it, and then all after it is equal. So the join's key is such a
-bigram with the whole side of the word that ends or begins with it, which fixes its position from that side, and the length,
-equal or one more; one edit of distance is verified inside the join. All of this is Column expressions; nothing else than
-the bigrams' order (the alphabet squared) is sent to tasks.
+before the edit, and then all before it is equal, or after it, and then all after it is equal. So the join's key is a hash of such a
+bigram with the whole side of the word that ends or begins with it, which fixes its position from that side, and of the length,
+equal or one more. Inside the join a pair must also agree on one half of the rest, by its hash, and at last one edit of distance
+is verified on the words. All of this is Column expressions; nothing else than the bigrams' order (the alphabet squared) is
+sent to tasks.
 """
 
 from __future__ import annotations
@@ -46,8 +47,8 @@ def _bigrams(word: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.char_length(word) - 1), lambda i: number(letter(i)) * ALPHABET + number(letter(i + 1)))
 
 
-def _keys(vocabulary: DataFrame) -> DataFrame:
-    """(side, piece, size, word, n): for each of a word's three rarest bigrams, the word up to it and the word from it on."""
+def _rare(vocabulary: DataFrame) -> DataFrame:
+    """(word, n, at): where each word's three rarest bigrams begin, from 1."""
     graded = vocabulary.withColumn("_grams", _bigrams(F.col("word")))
     counts = graded.select(F.explode_outer("_grams").alias("g")).groupBy("g").count().orderBy("count", "g").select("g").collect()  # at most 90 x 90
     place = [0] * (ALPHABET * ALPHABET)
@@ -55,18 +56,35 @@ def _keys(vocabulary: DataFrame) -> DataFrame:
         place[r.g] = k
     order = F.lit(place)
     rare = F.slice(F.array_sort(F.transform("_grams", lambda g, i: F.struct(F.get(order, g).alias("rank"), (i + 1).alias("at")))), 1, RARE)
-    sides = F.flatten(F.transform(rare, lambda x: F.array(F.struct(F.lit(0).alias("side"), F.substring(F.col("word"), F.lit(1), x["at"] + 1).alias("piece")), F.struct(F.lit(1).alias("side"), F.substring(F.col("word"), x["at"], F.char_length("word")).alias("piece")))))
-    return graded.select("word", "n", F.char_length("word").alias("size"), F.explode_outer(sides).alias("_k")).select("_k.side", "_k.piece", "size", "word", "n")
+    return graded.select("word", "n", F.explode_outer(rare).alias("_r")).select("word", "n", F.col("_r.at").alias("at"))
+
+
+def _side(longer: bool) -> Column:
+    """For each side of a bigram and each length of a partner (equal; or one more, or one less if `longer`): the key, and hashes of two halves of the rest.
+
+    The edit is in the rest, so the halves before or those behind the middle of the shorter word's rest are equal too.
+    """
+    size, at = F.char_length("word"), F.col("at")
+    out = []
+    for side, piece, begin, length in ((0, F.substring("word", F.lit(1), at + 1), at + 2, size - at - 1), (1, F.substring("word", at, size), F.lit(1), at - 1)):
+        for other in (0, 1):
+            short = length - other if longer else length  # of the shorter word's rest
+            half = F.floor(short / 2).cast("int")
+            head, tail = F.substring("word", begin, half), F.substring("word", begin + length - (short - half), short - half)
+            key = F.xxhash64(F.lit(2 * side + other), piece, size - other if longer else size)
+            out.append(F.when(short >= 0, F.struct(key.alias("key"), F.hash(head).alias("head"), F.hash(tail).alias("tail"), F.lit(other == 0).alias("equal"))))
+    return F.array(*out)
 
 
 def near_words(vocabulary: DataFrame) -> DataFrame:
     """(word, n, near, near_n): every ordered pair of words (word, n) that one inserted, deleted or replaced code point turns into each other."""
-    keys = cut(_keys(vocabulary), "bigrams")
-    other = keys.select("side", "piece", F.col("size").alias("partner_size"), F.col("word").alias("near"), F.col("n").alias("near_n"))
-    one = keys.withColumn("partner_size", F.explode(F.array(F.col("size"), F.col("size") + 1)))
-    sound = ((F.col("size") < F.col("partner_size")) | (F.col("word") < F.col("near"))) & (F.levenshtein("word", "near", 1) == 1)
-    pairs = cut(one.join(other, ["side", "piece", "partner_size"]).where(sound).select("word", "n", "near", "near_n").distinct(), "near")
-    discard(keys)
+    rare = cut(_rare(vocabulary), "bigrams")
+    one = rare.select("word", "n", F.explode_outer(_side(False)).alias("x")).select("word", "n", "x.*")
+    other = rare.select(F.col("word").alias("near"), F.col("n").alias("near_n"), F.explode_outer(_side(True)).alias("x")).where("x is not null").select("near", "near_n", F.col("x.key").alias("key"), F.col("x.head").alias("near_head"), F.col("x.tail").alias("near_tail"))
+    halves = (F.col("head") == F.col("near_head")) | (F.col("tail") == F.col("near_tail"))
+    sound = halves & (~F.col("equal") | (F.col("word") < F.col("near"))) & (F.levenshtein("word", "near", 1) == 1)
+    pairs = cut(one.join(other, "key").where(sound).select("word", "n", "near", "near_n").distinct(), "near")
+    discard(rare)
     back = F.struct(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))
     return pairs.select(F.explode(F.array(F.struct("word", "n", "near", "near_n"), back)).alias("_p")).select("_p.*")
 
