@@ -8,19 +8,19 @@ from __future__ import annotations
 
 import heapq
 import json
-import unicodedata
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import free_name, kept, lean, ready, slices
-from .pretokens import Batch, Known, byte_letters
+from .pretokens import Batch, Known, by_spaces, byte_letters
+from .pretokens import plain as lowered
 
-PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 KEPT_BYTES = 96 << 20
 """What the counts of known pieces may take in a worker."""
 
@@ -29,6 +29,7 @@ class Counter:
     """Counts of one tokenizer file (BPE with word ends over byte letters)."""
 
     def __init__(self, path: str) -> None:
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"] or ""
@@ -36,7 +37,6 @@ class Counter:
         self.inner = [vocab[letters[b]] for b in range(256)]
         self.final = [vocab[letters[b] + suffix] for b in range(256)]
         self.ranks = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(spec["model"]["merges"])}
-        self.special = regex.compile("|".join(regex.escape(x["content"]) for x in spec["added_tokens"]) or r"(?!)")
         self.known = Known(KEPT_BYTES)
 
     def merged(self, piece: bytes) -> int:
@@ -71,21 +71,18 @@ class Counter:
                     heapq.heappush(heap, (rule[0], h, ids[h], new, rule[1]))
         return left
 
-    def _plain(self, text: str) -> str:
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    @cached_property
+    def library(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
 
     def slow(self, text: str) -> int:
-        """The count of any text, piece by piece."""
-        parts = self.special.split(text)
-        total = len(parts) - 1
-        for part in parts:
-            total += sum(self.known.of([x.encode() for x in PATTERN.findall(self._plain(part))], self.merged))
-        return total
+        """The library's own count, for texts with special strings, or characters that Unicode versions class differently."""
+        return sum(len(self.library.encode(run, add_special_tokens=False).ids) for run in by_spaces(text))
 
     def counts(self, texts: list[str]) -> np.ndarray:
         out = np.zeros(len(texts), np.int64)
         odd = np.array(["<|" in x for x in texts], bool)
-        plain = ["" if o else self._plain(x) for x, o in zip(texts, odd, strict=True)]
+        plain = ["" if o else lowered(x) for x, o in zip(texts, odd, strict=True)]
         batch = Batch(plain)
         odd |= batch.unsettled()
         if odd.any():
