@@ -8,34 +8,55 @@ of about GROUP pieces by a hash of the piece's own number, so neither a hot key
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import cut, kept, lean, ready, slices
-from .pretokens import Batch, Known, by_spaces, plain
+from .pretokens import Batch, Known, by_spaces, byte_letters, plain
 
 GROUP = 65_536
 """Pieces that one task packs; a few MB, and a few seconds."""
+END = b"\xff"
 KEPT_BYTES = 96 << 20
 """What the ids of known pieces may take in a worker."""
 
 
 class WordIds:
-    """Ids of a tokenizer file with word ends, equal to the tokenizers library's: each distinct word piece is encoded once."""
+    """Ids of a tokenizer file with word ends (BPE over byte letters), equal to the tokenizers library's.
+
+    Each distinct word piece is merged once, by tiktoken's routine: a byte that no UTF-8 text has stands for the end of the
+    word. Its pair with the last byte is of lower rank than all merges, so that merging begins with the file's end symbols.
+    """
 
     def __init__(self, path: str) -> None:
-        self.library, self.known = Tokenizer.from_file(path), Known(KEPT_BYTES)
+        self.path, self.known = path, Known(KEPT_BYTES)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        suffix, back = spec["model"]["end_of_word_suffix"], {c: b for b, c in byte_letters().items()}
+        special, ranks = {x["content"] for x in spec["added_tokens"]}, {}
+        for token, rank in spec["model"]["vocab"].items():
+            if token not in special:
+                body = token.removesuffix(suffix)
+                ranks[bytes(back[c] for c in body) + (END if body != token else b"")] = rank
+        self.merge = tiktoken.Encoding("own", pat_str=r".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    @cached_property
+    def library(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
 
     def _ids(self, piece: bytes) -> bytes:
-        return array("I", self.library.encode(piece.decode(), add_special_tokens=False).ids).tobytes()
+        return array("I", self.merge(piece + END)).tobytes()
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text. Texts with unsettled characters or special strings go to the library in runs that end at spaces."""
@@ -47,8 +68,13 @@ class WordIds:
             batch = Batch(["" if o else x for x, o in zip(lowered, odd, strict=True)])
         starts, ends = batch.pieces("word")
         kinds, place = batch.distinct(starts, ends)
-        parts, first = self.known.of(kinds, self._ids), batch.texts_of(starts)
-        out = [np.frombuffer(b"".join([parts[k] for k in place[first[t] : first[t + 1]]]), np.uint32) for t in range(len(texts))]
+        parts = self.known.of(kinds, self._ids)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        flat, begin, lengths = np.frombuffer(b"".join(parts), np.uint32), np.cumsum(sizes) - sizes, sizes[place]
+        edges = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        ids = flat[np.repeat(begin[place] - edges[:-1], lengths) + np.arange(edges[-1])]
+        first = edges[batch.texts_of(starts)]
+        out = [ids[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
         for t in np.flatnonzero(odd):
             out[t] = np.concatenate([np.array(self.library.encode(run, add_special_tokens=False).ids, np.uint32) for run in by_spaces(texts[t])])
         return out
@@ -67,7 +93,7 @@ def sum_of_squares(sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarr
         size = int(sizes[k])
         gaps = np.flatnonzero(room[size:])  # what is left in each kind of window that has room
         if len(gaps):
-            change = np.where(gaps > 0, room[gaps] + 1, 0) - room[gaps + size]  # half the change of the sum, but for a constant
+            change = np.where(gaps > 0, 2 * room[gaps] + 2, 1) - 2 * room[gaps + size]  # of the sum of squares
             left = int(gaps[change.argmin()])
             name = named[left + size].pop()
             room[left + size] -= 1
