@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,13 +57,6 @@ def cache_misses(texts: DataFrame, cache: DataFrame, model: str, text: str = "te
     return with_keys(texts, model, text).select("key", text).dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti")
 
 
-def embed_with_cache(texts: DataFrame, cache: DataFrame, model: str, embed: Callable[[DataFrame], DataFrame], text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(texts with vectors, new cache). `embed` maps (key, text) to (key, vector); it sees each missing text once."""
-    fresh = embed(cache_misses(texts, cache, model, text)).select("key", "vector")
-    known = cache.select("key", "vector").unionByName(fresh)
-    return with_keys(texts, model, text).join(known, "key", "left"), known
-
-
 def variants_once(variants: DataFrame, folded) -> DataFrame:
     """Query variants whose folded text is new for the question, first one kept."""
     order = Window.partitionBy("qid", folded).orderBy("variant_pos")

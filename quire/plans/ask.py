@@ -11,6 +11,7 @@ from ..config import RetrievalConfig
 from ..functions.text import asks_technical
 from ..operators.context import assemble, fit_budget, prompts, with_links
 from ..operators.rank import MetadataFilter, with_fallback
+from ..session import written
 from ..sources.profiles import GENERIC, Profile
 from .models import Step, offline_answer
 from .search import SearchResult, search
@@ -46,7 +47,8 @@ def ask(questions: DataFrame, chunks: DataFrame, embed: Step, generate: Step = o
     widened = results.groupBy("qid").agg(F.max("_wide").alias("fallback"))
     results = results.drop("_wide")
     asked = prompts(questions, assemble(fit_budget(results, config.context_tokens)), profile.prompt_lines())
-    answers = questions.join(asked, "qid").join(generate(asked), "qid", "left")
+    said = written(generate(asked).select("qid", "answer"), "answers")  # two branches read it, and a model is to be asked once
+    answers = questions.join(asked, "qid").join(said, "qid", "left")
     linked = with_links(answers.select("qid", "answer"), results)
     out = answers.join(linked, "qid", "left").join(widened, "qid", "left")
     return Answers(out.select("qid", "question", "prompt", "answer", "linked", F.coalesce("fallback", F.lit(False)).alias("fallback")), results, found)

@@ -9,16 +9,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import l2_normalise
-from ..operators.corpus import embed_with_cache, index_stats, union_corpus
-from ..sources import caches
+from ..functions import hashed
+from ..operators.corpus import index_stats, union_corpus, with_keys
+from ..sources.caches import VECTORS, CallCache
 from ..sources.store import CHUNK_SCHEMA, current, publish
 
+HASHED = "hashed-1"
+"""The name of the vectors that need no model."""
 INDEX_SCHEMA = f"{CHUNK_SCHEMA}, embedding array<double>"
 
 
 @dataclass(frozen=True)
 class Built:
-    version: str | None
+    version: int | None
     stats: DataFrame
 
 
@@ -28,20 +31,23 @@ def numbered(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("chunk_id", F.xxhash64(*where))
 
 
-def build_index(pdf: DataFrame, web: DataFrame, embed: Callable[[DataFrame], DataFrame], model: str, root: str, cache_root: str) -> Built:
-    """Publishes all chunks of both kinds with unit vectors below `root`, and the grown cache below `cache_root`.
+def build_index(pdf: DataFrame, web: DataFrame, root: str, cache_root: str, embed: Callable[[DataFrame], DataFrame] | None = None, model: str = HASHED) -> Built:
+    """Publishes all chunks of both kinds with unit vectors below `root`; calls go through the cache below `cache_root`.
 
-    `embed` maps (key, text) to (key, vector) and sees each text that the cache lacks once. Chunks without text are left out;
-    without any chunk nothing is published. Readers see the old or the new version.
+    `embed` maps (key, text) to (key, vector) and sees each text that the cache lacks once. Without it texts get hashed vectors,
+    whose weights are learnt from all chunks and kept beside the table, below `<root>-weights`; they cost less than a cache.
+    Chunks without text are left out; without any chunk nothing is published. Readers see the old or the new version.
     """
     spark = pdf.sparkSession
     chunks = numbered(union_corpus(pdf, web)).where(F.trim("text") != "")
-    if not chunks.limit(1).count():
+    if chunks.isEmpty():
         return Built(None, index_stats(chunks))
-    _, cache = embed_with_cache(chunks.select("text"), caches.load(spark, cache_root, caches.VECTORS), model, embed)
-    caches.save(cache.select("key", F.col("vector").cast("array<double>").alias("vector")), cache_root)
-    cache = caches.load(spark, cache_root, caches.VECTORS)  # from the files, so that nothing is embedded twice
-    rows, _ = embed_with_cache(chunks, cache, model, lambda missing: missing.select("key", F.lit(None).cast("array<double>").alias("vector")).where("false"))
+    if embed is None:
+        vectors = hashed.fit(chunks)
+        vectors.save(spark, f"{root}-weights")
+        rows = vectors.embed(chunks)
+    else:
+        rows = CallCache(spark, cache_root, VECTORS).through(with_keys(chunks, model), lambda missing: embed(missing.select("key", "text")).select("key", F.col("vector").cast("array<double>").alias("vector")))
     names = [c.split()[0] for c in INDEX_SCHEMA.split(", ")]
     rows = rows.withColumn("embedding", l2_normalise("vector"))
     for c in set(names) - set(rows.columns):

@@ -17,7 +17,7 @@ from ..config import REWRITE_CHARS, RetrievalConfig
 from ..functions.text import cache_key, json_ints, squash
 from ..operators.rank import apply_cross_scores, apply_order
 from ..session import ready
-from ..sources.caches import through
+from ..sources.caches import CallCache
 from ..sources.profiles import GENERIC, Profile
 
 REWRITE_VERSION, JUDGE_VERSION = "v2", "v1"
@@ -26,16 +26,15 @@ _DEFAULT = RetrievalConfig()
 Step = Callable[[DataFrame], DataFrame]
 
 
-def rewrites(questions: DataFrame, cache: DataFrame, model: str, call: Step, profile: Profile = GENERIC) -> tuple[DataFrame, DataFrame]:
-    """(questions with `rewrite`, new cache). `call` maps (key, prompt) to (key, reply). Replies are squashed and cut; failed calls give null and are not kept."""
+def rewrites(questions: DataFrame, cache: CallCache, model: str, call: Step, profile: Profile = GENERIC) -> DataFrame:
+    """questions with `rewrite`, through the cache. `call` maps (key, prompt) to (key, reply). Replies are squashed and cut; failed calls give null and are not kept."""
     keyed = questions.withColumn("key", cache_key(REWRITE_VERSION, F.lit(profile.name), F.lit(model), "question"))
 
     def compute(missing: DataFrame) -> DataFrame:
         replies = call(missing.select("key", profile.rewrite_prompt("question").alias("prompt")))
         return replies.select("key", F.substring(squash("reply"), 1, REWRITE_CHARS).alias("rewrite"))
 
-    out, known = through(keyed, cache, compute, "rewrite")
-    return out.drop("key"), known
+    return cache.through(keyed, compute).drop("key")
 
 
 def judge_prompts(results: DataFrame, questions: DataFrame, model: str, top_k: int | Column, config: RetrievalConfig = _DEFAULT) -> DataFrame:
@@ -47,15 +46,15 @@ def judge_prompts(results: DataFrame, questions: DataFrame, model: str, top_k: i
     lists = rows.groupBy("qid").agg(F.max("_k").alias("_k"), F.array_sort(F.collect_list(F.struct("rank", print_.alias("p"), block.alias("b")))).alias("r")).join(questions.select("qid", "question"), "qid")
     k, passages = F.col("_k").cast("string"), F.array_join(F.transform("r", lambda x: x["b"]), "\n")
     key = cache_key(JUDGE_VERSION, F.lit(model), k, "question", F.array_join(F.transform("r", lambda x: x["p"]), "\0"))
-    prompt = F.concat(F.lit("Classe les passages selon leur utilité pour répondre à la question. Ne rédige pas la réponse. Réponds par un tableau JSON d'entiers, au plus "), k, F.lit(" numéros.\n\nQuestion :\n"), "question", F.lit("\n\nPassages :\n\n"), passages)
+    prompt = F.concat(F.lit("Voici une question et des extraits numérotés. Quels extraits aident le plus à y répondre ? Donne seulement leurs numéros, du plus utile au moins utile, dans un tableau JSON de "), k, F.lit(" entiers au plus.\n\nQuestion :\n"), "question", F.lit("\n\nPassages :\n\n"), passages)
     return lists.select("qid", key.alias("key"), prompt.alias("prompt"))
 
 
-def judged(results: DataFrame, questions: DataFrame, cache: DataFrame, model: str, call: Step, top_k: int | Column, config: RetrievalConfig = _DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """(results in the judge's order, new cache). `call` maps (key, prompt) to (key, reply); a reply without a list gives an empty order."""
+def judged(results: DataFrame, questions: DataFrame, cache: CallCache, model: str, call: Step, top_k: int | Column, config: RetrievalConfig = _DEFAULT) -> DataFrame:
+    """results in the judge's order, through the cache. `call` maps (key, prompt) to (key, reply); a reply without a list gives an empty order."""
     asked = judge_prompts(results, questions, model, top_k, config)
-    orders, known = through(asked, cache, lambda missing: call(missing.select("key", "prompt")).select("key", F.when(F.col("reply").isNotNull(), json_ints("reply")).alias("ranking")), "ranking")
-    return apply_order(results, orders.select("qid", "ranking"), top_k, config=config), known
+    orders = cache.through(asked, lambda missing: call(missing.select("key", "prompt")).select("key", F.when(F.col("reply").isNotNull(), json_ints("reply")).alias("ranking")))
+    return apply_order(results, orders.select("qid", "ranking"), top_k, config=config)
 
 
 def cross_encoded(results: DataFrame, questions: DataFrame, score: Callable[[Sequence[str], Sequence[str]], Sequence[float]], top_k: int | Column, config: RetrievalConfig = _DEFAULT) -> DataFrame:

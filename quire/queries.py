@@ -544,16 +544,16 @@ def search_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rewrite_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third question is in the cache; calls fail for keys that begin with 0."""
     call = lambda rows: rows.select("key", F.when(~F.col("key").startswith("0"), F.concat(F.lit(" new  "), "key")).alias("reply"))
-    asked, empty = questions(spark, sf_dir), spark.createDataFrame([], caches.REWRITES)
-    _, cache = models.rewrites(asked.where("qid % 3 = 0"), empty, MODEL, lambda rows: rows.select("key", F.lit("old").alias("reply")))
-    return models.rewrites(asked, cache, MODEL, call)[0].select("qid", "rewrite")
+    asked, cache = questions(spark, sf_dir), caches.CallCache(spark, work_folder(spark, "rewrites"), caches.REWRITES)
+    models.rewrites(asked.where("qid % 3 = 0"), cache, MODEL, lambda rows: rows.select("key", F.lit("old").alias("reply")))
+    return models.rewrites(asked, cache, MODEL, call).select("qid", "rewrite")
 
 
 @query
 def judge_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A judge that always says the same, through its cache."""
     call = lambda rows: rows.select("key", F.lit("Ordre : [3, 1]").alias("reply"))
-    found, _ = models.judged(scored(spark, sf_dir), questions(spark, sf_dir), spark.createDataFrame([], caches.ORDERS), MODEL, call, 8)
+    found = models.judged(written(scored(spark, sf_dir), "scored"), questions(spark, sf_dir), caches.CallCache(spark, work_folder(spark, "orders"), caches.ORDERS), MODEL, call, 8)
     return show(found, "qid", "chunk_id", "final", "rank")
 
 
@@ -580,7 +580,7 @@ def built_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     embed = lambda rows: rows.select("key", F.array(F.length("text").cast("double"), F.lit(1.0)).alias("vector"))
     root = work_folder(spark, "index")
     web = html.web_pages(table(spark, sf_dir, "pages"), DAY)
-    index.build_index(chunk_columns(spark, sf_dir).drop("chunk_id").withColumn("source_type", F.lit("pdf")), web, embed, MODEL, f"{root}/chunks", f"{root}/cache")
+    index.build_index(chunk_columns(spark, sf_dir).drop("chunk_id").withColumn("source_type", F.lit("pdf")), web, f"{root}/chunks", f"{root}/cache", embed, MODEL)
     rows = store.current(spark, f"{root}/chunks", index.INDEX_SCHEMA)
     return rows.groupBy("source_type").agg(F.count("*").alias("chunks"), F.count_distinct("chunk_id").alias("ids"), F.round(F.avg(F.col("embedding")[0]), 6).alias("first"), F.max("fetched_on").cast("string").alias("day"))
 
@@ -590,8 +590,8 @@ def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cache saved, and one that is not there."""
     root = work_folder(spark, "cache")
     keys = corpus.with_keys(documents(spark, sf_dir), MODEL).select("key", F.array(F.lit(1.0)).alias("vector")).dropDuplicates(["key"])
-    caches.save(keys, root)
-    both = [caches.stats(spark, path, caches.VECTORS).select(F.lit(n).alias("cache"), "found", "entries", (F.col("bytes") > 0).alias("filled")) for n, path in (("saved", root), ("none", f"{root}-none"))]
+    caches.CallCache(spark, root, caches.VECTORS).save(keys)
+    both = [caches.CallCache(spark, path, caches.VECTORS).stats().select(F.lit(n).alias("cache"), "found", "entries", (F.col("bytes") > 0).alias("filled")) for n, path in (("saved", root), ("none", f"{root}-none"))]
     return both[0].unionAll(both[1])
 
 

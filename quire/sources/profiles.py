@@ -13,10 +13,9 @@ from ..functions.text import col, contains_any
 from .store import exists
 
 RULE_SCHEMA = "profile string, rule_pos int, text string, any_terms array<string>, all_terms array<string>"
-# Names of the generic profile, its first line of a rewriting prompt, and the demands of every such prompt.
-GENERIC_NAMES = ("", "generic", "generique")
-REWRITE_CONTEXT = "Tu aides un moteur de recherche RAG sur des documents PDF fournis par l'utilisateur."
-REWRITE_DEMANDS = ("Ne réponds pas à la question.", "Ne change pas l'intention.", "Une seule ligne, au plus 45 mots.")
+GENERIC_NAMES = ("", "generic", "generique")  # fixed values
+REWRITE_CONTEXT = "Les questions portent sur un fonds de documents et de pages web ; la recherche a besoin de leurs termes techniques."
+REWRITE_DEMANDS = ("Écris la même demande avec d'autres mots, sans y répondre.", "Garde chaque nom, nombre et unité.", "Réponds par une ligne de 45 mots au plus.")
 
 
 @dataclass(frozen=True)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .log import LogTable
+
 CHUNK_SCHEMA = "chunk_id long, text string, file string, page int, ordinal int, source_type string, url string, title string, fetched_on date"
 CASE_SCHEMA = "id string, question string, expected_docs array<string>, expected_keywords array<string>"
 ANSWER_SCHEMA = "id string, question string, expected_facts array<string>, forbidden_terms array<string>, must_have_citation boolean, expected_unknown boolean"
@@ -41,37 +42,27 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
-def publish(df: DataFrame, root: str) -> str:
-    """Writes a new version and then points to it: readers see the old or the new one, never a mixture."""
-    spark = df.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
-    df.write.parquet(f"{root}/{version}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{root}/_pointer.next")
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    here, there = (jvm.org.apache.hadoop.fs.Path(f"{root}/{n}") for n in ("_pointer.next", f"pointer-{version}"))
-    here.getFileSystem(conf).rename(here, there)
-    return version
+def publish(df: DataFrame, root: str) -> int:
+    """Writes a new version of the whole table; readers see the old or the new one, never a mixture. Returns its number."""
+    return LogTable(df.sparkSession, root, schema_of(df)).overwrite(df)
 
 
-def discard_versions(spark: SparkSession, root: str, keep: int = 2) -> None:
-    """Deletes all published versions but the newest `keep`."""
-    fs, top = _at(spark, root)
-    found = sorted((s for s in fs.listStatus(top) if s.getPath().getName().startswith("pointer-")), key=lambda s: (s.getModificationTime(), s.getPath().getName()))
-    for old in found[:-keep]:
-        fs.delete(old.getPath(), True)
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{old.getPath().getName().removeprefix('pointer-')}"), True)
+def discard_versions(spark: SparkSession, root: str, keep: int = 2, schema: str = CHUNK_SCHEMA) -> None:
+    """Deletes the files that only older versions than the newest `keep` have."""
+    LogTable(spark, root, schema).vacuum(keep)
 
 
 def current(spark: SparkSession, root: str, schema: str = CHUNK_SCHEMA) -> DataFrame:
-    """The newest published version; FileNotFoundError without one."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    top = jvm.org.apache.hadoop.fs.Path(root)
-    fs = top.getFileSystem(conf)
-    found = [s for s in fs.listStatus(top) if s.getPath().getName().startswith("pointer-")] if fs.exists(top) else []
-    if not found:
+    """The version with the largest number; FileNotFoundError without one."""
+    table = LogTable(spark, root, schema)
+    now = table.snapshot()
+    if not now.version:
         raise FileNotFoundError(f"no index below {root}")
-    newest = max(found, key=lambda s: (s.getModificationTime(), s.getPath().getName()))
-    return spark.read.schema(schema).parquet(f"{root}/{newest.getPath().getName().removeprefix('pointer-')}")
+    return table.read(now)
+
+
+def schema_of(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
 def _cases(spark: SparkSession, path: str, schema: str) -> DataFrame:

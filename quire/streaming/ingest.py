@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.corpus import upsert
 from ..operators.segment import chunks
 from ..sources.html import web_pages
-from ..sources.store import current, discard_versions, publish
+from ..sources.log import LogTable
 
 WEB_SCHEMA = "url string, file string, title string, page int, source_type string, fetched_on date, pos int, chunk string"
 
@@ -22,18 +21,15 @@ def chunk_stream(pages: DataFrame, fetched_on: str, size: int = 800, overlap: in
     return chunks(web_pages(pages, fetched_on), "text", size, overlap).drop("text")
 
 
-def keep_current(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Runs over what is there and stops. Within a batch each address counts as a whole; a replayed batch gives the same table."""
+def keep_current(stream: DataFrame, root: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Runs over what is there and stops. Within a batch each address counts as a whole; a replayed batch changes nothing.
 
-    def replace(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            old = current(spark, root, WEB_SCHEMA)
-        except FileNotFoundError:
-            old = spark.createDataFrame([], WEB_SCHEMA)
-        names = [c.split()[0] for c in WEB_SCHEMA.split(", ")]
-        publish(upsert(old.select(*names), batch.select(*names)), root)
-        discard_versions(spark, root)
+    A batch rewrites the buckets of its addresses only. Another writer may change the table at the same time.
+    """
 
-    return stream.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def replace(batch: DataFrame, number: int) -> None:
+        table = LogTable(batch.sparkSession, root, WEB_SCHEMA, "url", buckets)
+        table.upsert(batch, stream=checkpoint, batch=number)
+        table.vacuum()
 
+    return stream.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

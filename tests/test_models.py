@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions import hashed
 from quire.functions.text import parse_bool
 from quire.operators import evaluate, lexical, rank
 from quire.plans import ask, index, models
@@ -53,29 +54,27 @@ def test_rewrites_are_cached(spark, tmp_path, asked):
         return rows.select("key", F.when(~F.contains("prompt", F.lit("dog")), F.lit("  a \n b ")).alias("reply"))
 
     root = f"file://{tmp_path}/cache"
-    assert caches.stats(spark, root, caches.REWRITES).first().asDict() == {"found": False, "entries": 0, "bytes": 0}
-    out, cache = models.rewrites(asked.unionAll(asked.where("qid = 1").withColumn("qid", F.lit(9))), caches.load(spark, root, caches.REWRITES), "m", call)
+    cache = caches.CallCache(spark, root, caches.REWRITES)
+    assert cache.stats().first().asDict() == {"found": False, "entries": 0, "bytes": 0}
+    out = models.rewrites(asked.unionAll(asked.where("qid = 1").withColumn("qid", F.lit(9))), cache, "m", call)
     assert {r.qid: r.rewrite for r in out.collect()} == {1: "a b", 2: None, 3: "a b", 9: "a b"}
     assert len(seen) == 3
-    caches.save(cache, root)
     seen.clear()
-    out, _ = models.rewrites(asked, caches.load(spark, root, caches.REWRITES), "m", call)
+    out = models.rewrites(asked, caches.CallCache(spark, root, caches.REWRITES), "m", call)
     assert out.where("rewrite is not null").count() == 2 and len(seen) == 1  # the failed call again
-    assert caches.stats(spark, root, caches.REWRITES).first().entries == 2
-    other, _ = models.rewrites(asked, cache, "other model", lambda rows: rows.select("key", F.lit("x").alias("reply")))
+    assert cache.stats().first().entries == 2
+    other = models.rewrites(asked, cache, "other model", lambda rows: rows.select("key", F.lit("x").alias("reply")))
     assert {r.rewrite for r in other.collect()} == {"x"}
 
 
-def test_judge(spark, asked, results):
-    empty = spark.createDataFrame([], caches.ORDERS)
+def test_judge(spark, tmp_path, asked, results):
+    cache = lambda n: caches.CallCache(spark, f"file://{tmp_path}/{n}", caches.ORDERS)
     say = lambda reply: lambda rows: rows.select("key", F.lit(reply).alias("reply"))
-    out, cache = models.judged(results, asked, empty, "m", say("see [3, 3, 99, 1]"), 8)
-    assert ids(out) == [2, 0, 1, 3, 4, 5, 6, 7, 8, 9] and ids(out, 2) == [0, 1, 2] and cache.count() == 1
-    again, _ = models.judged(results, asked, cache, "m", say("[5]"), 8)
-    assert ids(again)[:2] == [2, 0]
-    failed, cache = models.judged(results, asked, empty, "m", say(None), 8)
-    assert ids(failed) == list(range(10)) and cache.count() == 0
-    changed, _ = models.judged(results.withColumn("text", F.upper("text")), asked, cache, "m", say("[5]"), 8)
+    out = models.judged(results, asked, cache("a"), "m", say("see [3, 3, 99, 1]"), 8)
+    assert ids(out) == [2, 0, 1, 3, 4, 5, 6, 7, 8, 9] and ids(out, 2) == [0, 1, 2] and cache("a").load().count() == 1
+    assert ids(models.judged(results, asked, cache("a"), "m", say("[5]"), 8))[:2] == [2, 0]
+    assert ids(models.judged(results, asked, cache("b"), "m", say(None), 8)) == list(range(10)) and cache("b").load().count() == 0
+    changed = models.judged(results.withColumn("text", F.upper("text")), asked, cache("b"), "m", say("[5]"), 8)
     assert ids(changed)[0] == 4
 
 
@@ -124,17 +123,22 @@ def test_index(spark, tmp_path):
         seen.extend(r.text for r in rows.collect())
         return rows.select("key", F.array(F.lit(3.0), F.lit(4.0)).alias("vector"))
 
-    first = index.build_index(pdf_, web, embed, "m", f"{root}/index", f"{root}/cache")
+    first = index.build_index(pdf_, web, f"{root}/index", f"{root}/cache", embed, "m")
     assert first.stats.first().chunks == 4 and sorted(seen) == ["a", "b", "c"]
     rows = store.current(spark, f"{root}/index", index.INDEX_SCHEMA)
     assert rows.select("chunk_id").distinct().count() == 4 and [round(x, 6) for x in rows.first().embedding] == [0.6, 0.8]
     seen.clear()
-    second = index.build_index(pdf_, web, embed, "m", f"{root}/index", f"{root}/cache")
+    second = index.build_index(pdf_, web, f"{root}/index", f"{root}/cache", embed, "m")
     assert not seen and second.version != first.version
     assert {r.chunk_id for r in store.current(spark, f"{root}/index", index.INDEX_SCHEMA).collect()} == {r.chunk_id for r in rows.collect()}
-    none = index.build_index(pdf_.where("false"), web.where("false"), embed, "m", f"{root}/none", f"{root}/cache")
+    none = index.build_index(pdf_.where("false"), web.where("false"), f"{root}/none", f"{root}/cache", embed, "m")
     assert none.version is None and not store.exists(spark, f"{root}/none")
-    store.publish(rows, f"{root}/index")
+    offline = index.build_index(pdf_, web, f"{root}/offline", f"{root}/no-cache")
+    assert offline.stats.first().chunks == 4 and not store.exists(spark, f"{root}/no-cache")
+    weights = hashed.HashedVectors.load(spark, f"{root}/offline-weights")
+    found = {r.chunk_id: r.embedding for r in store.current(spark, f"{root}/offline", index.INDEX_SCHEMA).collect()}
+    assert found == {r.chunk_id: r.vector for r in weights.embed(rows.select("chunk_id", "text")).collect()}
+    store.publish(rows.select(*(c.split()[0] for c in index.INDEX_SCHEMA.split(", "))), f"{root}/index")
     store.discard_versions(spark, f"{root}/index", 1)
     assert store.current(spark, f"{root}/index", index.INDEX_SCHEMA).count() == 4
 

@@ -163,10 +163,6 @@ def test_corpus(spark, tmp_path):
     new = spark.createDataFrame([("u2", "c"), ("u3", "d")], "url string, text string")
     assert sorted(tuple(r) for r in corpus.upsert(old, new).collect()) == [("u1", "a"), ("u2", "c"), ("u3", "d")]
     assert corpus.delete(old, "u1").count() == 1
-    texts = spark.createDataFrame([("a",), ("a",), ("b",)], "text string")
-    cache = spark.createDataFrame([], "key string, vector array<double>")
-    out, cache = corpus.embed_with_cache(texts, cache, "m", lambda d: d.withColumn("vector", F.array(F.length("text").cast("double"))))
-    assert out.where("vector is not null").count() == 3 and cache.count() == 2
     root = f"file://{tmp_path}/index"
     with pytest.raises(FileNotFoundError):
         store.current(spark, root, "url string, text string")
