@@ -1,14 +1,15 @@
 """Near-duplicates among embeddings: spherical k-means cells, blocked cosine products inside cells.
 
-Equal vectors are one class from the start. Each class belongs to the cell of its nearest centroid, and also visits each cell
-(with a larger number than its own) that a partner could belong to. For unit x with nearest centroid c and a partner
-y = cos(a) x + sin(a) z nearest to d, where a is the angle of the threshold or less and z a unit vector across x, y.(c - d) <= 0
-means x.(c - d) <= |z.(c - d)| sin(a). |z.(c - d)| is |c - d| at most, which is used for up to SPREAD^2 effective dimensions, so
-that no link is lost there whatever the vectors are. In more dimensions z is seldom along c - d: its share is about
-1 / sqrt(dimensions), and x visits the cells within SPREAD times that. Links at the very threshold can then be lost with the
-chance that a normal value exceeds SPREAD (3e-5); closer ones with a smaller one. The effective dimensions are the participation ratio of
-the sample's spectrum. Cells are compared block by block; a block pair returns, for each vector, how many it links with
-and one neighbour on a spanning forest, never pairs.
+Equal vectors are one class from the start. Each class belongs to the cell of its nearest centroid, and also visits cells (with
+a larger number than its own) that a partner could belong to. Two bounds that lose nothing rule cells out. For unit x with
+nearest centroid c and a partner y within the threshold's angle t whose nearest centroid is d, x.(c - d) <= |c - d| sin(t). And the angle
+between x and d differs from that between y and d by t at most, so it lies within t of the least and the largest angle between d
+and its own vectors. The first bound is far too wide in many dimensions, where y seldom departs from x along c - d. So its
+share that partners really use is measured: PROBES vectors meet all others, and the largest share among their links across
+cells, times WIDER, takes the bound's place, but not less than SPREAD / sqrt(effective dimensions of the sample). With L such
+links a random one exceeds their largest share with a chance of 1 / (L + 1), and WIDER times it far more seldom; measured
+recall is in the README. Without a link across cells among the probes the SPREAD rule stands alone. Cells are compared block
+by block; a block pair returns, for each vector, how many it links with and one neighbour on a spanning forest, never pairs.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 from .common import cut, discard, lean, ready, trim
 from .components import components
 
-FIT_ROWS, FIT_VALUES, CELL_ROWS, CELLS, SPREAD = 32_768, 1 << 23, 4096, 8192, 4.0
-"""Rows that the centroids are fitted on at most, and their components; rows a cell aimed at, cells at most, see above."""
+FIT_ROWS, FIT_VALUES, CELL_ROWS, CELLS = 32_768, 1 << 23, 4096, 8192
+"""Rows that the centroids are fitted on at most, and their components; rows a cell aimed at, cells at most."""
+PROBES, WIDER, SPREAD = 512, 1.5, 4.0
+"""See above."""
 BLOCK_BYTES, TILE = 4 << 20, 1024
 """Bytes of a block's vectors, rows multiplied at a time."""
 
@@ -127,34 +130,68 @@ def near_embeddings(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     fit = _unit(_matrix(fit, len(fit))) if len(fit) else np.zeros((0, 1))
     cells = int(min(CELLS, max(1, many // CELL_ROWS), max(1, len(fit) // 4)))
     centroids = spherical_kmeans(fit, cells) if len(fit) else np.zeros((1, 1))
-    reach = float(np.sqrt(max(0.0, 1 - threshold * threshold))) * min(1.0, SPREAD / np.sqrt(max(1.0, dimensions(fit)))) + 1e-9
     block_rows = max(TILE, BLOCK_BYTES // (8 * max(1, width)))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gaps = np.sqrt(np.maximum(0, 2 - 2 * (centroids @ centroids.T)))
+    sine, least = float(np.sqrt(max(0.0, 1 - threshold * threshold))), min(1.0, SPREAD / np.sqrt(max(1.0, dimensions(fit))))
+    probes = fit[:PROBES] if cells > 1 else fit[:0]
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each vector's cell, its cosine to the centroid, and the largest share of the bound that its links to probes use."""
+        gaps = np.sqrt(np.maximum(1e-18, 2 - 2 * (centroids @ centroids.T))) * max(sine, 1e-9)
+        near_probes = probes @ centroids.T if len(probes) else np.zeros((0, len(centroids)))
+        homes = near_probes.argmax(axis=1) if len(probes) else np.zeros(0, np.int64)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 2048):
-                part = batch.slice(begin, 2048)
+            for begin in range(0, batch.num_rows, TILE):
+                part = batch.slice(begin, TILE)
                 sizes = part.column(part.schema.get_field_index("width")).to_numpy()
-                cells_, rows_, sides, bodies = [], [], [], []
+                cell, cosine, share, bodies = -sizes.astype(np.int64), np.ones(len(sizes)), np.full(len(sizes), -1.0), [b""] * len(sizes)
                 for n in np.unique(sizes):
                     row = np.flatnonzero(sizes == n)
                     unit = _unit(_matrix(part.column(0).take(pa.array(row)), len(row)))
-                    bodies += zip(row, np.split(np.frombuffer(unit.tobytes(), np.uint8), len(row)), strict=True)
+                    for r, x in zip(row, unit, strict=True):
+                        bodies[r] = x.tobytes()
                     if n != width:  # a cell for each other length
-                        cells_, rows_, sides = [*cells_, np.full(len(row), -n)], [*rows_, row], [*sides, np.zeros(len(row))]
                         continue
                     near = unit @ centroids.T
                     home = near.argmax(axis=1)
-                    margin = near.max(axis=1)[:, None] - near
-                    a, b = np.nonzero((margin <= gaps[home] * reach + 1e-9) & (np.arange(len(centroids)) > home[:, None]))
-                    cells_, rows_, sides = [*cells_, home, b], [*rows_, row, row[a]], [*sides, np.zeros(len(row)), np.ones(len(a))]
-                cell, row, side = np.concatenate(cells_).astype(np.int64), np.concatenate(rows_), np.concatenate(sides).astype(np.int32)
-                body = pa.array([x.tobytes() for _, x in sorted(bodies, key=lambda x: x[0])], pa.binary())
-                taken = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(side), *(taken.column(taken.schema.get_field_index(c)) for c in ("rep", "size")), body.take(pa.array(row))], names=["cell", "side", "rep", "size", "vector"])
-
-    placed = cut(classes.select("vector", "rep", "size", "width").mapInArrow(lean(place), "cell long, side int, rep long, size long, vector binary"), "cells")
+                    cell[row], cosine[row] = home, near.max(axis=1)
+                    if len(probes):
+                        i, j = np.nonzero(unit @ probes.T >= threshold)
+                        i, j = (x[home[i] != homes[j]] for x in (i, j))
+                        a, b = home[i], homes[j]
+                        margin = np.where(a < b, near[i, a] - near[i, b], near_probes[j, b] - near_probes[j, a])  # of the one that visits
+                        np.maximum.at(share, row[i], margin / gaps[a, b])
+                names = ("rep", "size")
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(cosine), pa.array(share), *(part.column(part.schema.get_field_index(c)) for c in names), pa.array(bodies, pa.binary())], names=["cell", "cosine", "share", *names, "vector"])
+
+    settled = cut(classes.select("vector", "rep", "size", "width").mapInArrow(lean(settle), "cell long, cosine double, share double, rep long, size long, vector binary"), "settled")
+    spans = settled.groupBy("cell").agg(F.min("cosine").alias("low"), F.max("cosine").alias("high"), F.max("share").alias("share")).collect()  # a row a cell
+    reach = sine * min(1.0, max([least] + [WIDER * r.share for r in spans])) + 1e-9
+    inner, outer, turn = np.full(len(centroids), np.inf), np.full(len(centroids), -np.inf), float(np.arccos(min(1.0, max(-1.0, threshold)))) + 1e-7
+    for r in spans:
+        if r.cell >= 0:
+            inner[r.cell], outer[r.cell] = np.arccos(min(1.0, r.high)) - turn, np.arccos(max(-1.0, r.low)) + turn
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each vector in its own cell, and in those where a partner may be."""
+        gaps = np.sqrt(np.maximum(0, 2 - 2 * (centroids @ centroids.T)))
+        for batch in batches:
+            for begin in range(0, batch.num_rows, TILE):
+                part = batch.slice(begin, TILE)
+                cell = part.column(part.schema.get_field_index("cell")).to_numpy()
+                row = np.flatnonzero(cell >= 0) if len(centroids) > 1 else np.zeros(0, np.int64)
+                home, a, b = cell[row], np.zeros(0, np.int64), np.zeros(0, np.int64)
+                if len(row):
+                    bodies = part.column(part.schema.get_field_index("vector")).take(pa.array(row)).to_pylist()
+                    near = np.frombuffer(b"".join(bodies), np.float64).reshape(len(row), -1) @ centroids.T
+                    angle = np.arccos(np.clip(near, -1, 1))
+                    margin = near[np.arange(len(row)), home][:, None] - near
+                    a, b = np.nonzero((margin <= gaps[home] * reach + 1e-9) & (angle >= inner) & (angle <= outer) & (np.arange(len(centroids)) > home[:, None]))
+                taken = part.take(pa.array(np.concatenate([np.arange(len(cell)), row[a]])))
+                side = np.concatenate([np.zeros(len(cell)), np.ones(len(a))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([cell, b])), pa.array(side), *(taken.column(taken.schema.get_field_index(c)) for c in ("rep", "size", "vector"))], names=["cell", "side", "rep", "size", "vector"])
+
+    placed = cut(settled.drop("cosine", "share").mapInArrow(lean(visit), "cell long, side int, rep long, size long, vector binary"), "cells")
+    discard(settled)
     counts = placed.groupBy("cell").agg(F.ceil(F.count_if(F.col("side") == 0) / block_rows).cast("int").alias("hb"), F.ceil(F.count_if(F.col("side") == 1) / block_rows).cast("int").alias("vb"))
     own = F.pmod(F.xxhash64("rep"), F.when(F.col("side") == 0, F.col("hb")).otherwise(F.col("vb"))).cast("int")
     # The rows of two blocks meet in one place, on different sides; a block meets itself in (i, i).
