@@ -3,7 +3,8 @@
 Each document's ids (with an end id) are cut into full windows and a remainder. Remainders, largest first, enter the open
 window with the tightest remaining capacity, found in a segment tree indexed by that capacity. Windows that stay emptier
 than the slack are taken apart: their pieces are cut to fill the gaps of others, so that padding stays small whatever the
-sizes. Each input partition packs by itself, a bounded number of remainders at a time, so nothing is shuffled.
+sizes. Each input partition packs by itself, a bounded number of remainders at a time; only the pieces of a partition's last
+window, if that is not full, are packed again across partitions, so that padding does not follow their number.
 """
 
 from __future__ import annotations
@@ -19,13 +20,16 @@ import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import kept, lean, ready, slices
+from .common import cut, kept, lean, ready, slices
 from .pretokens import Batch, Known, byte_letters
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+GROUP = 65_536
+"""Pieces of last windows that one task packs."""
 KEPT_BYTES = 96 << 20
 """What the ids of known pieces may take in a worker."""
 
@@ -152,7 +156,7 @@ def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
 
     A null text is an empty document: one piece with the end id alone. Rows with a null or repeated key are documents of
     their own; their pieces carry the key as it is. Other columns are ignored. An empty table gives no rows. At most `most`
-    remainders are held at a time; gaps of more than `slack` of a window are filled by cutting, except in a partition's last.
+    remainders are held at a time; gaps of more than `slack` of a window are filled by cutting, except in the last windows.
     """
     ready(df)
 
@@ -162,11 +166,12 @@ def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
         rows: list[tuple] = []
 
         def emit(names: list, closing: bool) -> list[tuple]:
-            """Packs what is held; returns the pieces of the emptiest sequence, for the next time, unless closing."""
+            """Packs what is held; returns the pieces of the emptiest sequence, for the next time; when closing, only if it is emptier than the slack."""
             nonlocal sequence
             bins = [[(i, 0, len(names[i][1])) for i in b] for b in best_fit([len(x[1]) for x in names], window)]
             bins = _fill(bins, window, int(slack * window))
-            left = [] if closing or len(bins) < 2 else bins.pop()
+            gap = window - sum(p[2] for p in bins[-1])
+            left = bins.pop() if (gap > slack * window if closing else len(bins) > 1) else []
             for b in bins:
                 offset = 0
                 for i, start, length in b:
@@ -198,7 +203,23 @@ def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
                 if rows:
                     yield out()
         if held:
-            emit(held, True)
+            rows.extend((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, -1 - sequence - k, 0) for k, (doc, ids, start, total) in enumerate(emit(held, True)))
             yield out()
 
-    return df.selectExpr(f"cast(`{key}` as long) as doc_id", f"`{text}` as text").mapInArrow(lean(run), _SCHEMA)
+    pieces = cut(df.selectExpr(f"cast(`{key}` as long) as doc_id", f"`{text}` as text").mapInArrow(lean(run), _SCHEMA), "pieces")
+    last = pieces.where("sequence_id < 0")
+    groups = max(1, -(-last.count() // GROUP))
+
+    def place(table: pa.Table) -> pa.Table:
+        table = table.sort_by("sequence_id")
+        rows, sequence, offset = table.column("length").to_pylist(), np.zeros(table.num_rows, np.int64), np.zeros(table.num_rows, np.int64)
+        group = table.column("_group")[0].as_py()
+        for n, names in enumerate(best_fit(rows, window)):
+            at = 0
+            for k in names:
+                sequence[k], offset[k] = -1 - (group << 33 | n), at
+                at += rows[k]
+        return table.drop_columns(["_group", "sequence_id", "offset"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+
+    spread = F.pmod(F.xxhash64("sequence_id"), F.lit(groups)).cast("int")
+    return pieces.where("sequence_id >= 0").unionByName(last.withColumn("_group", spread).groupBy("_group").applyInArrow(place, _SCHEMA))

@@ -172,6 +172,14 @@ def test_packing(spark, docs):
             assert zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32
 
 
+def test_padding_does_not_follow_partitions(spark):
+    path = queries.tokenizer("byte_bpe_50k.json")
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    for parts in (1, 16, 64):
+        found = packing.pack(df.repartition(parts), path).selectExpr("sum(length) as n", "count(distinct sequence_id) as s", "max(length + offset) as top").first()
+        assert found.top <= 2048 and 1 - found.n / (2048 * found.s) < 0.01
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=60))
 def test_best_fit_is_tightest(sizes):
