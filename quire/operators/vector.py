@@ -19,11 +19,11 @@ QUERY_BYTES, EMIT = 64 << 20, 1 << 18
 """Bytes of query vectors that one pass sends to the executors; scores of a batch."""
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def matrix_of(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _best(rows: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+def best_places(rows: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """The places of the k best scores; ties by id."""
     if len(rows) <= k:
         return np.arange(len(rows))
@@ -38,14 +38,20 @@ def _passes(queries: DataFrame, vector: str) -> int:
     return max(1, -(-(width["rows"] or 0) // max(1, QUERY_BYTES // (8 * max(1, width["n"] or 1)))))
 
 
-def _blocks(chunks: DataFrame, queries: DataFrame, vector: str, query_key: tuple[str, ...], run: Callable[[DataFrame, np.ndarray], DataFrame]) -> DataFrame:
-    """(query key..., and what run gives beside _q) for all blocks of queries; `run` gets the chunks and a block's matrix."""
-    passes, out = _passes(queries, vector), None
+def query_blocks(queries: DataFrame, vector: str, query_key: tuple[str, ...]) -> Iterator[tuple[list[tuple], np.ndarray]]:
+    """Keys and vectors of all queries, QUERY_BYTES at a time."""
+    passes = _passes(queries, vector)
     for p in range(passes):
         mine = queries.where(F.pmod(F.xxhash64(*query_key), F.lit(passes)) == p) if passes > 1 else queries
-        rows = mine.where(F.col(vector).isNotNull()).select(*query_key, vector).collect()  # QUERY_BYTES at most
-        keys = [tuple(r[c] for c in query_key) for r in rows]
-        found = run(chunks.select("chunk_id", vector), np.array([r[vector] for r in rows], np.float64).reshape(len(rows), -1 if rows else 0))
+        rows = mine.where(F.col(vector).isNotNull()).select(*query_key, vector).collect()
+        yield [tuple(r[c] for c in query_key) for r in rows], np.array([r[vector] for r in rows], np.float64).reshape(len(rows), -1 if rows else 0)
+
+
+def _blocks(chunks: DataFrame, queries: DataFrame, vector: str, query_key: tuple[str, ...], run: Callable[[DataFrame, np.ndarray], DataFrame]) -> DataFrame:
+    """(query key..., and what run gives beside _q) for all blocks of queries; `run` gets the chunks and a block's matrix."""
+    out = None
+    for keys, matrix in query_blocks(queries, vector, query_key):
+        found = run(chunks.select("chunk_id", vector), matrix)
         named = queries.sparkSession.createDataFrame([(n, *key) for n, key in enumerate(keys)], f"_q int, {', '.join(f'{c} {queries.schema[c].dataType.simpleString()}' for c in query_key)}")
         part = found.join(F.broadcast(named), "_q").select(*query_key, *(c for c in found.columns if c != "_q"))
         out = part if out is None else out.unionAll(part)
@@ -71,7 +77,7 @@ def all_scores(chunks: DataFrame, queries: DataFrame, vector: str = "embedding",
                 batch = batch.filter(batch.column(1).is_valid())
                 for begin in range(0, batch.num_rows if len(matrix) else 0, step):
                     part = batch.slice(begin, step)
-                    scores = np.round(matrix @ _matrix(part.column(1)).T, 9)
+                    scores = np.round(matrix @ matrix_of(part.column(1)).T, 9)
                     ids = np.tile(part.column(0).to_numpy(zero_copy_only=False), len(matrix))
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(matrix), dtype=np.int32), part.num_rows)), pa.array(ids), pa.array(scores.ravel())], names=["_q", "chunk_id", "score"])
 
@@ -88,10 +94,10 @@ def _search(chunks: DataFrame, matrix: np.ndarray, k: int) -> DataFrame:
             if not batch.num_rows or not len(matrix):
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            scores = np.round(matrix @ _matrix(batch.column(1)).T, 9)
+            scores = np.round(matrix @ matrix_of(batch.column(1)).T, 9)
             for q, row in enumerate(scores):
                 all_ids, all_rows = np.concatenate([held[q][0], ids]), np.concatenate([held[q][1], row])
-                at = _best(all_rows, all_ids, k)
+                at = best_places(all_rows, all_ids, k)
                 held[q] = (all_ids[at], all_rows[at])
         sizes = [len(i) for i, _ in held]
         if sum(sizes):

@@ -300,6 +300,7 @@ def oracle_sql() -> dict[str, str]:
         "delete_source": "select doc_id, source from documents where source <> (select min(source) from documents)",
         "vector_topk": f"with {_hits(10)} select qid, variant_pos::bigint as variant_pos, chunk_id, {r6('score')}, hit_rank from hits",
         "hashed_vectors": f"with {_hashed('hv', '(select doc_id as k, text from documents)', 'text')} select k as chunk_id, round(list_inner_product(v, v), 6) as norm, len(list_filter(v, lambda x: x <> 0)) as filled, round(v[8], 6) as eighth from hv",
+        "cell_topk": f"with {_hits(10)} select qid, variant_pos::bigint as variant_pos, chunk_id, {r6('score')}, hit_rank from hits",
         "normalise_vectors": "select vec_id, round(embedding[1] * 3::double / sqrt(list_inner_product(embedding::double[], embedding::double[]) * 9), 6) as first, 1.0::double as norm from embeddings",
         "fusion": f"with {FUSED} select qid, chunk_id, {r6('semantic')}, matches, fused_rank from fused",
         "metadata_filter": "with " + _hits(5, "source_type = 'pdf' and file in ('src1', 'src2', 'src3') and page between 2 and 8") + f" select qid, variant_pos::bigint as variant_pos, chunk_id, {r6('score')}, hit_rank from hits",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .config import PORTFOLIO_WORDS, SYNTHESIS_WORDS
 from .functions import hashed
 from .functions import text as T
-from .operators import context, corpus, evaluate, lexical, postings, rank, segment, vector
+from .operators import cells, context, corpus, evaluate, lexical, postings, rank, segment, vector
 from .plans import ask as asking
 from .plans import index, models
 from .plans import search as plans
@@ -229,6 +229,14 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return show(hits(spark, sf_dir, k=10), "qid", "variant_pos", "chunk_id", "score", "hit_rank")
 
 
+@query
+def cell_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search through an index in cells."""
+    root = work_folder(spark, "cells")
+    cells.write_cells(chunk_rows(spark, sf_dir), root, cells=32)
+    return show(cells.search_cells(spark, root, query_vectors(spark, sf_dir), 10).hits, "qid", "variant_pos", "chunk_id", "score", "hit_rank")
+
+
 @query
 def hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's hashed vector: its length, components that are not zero, and one of them."""

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import hashed
-from quire.operators import lexical, postings, segment
+from quire.operators import cells, lexical, postings, segment, vector
 
 
 def plan(df):
@@ -122,3 +122,34 @@ def test_hashed_vectors(spark, tmp_path):
     model.save(spark, f"file://{tmp_path}/weights")
     assert (hashed.HashedVectors.load(spark, f"file://{tmp_path}/weights").weights == model.weights).all()
     assert not hashed.fit(df.where("false")).weights.any() and model.embed(df.where("false")).count() == 0
+
+
+def vectors(rng, n, clusters, spread):
+    base = rng.normal(size=(clusters, 16))
+    return [(k, [round(float(x), 3) for x in base[k % clusters] + rng.normal(size=16) * spread]) for k in range(n)]
+
+
+@pytest.mark.parametrize("spread", [0.05, 3.0])
+def test_cells_give_what_a_whole_search_gives(spark, tmp_path, spread):
+    rng = np.random.default_rng(3)
+    rows = vectors(rng, 3000, 40, spread)
+    rows += [(9000 + k, rows[5][1]) for k in range(30)]  # ties
+    chunks = spark.createDataFrame([*rows, (9999, None)], "chunk_id long, embedding array<double>").repartition(4)
+    asked = spark.createDataFrame([(q, 0, rows[q * 7][1]) for q in range(25)] + [(90, 1, [0.0] * 16), (91, 0, None)], "qid long, variant_pos int, embedding array<double>")
+    root = f"file://{tmp_path}/cells"
+    cells.write_cells(chunks, root, cells=40)
+    for k in (1, 7, 50):
+        found = cells.search_cells(spark, root, asked, k)
+        want = vector.vector_topk(chunks, asked, k)
+        assert sorted(map(tuple, found.hits.collect())) == sorted(map(tuple, want.select(found.hits.columns).collect()))
+    visits = {r.qid: r for r in found.visits.collect()}
+    assert all(r.all_rows == 3030 for r in visits.values())
+    if spread < 1:
+        assert sum(visits[q].cells for q in range(25)) < 0.5 * sum(visits[q].all_cells for q in range(25))
+    scan = plan(cells.search_cells(spark, root, asked.where("qid = 3"), 1).hits)
+    few = cells.search_cells(spark, root, asked.where("qid = 3"), 1).visits.first()
+    assert spread > 1 or few.cells < few.all_cells / 2 and scan
+    everything = cells.search_cells(spark, root, asked.where("qid = 3"), 5000).hits
+    assert everything.count() == 3030
+    cells.write_cells(chunks.where("false"), f"{root}-none")
+    assert cells.search_cells(spark, f"{root}-none", asked, 3).hits.count() == 0
