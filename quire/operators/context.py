@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,6 @@ from pyspark.sql.types import StringType
 from ..functions.text import estimate_tokens, excerpt, source_link
 from ..session import ready
 
-PATTERNS = 10_000
 # An empty context's sentence, the rules of a prompt, and the head of a source's block (in source_block).
 NO_CONTEXT = "Aucun contexte disponible."
 RULES = ("Réponds en français.", "N'utilise que le contexte.", "Cite les sources sous la forme [N].", "Présente les valeurs techniques en tableau.", "Si le contexte ne suffit pas, dis-le.")
@@ -58,11 +58,18 @@ def prompts(questions: DataFrame, contexts: DataFrame, rules: tuple[str, ...] =
     return rows.select("qid", F.concat_ws("\n\n", *parts).alias("prompt"))
 
 
-def mentions(results: DataFrame, patterns: DataFrame, most: int = 4) -> DataFrame:
-    """(qid, name, sources): for each named pattern (name, pattern) the ranks, at most `most`, of the results it matches. The patterns meet every result, so there may be PATTERNS at most."""
-    if patterns.limit(PATTERNS + 1).count() > PATTERNS:
-        raise ValueError(f"more than {PATTERNS} patterns")
-    hits = results.select("qid", "rank", "text").join(F.broadcast(patterns), F.expr("regexp_like(text, concat('(?i)', pattern))"))
+def mentions(results: DataFrame, patterns: Iterable[tuple[str, str]], most: int = 4) -> DataFrame:
+    """(qid, name, sources): for each named pattern the ranks, at most `most`, of the results it matches, whatever the case.
+
+    A text is searched for all patterns at once first; only texts that have one are searched for each. Nothing is joined.
+    """
+    patterns = list(patterns)
+    if not patterns:
+        return results.select("qid", F.lit("").alias("name"), F.array("rank").alias("sources")).where("false")
+    found = F.array_compact(F.array(*(F.when(F.col("text").rlike(f"(?i){p}"), F.lit(n)) for n, p in patterns)))
+    if not any(re.search(r"\\\d", p) for _, p in patterns):  # a joined pattern would number groups anew
+        found = F.when(F.col("text").rlike("(?i)" + "|".join(f"(?:{p})" for _, p in patterns)), found)
+    hits = results.select("qid", "rank", F.explode_outer(found).alias("name")).where("name is not null")
     return hits.groupBy("qid", "name").agg(F.slice(F.array_sort(F.collect_set("rank")), 1, most).alias("sources"))
 
 

@@ -45,7 +45,7 @@ def says_unknown(answer: str):
 
 
 def answer_metrics(cases: DataFrame, answers: DataFrame) -> DataFrame:
-    """Per case (qid, expected_facts, forbidden_terms, must_have_citation, expected_unknown) with its answer; a missing answer is empty."""
+    """Per case (qid, expected_facts, forbidden_terms, must_have_citation, expected_unknown) with its answer; a missing answer is empty (see plans.ask.complete for answers that are yet to be given)."""
     rows = cases.join(answers, "qid", "left").withColumn("answer", F.coalesce("answer", F.lit("")))
     low = F.lower("answer")
     inside = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda t: F.contains(low, F.lower(t)))

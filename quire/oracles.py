@@ -346,6 +346,12 @@ def oracle_sql() -> dict[str, str]:
         "fallback_results": f"{scored} select qid, chunk_id, rank from scored where rank <= case when qid % 2 = 0 then 2 else 3 end",
         "hybrid_search": f"{_search()} select qid, chunk_id, {r6('semantic', 'lexical', 'final')}, rank from t6 where rank <= 8",
         "search_trace": f"{_search()} select qid, 'standard' as branch, 8::bigint as top_k, 80::bigint as candidate_k, 0.1::double as min_score, (1 + two::int)::bigint as variants, candidates, coalesce(results, 0) as results from labelled0 left join (select qid, count(*) as candidates from scored group by 1) using (qid) left join (select qid, count(*) as results from t6 where rank <= 8 group by 1) using (qid)",
+        "search_stages": f"{_search()}, st as (select 0 as pos, 'variants' as stage, (select count(*) from labelled0) + (select count(*) from labelled0 where two) as rows union all select 1, 'hits', count(*) from hits union all select 2, 'candidates', count(*) from scored union all select 3, 'passed', count(*) from t4 union all select 4, 'results', count(*) from t6 where rank <= 8) select pos::bigint as pos, stage, rows from st",
+        "answered_cases": f"""with aa as ({_asked()}), a as (select item_id as qid, case when item_id % 2 = 0 then 'Voir [1] : ' || text else answer end as answer, upper(string_split(text, ' ')[1]) as fact from benchmark left join aa on qid = item_id),
+            m as (select *, contains(lower(answer), lower(fact)) as one, qid % 3 <> 0 or regexp_matches(answer, '\\[\\d+\\]') as citation_ok, qid % 7 <> 0 or {_any("answer", config.UNKNOWN_SIGNALS)} as unknown_ok from a)
+            select qid, answer, false as ok, case when one then 0.5 else 0 end::double as facts_recall, citation_ok, unknown_ok from m""",
+        "ingested_files": """with n as (select source, row_number() over (order by source) - 1 as k from (select distinct source from documents))
+            select source as file, (sum(length(coalesce(text, ''))) + count(*))::bigint as chars from documents join n using (source) where k <> 1 and (k % 3 <> 0 or doc_id % 40 < 20) group by 1""",
         "profile_search": _profile_search(),
         "filtered_search": _filtered_search(),
         "asked_answers": _asked(),

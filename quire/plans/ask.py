@@ -52,3 +52,13 @@ def ask(questions: DataFrame, chunks: DataFrame, embed: Step, generate: Step = o
     linked = with_links(answers.select("qid", "answer"), results)
     out = answers.join(linked, "qid", "left").join(widened, "qid", "left")
     return Answers(out.select("qid", "question", "prompt", "answer", "linked", F.coalesce("fallback", F.lit(False)).alias("fallback")), results, found)
+
+
+def complete(cases: DataFrame, given: DataFrame, answer: Step) -> DataFrame:
+    """(qid, answer) of all cases (qid, question): the given answers, and what `answer` says to the questions that have none.
+
+    A given answer counts even if it is empty or null. `answer` maps (qid, question) to (qid, answer, ...) and sees the other
+    cases only; answers to no case are left out.
+    """
+    known = given.select("qid", "answer").join(cases.select("qid"), "qid", "left_semi")
+    return known.unionByName(answer(cases.join(known, "qid", "left_anti").select("qid", "question")).select("qid", "answer"))

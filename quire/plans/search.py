@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from time import perf_counter
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..config import ADAPTIVE, CAPACITY_WORDS, EXPANSION_LEAD, LABELS, PORTFOLIO_WORDS, REWRITE_CHARS, SYNTHESIS_WORDS, RetrievalConfig
@@ -14,6 +15,7 @@ from ..operators.corpus import variants_once
 from ..operators.lexical import bm25_candidates
 from ..operators.rank import MetadataFilter, diversify, fuse, hybrid, technical_filter
 from ..operators.vector import all_scores, vector_topk
+from ..session import written
 from ..sources.profiles import GENERIC, RULE_SCHEMA, Profile
 
 RULE_ROWS = 10_000
@@ -80,6 +82,26 @@ def labelled_text(found: DataFrame) -> DataFrame:
     return found.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("variant_pos", line.alias("l")))), lambda x: x["l"]), "\n\n").alias("query_text"))
 
 
+@dataclass(frozen=True)
+class Stage:
+    name: str
+    rows: int
+    seconds: float
+
+
+def _staged(df: DataFrame, name: str, stages: list[Stage]) -> DataFrame:
+    """df written and read back; its rows are counted by the run that writes them."""
+    seen, began = Observation(f"quire {name} {len(stages)}"), perf_counter()
+    out = written(df.observe(seen, F.count("*").alias("rows")), name)
+    stages.append(Stage(name, seen.get["rows"], perf_counter() - began))
+    return out
+
+
+def stage_table(spark: SparkSession, found: SearchResult) -> DataFrame:
+    """(pos, stage, rows, seconds) of a traced search."""
+    return spark.createDataFrame([(k, s.name, s.rows, s.seconds) for k, s in enumerate(found.stages)], "pos int, stage string, rows long, seconds double")
+
+
 @dataclass(frozen=True)
 class SearchResult:
     results: DataFrame
@@ -87,6 +109,10 @@ class SearchResult:
     variants: DataFrame
     parameters: DataFrame
     """qid, branch, top_k, candidate_k, min_score that each question was searched with."""
+    stages: tuple[Stage, ...] = ()
+    """Of a traced search, in order."""
+    flags: dict[str, str] = field(default_factory=dict)
+    """What the search was asked to do."""
 
 
 def search(
@@ -104,6 +130,7 @@ def search(
     inventory: Column | None = None,
     focus: str | None = None,
     profile: Profile = GENERIC,
+    traced: bool = False,
 ) -> SearchResult:
     """The chain for a batch: adaptive parameters, variants, vector search per variant, fusion, BM25 on the candidates, hybrid score, threshold, technical filter, boosts, rerankers, diversification, top k.
 
@@ -113,15 +140,20 @@ def search(
     have the config's. Boosts and rerankers see them as columns. focus: a column of questions with the lower-case terms of
     files that technical questions are narrowed to; without it the profile's focus rules give them, as its expansion rules
     stand in for `rules`. per_file: chunks of a file at most, for all questions; without it questions on a portfolio's
-    capacities get the config's per_document.
+    capacities get the config's per_document. boosts: without it the profile's boost rules apply. traced: each stage is
+    written when it is reached, with its rows and seconds; the result then comes from the files, and so do all counts of it.
     """
+    stages: list[Stage] = []
+    step = (lambda df, name: _staged(df, name, stages)) if traced else lambda df, name: df
+    boosts = boosts or (profile.boosted if profile.boost_rules else None)
+    flags = {"profile": profile.name, "filter": bool(where and where.active()), "adapt": adapt, "rewrite": rewrite is not None, "boosts": boosts is not None, "rerankers": len(rerankers), "per_file": per_file}
     rules = profile.rules(questions.sparkSession) if rules is None else rules
     if focus is None and profile.technical_focus_rules:
         questions, focus = questions.withColumn("_focus", profile.focus("question")), "_focus"
     fixed = {"top_k": config.top_k, "candidate_k": max(config.top_k, config.candidate_k), "min_score": config.min_score}
     asked = adaptive(questions, config, inventory) if adapt else questions.withColumns({"branch": F.lit("fixed")} | {c: F.lit(v) for c, v in fixed.items()})
     parameters, asked = asked.select("qid", "branch", *fixed), asked.drop("branch")
-    found = variants(questions, rules, rewrite)
+    found = step(variants(questions, rules, rewrite), "variants")
     if where and where.active():
         pool = chunks.where(where.column())
         hits = all_scores(pool, embed(found))
@@ -131,19 +163,20 @@ def search(
         wide = asked.agg(F.max("candidate_k")).first()[0] if adapt else fixed["candidate_k"]
         hits = vector_topk(pool, embed(found), max(1, wide or 1))
         hits = hits.join(asked.select("qid", "candidate_k"), "qid").where(F.col("hit_rank") <= F.col("candidate_k")).drop("candidate_k") if adapt else hits
-    fused = fuse(hits, config)
+    fused = fuse(step(hits, "hits"), config)
     candidates = fused.join(pool.drop("embedding"), "chunk_id")
-    scored = hybrid(bm25_candidates(candidates, labelled_text(found), config=config, texts=pool), config)
+    scored = step(hybrid(bm25_candidates(candidates, labelled_text(found), config=config, texts=pool), config), "candidates")
     rows = scored.join(asked, "qid").where(F.round("final", 9) >= F.col("min_score"))
     rows = technical_filter(rows, asks_technical("question"), focus=focus)
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
+    rows = step(rows, "passed")
     if boosts:
         rows = boosts(rows)
     for apply in rerankers:
         rows = apply(rows)
     broad = None if per_file else asks_both("question", PORTFOLIO_WORDS, CAPACITY_WORDS)
     rows = diversify(rows, F.col("top_k"), per_file or config.per_document, broad)
-    return SearchResult(rows.drop(*fixed, "_focus"), scored, found, parameters)
+    return SearchResult(step(rows.drop(*fixed, "_focus"), "results"), scored, found, parameters, tuple(stages), {k: str(v) for k, v in flags.items()})
 
 
 def trace(found: SearchResult) -> DataFrame:

@@ -6,6 +6,7 @@ benchmark texts for questions, conversations for answers.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,8 +19,8 @@ from .operators import cells, context, corpus, evaluate, lexical, postings, rank
 from .plans import ask as asking
 from .plans import index, models
 from .plans import search as plans
-from .session import ready, work_folder, written
-from .sources import caches, html, store
+from .session import discard, ready, work_folder, written
+from .sources import caches, files, html, profiles, store
 from .sources.profiles import Expansion, Focus, Profile
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +32,7 @@ MODEL = "offline-1"
 RULES = [("demo", 0, "memory storage", ["the", "and"], []), ("demo", 1, "mémoire", ["de"], ["la"]), ("demo", 2, "network", [], ["with", "this"])]
 PROFILE = Profile("demo", expansion_rules=tuple(Expansion(text, tuple(some), tuple(every)) for _, _, text, some, every in RULES), technical_focus_rules=(Focus(("watt",), ("SRC1", "src2")), Focus(("nowhere",), ("src3",))), prompt_extra_rules=("Be brief.",))
 BRANCH_WORDS = ("toutes capacites ", "watts ", "compare ", "")
+FILE_ROWS = "path string, file string, chars long"
 PATTERNS = [("alpha", r"the\w*tion"), ("beta", r"an\w{3}[ .]"), ("gamma", "heon")]
 
 
@@ -303,9 +305,17 @@ def technical_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return show(rank.technical_filter(rows, F.col("qid") % 2 == 0, focus="focus"), "qid", "chunk_id", "rank")
 
 
+def loaded_profile(spark: SparkSession) -> Profile:
+    """A profile with boosts and patterns, written as its file and loaded."""
+    folder = work_folder(spark, "profiles")
+    rules = [{"count_terms": ["the", "ing", "tion", "on"], "count_bonus": [[2, 0.18], [4, 0.35]], "file_bonus": {"src1": 0.2, "src2": -0.12}}, {"all_terms": ["no question has this"], "text_bonus": {"the": 9}}]
+    body = json.dumps({"name": "shop", "boost_rules": rules, "mention_patterns": dict(PATTERNS)})
+    store.write_text(spark, f"{folder}/shop.json", body)
+    return profiles.load(spark, folder, "Shop")
+
+
 def _boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = T.count_terms("text", ("the", "ing", "tion", "on"))
-    return rank.boost(scored(spark, sf_dir), [(n >= 4, 0.35), (n.between(2, 3), 0.18), (F.contains("file", F.lit("src1")), 0.2), (F.contains("file", F.lit("src2")), -0.12)])
+    return loaded_profile(spark).boosted(scored(spark, sf_dir).join(questions(spark, sf_dir), "qid"))
 
 
 @query
@@ -349,13 +359,13 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def product_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = context.mentions(rank.top(scored(spark, sf_dir), 8), spark.createDataFrame(PATTERNS, "name string, pattern string"))
+    found = context.mentions(rank.top(scored(spark, sf_dir), 8), loaded_profile(spark).mention_patterns)
     return found.select("qid", "name", F.array_join("sources", ",").alias("sources"))
 
 
 @query
 def mention_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = context.mentions(rank.top(scored(spark, sf_dir), 8), spark.createDataFrame(PATTERNS, "name string, pattern string"))
+    found = context.mentions(rank.top(scored(spark, sf_dir), 8), loaded_profile(spark).mention_patterns)
     return context.mention_hints(found, "Found :")
 
 
@@ -511,16 +521,34 @@ def embedder(spark: SparkSession, sf_dir: str):
     return lambda v: model.embed(v.select("qid", "variant_pos", "query_text"), "query_text", "embedding").drop("query_text")
 
 
-def searched(spark: SparkSession, sf_dir: str) -> plans.SearchResult:
-    return plans.search(questions(spark, sf_dir), chunk_rows(spark, sf_dir), embedder(spark, sf_dir), rules(spark), per_file=2)
+def searched(spark: SparkSession, sf_dir: str, traced: bool = False) -> plans.SearchResult:
+    return plans.search(questions(spark, sf_dir), chunk_rows(spark, sf_dir), embedder(spark, sf_dir), rules(spark), per_file=2, traced=traced)
 
 
 @query
 def search_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = plans.trace(searched(spark, sf_dir))
+    found = plans.trace(searched(spark, sf_dir, traced=True))
     return show(found.withColumn("variants", F.size("variants")), "qid", "branch", "top_k", "candidate_k", "min_score", "variants", "candidates", "results")
 
 
+@query
+def search_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that each stage of the search handed on, counted while it ran."""
+    return plans.stage_table(spark, searched(spark, sf_dir, traced=True)).select(F.col("pos").cast("long").alias("pos"), "stage", "rows")
+
+
+@query
+def answered_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions with an even number have a given answer; the others are asked."""
+    asked = questions(spark, sf_dir)
+    given = asked.where("qid % 2 = 0").select("qid", F.concat(F.lit("Voir [1] : "), "question").alias("answer"))
+    ask = lambda rows: asking.ask(rows, chunk_rows(spark, sf_dir), embedder(spark, sf_dir), rules=rules(spark), per_file=2).answers
+    words = F.split("question", " ")
+    cases = asked.select("qid", F.array(F.upper(words[0]), F.lit("xyzzy")).alias("expected_facts"), F.array(F.lit("heon")).alias("forbidden_terms"), (F.col("qid") % 3 == 0).alias("must_have_citation"), (F.col("qid") % 7 == 0).alias("expected_unknown"))
+    found = evaluate.answer_metrics(cases, asking.complete(asked, given, ask))
+    return found.select("qid", "answer", "ok", "facts_recall", "citation_ok", "unknown_ok")
+
+
 @query
 def profile_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain with a profile's rules and focus, over questions of all branches: each has its own width, and only those on a portfolio are diversified."""
@@ -613,6 +641,26 @@ def published_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.current(spark, root, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)).groupBy("url").agg(F.count("*").alias("chunks"), F.sum(F.length("chunk")).alias("chars"))
 
 
+@query
+def ingested_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file a source, kept in step: all sources, then every third one rewritten with half of its documents and one removed."""
+    root, docs = work_folder(spark, "files"), table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("value"))
+    names = [r.source for r in docs.select("source").distinct().orderBy("source").collect()]  # a file each
+    changed = names[::3]
+
+    def lay_out(rows: DataFrame) -> None:
+        rows.drop("doc_id").repartition("source").write.mode("overwrite").partitionBy("source").text(f"{root}/draft")
+        store.move_files(spark, f"{root}/draft", f"{root}/folder")
+
+    parse = lambda files: files.select("path", F.regexp_extract("path", r"source=([^/]*)", 1).alias("file"), F.length(F.decode("content", "UTF-8")).cast("long").alias("chars"))
+    lay_out(docs)
+    files.ingest(spark, f"{root}/folder", f"{root}/table", FILE_ROWS, parse)
+    lay_out(docs.where(F.col("source").isin(changed) & (F.col("doc_id") % 40 < 20)))
+    discard(spark, f"{root}/folder/source={names[1]}")
+    files.ingest(spark, f"{root}/folder", f"{root}/table", FILE_ROWS, parse)
+    return files.table(spark, f"{root}/table", FILE_ROWS).read().select("file", "chars")
+
+
 def _json_list(rows: DataFrame) -> DataFrame:
     """One text: the rows of a bounded question set as a JSON list."""
     return rows.agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct(*rows.columns))), ","), F.lit("]")).alias("value"))

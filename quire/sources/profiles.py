@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import col, contains_any
+from ..functions.text import col, contains_any, count_terms
+from ..operators.rank import rerank
 from .store import exists
 
 RULE_SCHEMA = "profile string, rule_pos int, text string, any_terms array<string>, all_terms array<string>"
@@ -31,6 +33,33 @@ class Focus:
     filename_contains: tuple[str, ...] = ()
 
 
+@dataclass(frozen=True)
+class Boost:
+    """Bonuses for results of the questions that have one of any_terms (if there are some) and all of all_terms."""
+
+    any_terms: tuple[str, ...] = ()
+    all_terms: tuple[str, ...] = ()
+    count_terms: tuple[str, ...] = ()
+    """Terms that are counted in a result's text, each once."""
+    count_bonus: tuple[tuple[int, float], ...] = ()
+    """(terms at least, bonus); the largest number that is reached counts."""
+    file_bonus: tuple[tuple[str, float], ...] = ()
+    """(part of the file's name, bonus); all that apply add up, as those of texts do."""
+    text_bonus: tuple[tuple[str, float], ...] = ()
+
+    def bonus(self, question: Column | str, text: Column | str, file: Column | str) -> Column:
+        has = lambda c: lambda t: F.contains(F.lower(col(c)), F.lit(t.lower()))
+        out, found = F.lit(0.0), count_terms(text, map(str.lower, self.count_terms))
+        steps = sorted(self.count_bonus, reverse=True)
+        if steps and self.count_terms:
+            out += reduce(lambda c, s: c.when(found >= s[0], float(s[1])), steps[1:], F.when(found >= steps[0][0], float(steps[0][1]))).otherwise(0.0)
+        for c, bonuses in ((file, self.file_bonus), (text, self.text_bonus)):
+            out = sum((F.when(has(c)(part), float(b)).otherwise(0.0) for part, b in bonuses), out)
+        asked = contains_any(question, map(str.lower, self.any_terms)) if self.any_terms else F.lit(True)
+        asked &= reduce(lambda c, t: c & has(question)(t), self.all_terms, F.lit(True))
+        return F.when(asked, out).otherwise(0.0)
+
+
 @dataclass(frozen=True)
 class Profile:
     name: str = "generic"
@@ -42,6 +71,16 @@ class Profile:
     technical_focus_rules: tuple[Focus, ...] = ()
     prompt_extra_rules: tuple[str, ...] = ()
     prompt_extra_formats: tuple[str, ...] = ()
+    boost_rules: tuple[Boost, ...] = ()
+    mention_patterns: tuple[tuple[str, str], ...] = ()
+    """(name, pattern) of what is pointed out in results."""
+
+    def boosted(self, results: DataFrame, question: str = "question") -> DataFrame:
+        """results ranked anew with the bonuses of all boost rules; nothing is joined."""
+        if not self.boost_rules:
+            return results
+        bonus = sum((b.bonus(question, "text", "file") for b in self.boost_rules), F.lit(0.0))
+        return rerank(results.withColumn("final", F.col("final") + bonus))
 
     def rules(self, spark: SparkSession) -> DataFrame:
         """The expansion rules as a table, in their order."""
@@ -78,6 +117,9 @@ def from_json(body: str) -> Profile:
     fields |= texts(given, "query_rewrite_extra_constraints", "prompt_extra_rules", "prompt_extra_formats")
     expansions = tuple(Expansion(r["text"], **texts(r, "any_terms", "all_terms")) for r in given.get("expansion_rules", []))
     focus = tuple(Focus(**texts(r, "any_terms", "filename_contains")) for r in given.get("technical_focus_rules", []))
+    pairs = lambda x: tuple((k, v) for k, v in (x.items() if isinstance(x, dict) else x or ()))
+    boosts = tuple(Boost(**texts(r, "any_terms", "all_terms", "count_terms"), **{n: pairs(r.get(n)) for n in ("count_bonus", "file_bonus", "text_bonus")}) for r in given.get("boost_rules", []))
+    fields |= {"boost_rules": boosts, "mention_patterns": pairs(given.get("mention_patterns"))}
     return Profile(given["name"], **({"display_name": given["name"]} | fields), expansion_rules=expansions, technical_focus_rules=focus)
 
 

@@ -37,6 +37,27 @@ def state_of(spark: SparkSession, path: str) -> tuple[int, ...]:
     return len(found), sum(s.getLen() for s in found), max([s.getModificationTime() for s in found], default=0)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes one small file."""
+    fs, at = _at(spark, path)
+    out = fs.create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def move_files(spark: SparkSession, draft: str, folder: str) -> None:
+    """Moves the file of each partition's folder of a written table to <folder>/<partition>/data, in place of what is there."""
+    fs, at = _at(spark, draft)
+    for part in fs.listStatus(at):
+        if part.isDirectory():
+            name = part.getPath().getName()
+            (source,) = (s.getPath() for s in fs.listStatus(part.getPath()) if s.getPath().getName().startswith("part-"))
+            _, to = _at(spark, f"{folder}/{name}/data")
+            fs.mkdirs(to.getParent())
+            fs.delete(to, False)
+            fs.rename(source, to)
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A Parquet table, or an empty one if there is none. Missing columns of older files are null."""
     return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import hashed
 from quire.functions.text import parse_bool
-from quire.operators import evaluate, lexical, rank
+from quire.operators import context, evaluate, lexical, rank
 from quire.plans import ask, index, models
 from quire.plans import search as plans
 from quire.sources import caches, pdf, profiles, store
@@ -103,6 +103,48 @@ def test_ask_with_fallback(spark):
     assert {r.qid: r.linked for r in said.answers.collect()} == {1: "see [[2]](/app/static/pdfs/f1.pdf#page=1)", 2: None}
 
 
+def test_answers_are_completed(spark):
+    cases = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "qid int, question string")
+    given = spark.createDataFrame([(1, "given"), (2, None), (9, "no case")], "qid int, answer string")
+    seen = []
+
+    def answer(rows):
+        seen.extend(r.question for r in rows.collect())
+        return rows.select("qid", F.concat(F.lit("said "), "question").alias("answer"), F.lit(True).alias("fallback"))
+
+    assert sorted(map(tuple, ask.complete(cases, given, answer).collect())) == [(1, "given"), (2, None), (3, "said c")] and seen == ["c"]
+
+
+def test_boosts_and_mentions_of_a_profile(spark, tmp_path, results):
+    rules = [{"any_terms": ["Which"], "count_terms": ["text", "1", "2"], "count_bonus": [[1, 0.1], [2, 0.5]], "file_bonus": [["F1", 1.0]], "text_bonus": {"TEXT 9": 5}}, {"all_terms": ["which", "two"], "file_bonus": {"f2": -9}}]
+    (tmp_path / "shop.json").write_text(json.dumps({"name": "shop", "boost_rules": rules, "mention_patterns": {"nine": "TEXT 9", "odd": r"[1357]\b", "same": r"(t)ex\1"}}))
+    profile = profiles.load(spark, f"file://{tmp_path}", "shop")
+    rows = results.where("qid = 1").withColumn("question", F.lit("which one"))
+    bonus = {k: (0.5 if k in (1, 2) else 0.1) + (k % 3 == 1) + 5 * (k == 9) for k in range(10)}
+    want = sorted(range(10), key=lambda k: (-round(1 - k / 20 + bonus[k], 9), k))
+    assert ids(profile.boosted(rows)) == want
+    assert ids(profile.boosted(rows.withColumn("question", F.lit("how")))) == list(range(10)) and profiles.GENERIC.boosted(rows) is rows
+    found = profile.boosted(rows)
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "CartesianProduct" not in found._jdf.queryExecution().toString()
+    said = context.mentions(rows, profile.mention_patterns)
+    assert {r.name: r.sources for r in said.collect()} == {"nine": [10], "odd": [2, 4, 6, 8], "same": [1, 2, 3, 4]}
+    assert {r.name: r.sources for r in context.mentions(rows, profile.mention_patterns[:2]).collect()} == {"nine": [10], "odd": [2, 4, 6, 8]}
+    assert "NestedLoop" not in said._jdf.queryExecution().toString() and context.mentions(rows, []).count() == 0
+
+
+def test_a_profile_s_boosts_work_in_a_search(spark):
+    chunks = spark.createDataFrame([(i, "text", f"f{i}.pdf", 1, i, "pdf", "", [1.0 - i / 100, 0.0]) for i in range(12)], "chunk_id long, text string, file string, page int, ordinal int, source_type string, url string, embedding array<double>")
+    asked = spark.createDataFrame([(1, "hello"), (2, "bye")], "qid int, question string")
+    embed = lambda v: v.select("qid", "variant_pos", F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
+    profile = profiles.Profile("p", boost_rules=(profiles.Boost(any_terms=("hello",), file_bonus=(("f11", 1.0),)),))
+    found = plans.search(asked, chunks, embed, profile=profile, traced=True)
+    assert ids(found.results, 1)[:2] == [11, 0] and ids(found.results, 2)[:2] == [0, 1]
+    stages = {r.stage: r for r in plans.stage_table(spark, found).collect()}
+    assert {n: s.rows for n, s in stages.items()} == {"variants": 2, "hits": 24, "candidates": 24, "passed": 24, "results": 16}
+    assert all(s.seconds > 0 for s in stages.values()) and found.flags["boosts"] == "True" and found.flags["profile"] == "p"
+    assert plans.search(asked, chunks, embed).stages == ()
+
+
 def test_only_portfolio_questions_are_diversified(spark):
     chunks = spark.createDataFrame([(i, "text", "one.pdf" if i < 15 else "two.pdf", 1, i, "pdf", "", [1.0 - i / 100, 0.0]) for i in range(30)], "chunk_id long, text string, file string, page int, ordinal int, source_type string, url string, embedding array<double>")
     asked = spark.createDataFrame([(1, "toutes les capacités"), (2, "hello")], "qid int, question string")
