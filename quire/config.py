@@ -35,6 +35,8 @@ UNITS = ("watts", "watt", "tb", "tib", "pb", "pib", "gb/s", "iops", "latency", "
 UNKNOWN_SIGNALS = ("je ne sais pas", "ne permet pas", "pas d'information", "aucune information", "not enough information", "i don't know", "cannot answer")
 BOILERPLATE_LINES = ("table of contents", "contents")
 TITLE_PREFIX = "TITRE DE SECTION: "
+TABLE_PREFIX = "TABLEAU extrait de la page "
+TABLE_TITLE, EXTRACT_TITLE = "Tableau", "Extrait technique"
 EXTRACT_PREFIX = "EXTRAIT TECHNIQUE page "
 EXPANSION_LEAD = "\n\nTermes de recherche additionnels : "
 LABELS = ("question originale", "reformulation LLM", "expansion synonymes")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import EXTRACT_PREFIX
+from ..config import EXTRACT_PREFIX, TABLE_PREFIX
 from ..functions.text import cache_key
 
 
@@ -36,7 +36,7 @@ def index_stats(chunks: DataFrame) -> DataFrame:
 def inventory(chunks: DataFrame, folder: DataFrame | None = None) -> DataFrame:
     """Per document: chunks, pages, their range as a label, technical extracts and tables; with `folder` (file, size) also documents on one side only."""
     pages = F.when(F.min("page") == F.max("page"), F.min("page").cast("string")).otherwise(F.concat_ws("-", F.min("page").cast("string"), F.max("page").cast("string")))
-    one = chunks.groupBy("file").agg(F.count("*").alias("chunks"), F.count_distinct("page").alias("pages"), pages.alias("page_range"), F.count_if(F.col("text").startswith(EXTRACT_PREFIX)).alias("extracts"), F.count_if(F.col("text").startswith("| ")).alias("tables"))
+    one = chunks.groupBy("file").agg(F.count("*").alias("chunks"), F.count_distinct("page").alias("pages"), pages.alias("page_range"), F.count_if(F.col("text").startswith(EXTRACT_PREFIX)).alias("extracts"), F.count_if(F.col("text").startswith(TABLE_PREFIX.split()[0])).alias("tables"))
     if folder is None:
         return one
     both = one.join(folder.select("file", "size"), "file", "full_outer")

@@ -115,7 +115,7 @@ _ANSWERS = f"""ans as (select conv_id || '-' || turn as qid, coalesce(text, '')
 am as (select qid, list_filter(['THE', 'tion'], lambda t: contains(lower(answer), lower(t))) as facts, list_filter(['xyzzy', 'heon'], lambda t: contains(lower(answer), t)) as forbidden,
     conv_id % 2 <> 0 or regexp_matches(answer, '\\[\\d+\\]') as citation_ok, conv_id % 5 <> 0 or {_any("answer", config.UNKNOWN_SIGNALS)} as unknown_ok from ans),
 metrics as (select qid, len(facts) = 2 and len(forbidden) = 0 and citation_ok and unknown_ok as ok, len(facts) / 2.0::double as facts_recall, citation_ok, unknown_ok, array_to_string(forbidden, ',') as forbidden from am)"""
-_PLAIN = "pc as (select source as file, doc_id % 10 + 1 as page, case when doc_id % 7 = 0 then 'web' else 'pdf' end as source_type, 'u' || doc_id % 50 as url, case when doc_id % 9 = 0 then '| ' || text else text end as text from documents)"
+_PLAIN = "pc as (select source as file, doc_id % 10 + 1 as page, case when doc_id % 7 = 0 then 'web' else 'pdf' end as source_type, 'u' || doc_id % 50 as url, case when doc_id % 9 = 0 then 'TABLEAU ' || text else text end as text from documents)"
 
 
 def _title(x: str) -> str:
@@ -264,7 +264,7 @@ select item_id as qid, case when item_id % 2 = 0 then 'See [[1]](' || u[1] || ')
 def _pages() -> str:
     """No line of the tables has a number with a unit, so pages have tables and sections only."""
     return f"""with recursive {SECTIONS}, sk as (select doc_id * 100000 + pos as id, * from sections), {_packed('sk', 'id', 'body')},
-md as ({_table_markdown()}), parts as (select doc_id, 0 as kind, length(markdown) as n from md where markdown <> ''
+md as ({_table_markdown()}), parts as (select doc_id, 0 as kind, length(markdown) + length({_quote(config.TABLE_PREFIX)} || '1, tableau 1') + 2 as n from md where markdown <> ''
 union all select sk.doc_id, 2, length(p.chunk) + case when sk.title <> '' then length({_quote(config.TITLE_PREFIX)} || rtrim(substr(sk.title, 1, 90))) + 2 else 0 end from packed p join sk on sk.id = p.k)
 select source || '-' || doc_id as file, count(*) as chunks, count(*) as last, sum(n)::bigint as chars from parts join documents using (doc_id) group by 1"""
 
@@ -293,6 +293,9 @@ def oracle_sql() -> dict[str, str]:
         "section_chunks": f"with recursive {SECTIONS}, sk as (select doc_id * 100000 + pos as id, * from sections), {_packed('sk', 'id', 'body')} select sk.doc_id, sk.pos as section, p.pos, rtrim(substr(sk.title, 1, 90)) as title, case when sk.title <> '' then {_quote(config.TITLE_PREFIX)} || rtrim(substr(sk.title, 1, 90)) || chr(10) || chr(10) || p.chunk else p.chunk end as chunk from packed p join sk on sk.id = p.k",
         "technical_windows": _windows(),
         "table_markdown": _table_markdown(),
+        "detected_tables": """with p as (select p_partkey // 12 as page, p_partkey as k, p_name, p_brand, case when p_partkey % 5 <> 0 then p_size::varchar else '' end as size from part),
+            l as (select page, list('| ' || k || ' | ' || p_name || ' | ' || p_brand || ' | ' || size || ' |' order by k) as bars from p group by 1)
+            select page, 0::bigint as number, len(bars)::bigint as rows, array_to_string(list_concat([bars[1], '| --- | --- | --- | --- |'], bars[2:]), chr(10)) as markdown from l where len(bars) > 1""",
         "html_text": f"select page_id, {_html_title('html', 'url')} as title, {_html('html')} as text from pages",
         "allow_list": f"select page_id, {_allowed('url')} as allowed from pages",
         "web_upsert": "with n as (select case when page_id % 3 = 0 then url else url || '#new' end as url, page_id from pages) select url, page_id, 'new' as batch from n union all select url, page_id, 'old' from pages where url not in (select url from n)",
@@ -329,7 +332,7 @@ def oracle_sql() -> dict[str, str]:
         "token_estimates": "select doc_id, greatest(1, length(text) // 4)::bigint as tokens from documents",
         "union_corpus": f"select source as file, 'pdf' as source_type, length(text)::bigint as size, null::varchar as url from documents union all select {_html_title('html', 'url')}, 'web', length({_html('html')}), url from pages where {_allowed('url')}",
         "index_stats": f"with {_PLAIN} select count(distinct file) as documents, count(*) as chunks, count(distinct case when source_type = 'pdf' then file || '-' || page end) as pdf_pages, count(distinct case when source_type = 'web' then url end) as web_sources from pc",
-        "inventory": f"""with {_PLAIN}, one as (select file, count(*) as chunks, count(distinct page) as pages, case when min(page) = max(page) then min(page)::varchar else min(page) || '-' || max(page) end as page_range, count(*) filter (where starts_with(text, {_quote(config.EXTRACT_PREFIX)})) as extracts, count(*) filter (where starts_with(text, '| ')) as tables from pc group by 1),
+        "inventory": f"""with {_PLAIN}, one as (select file, count(*) as chunks, count(distinct page) as pages, case when min(page) = max(page) then min(page)::varchar else min(page) || '-' || max(page) end as page_range, count(*) filter (where starts_with(text, {_quote(config.EXTRACT_PREFIX)})) as extracts, count(*) filter (where starts_with(text, 'TABLEAU')) as tables from pc group by 1),
             folder as (select 'src' || (2 * i) as file, 20 * i as size from range(11) r(i)) select file, coalesce(chunks, 0) as chunks, pages, page_range, extracts, tables, size, case when chunks is null then 'not indexed' when size is null then 'missing file' else 'indexed' end as status from one full join folder using (file)""",
         "distinct_sources": f"with {_PLAIN} select distinct file, source_type from pc",
         "eval_retrieval": f"{scored}, {_CASES} select qid, doc_recall, keyword_recall, array_to_string(docs_hits, ',') as docs_hits, array_to_string(keyword_hits, ',') as keyword_hits from metrics",

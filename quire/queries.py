@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .config import PORTFOLIO_WORDS, SYNTHESIS_WORDS
 from .functions import hashed
 from .functions import text as T
-from .operators import cells, context, corpus, evaluate, lexical, postings, rank, segment, vector
+from .operators import cells, context, corpus, evaluate, lexical, postings, rank, segment, tables, vector
 from .plans import ask as asking
 from .plans import index, models
 from .plans import search as plans
@@ -197,6 +197,22 @@ def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).where(F.contains("text", F.lit("|"))).select("doc_id", segment.table_markdown(rows).alias("markdown"))
 
 
+@query
+def detected_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts laid out as words on pages, twelve to a page in a table below two lines of prose; a part without a size leaves its cell empty."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", F.when(F.col("p_partkey") % 5 != 0, F.col("p_size").cast("string")).alias("size"))
+    page, line = F.floor(F.col("p_partkey") / 12).cast("int"), F.col("p_partkey") % 12
+    jitter = (F.col("p_partkey") * 7 % 3) / 2
+    texts = F.array(*(F.struct(F.lit(200.0 * k).alias("left"), c.alias("text")) for k, c in enumerate((F.col("p_partkey").cast("string"), F.col("p_name"), F.col("p_brand"), F.col("size")))))
+    cells = part.select(page.alias("page"), (100 + 14 * line + jitter).alias("y"), F.explode_outer(texts).alias("c")).select("page", "y", "c.left", "c.text").where("text is not null")
+    prose = part.where("p_partkey % 12 < 2").select(page.alias("page"), (20 + 14 * line).alias("y"), F.lit(0.0).alias("left"), F.concat(F.lit("these words stand in a line about "), "p_name").alias("text"))
+    each = cells.unionByName(prose).select("page", "y", "left", F.posexplode_outer(F.split("text", " ")).alias("k", "word"), F.split("text", " ").alias("all"))
+    begin = F.col("left") + 4 * F.length(F.array_join(F.slice("all", 1, F.col("k")), " ")) + F.when(F.col("k") > 0, 4).otherwise(0)
+    words = each.select(F.lit("parts.pdf").alias("file"), "page", begin.alias("x0"), (begin + 4 * F.length("word")).alias("x1"), "y", "word")
+    found = tables.find_tables(words, ["file", "page"]).select("page", F.posexplode_outer("tables").alias("number", "found"))
+    return found.select(F.col("page").cast("long").alias("page"), F.col("number").cast("long").alias("number"), F.size("found").cast("long").alias("rows"), segment.table_markdown("found").alias("markdown"))
+
+
 @query
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", html.html_title("html", "url").alias("title"), html.html_text("html").alias("text"))
@@ -395,7 +411,7 @@ def union_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _plain_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("file"), (i % 10 + 1).alias("page"), F.when(i % 7 == 0, "web").otherwise("pdf").alias("source_type"), F.concat(F.lit("u"), (i % 50).cast("string")).alias("url"), F.when(i % 9 == 0, F.concat(F.lit("| "), "text")).otherwise(F.col("text")).alias("text"))
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("file"), (i % 10 + 1).alias("page"), F.when(i % 7 == 0, "web").otherwise("pdf").alias("source_type"), F.concat(F.lit("u"), (i % 50).cast("string")).alias("url"), F.when(i % 9 == 0, F.concat(F.lit("TABLEAU "), "text")).otherwise(F.col("text")).alias("text"))
 
 
 @query

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import EXTRACT_TITLE, TABLE_PREFIX, TABLE_TITLE
+from ..operators.tables import find_tables
 from ..session import ready
 from ..operators.segment import section_chunks, table_markdown, technical_windows
 
@@ -36,13 +38,19 @@ def read_pages(spark: SparkSession, folder: str, parse: Callable[[bytes], Iterab
     return ready(files).mapInPandas(run, PAGE_SCHEMA)
 
 
+def with_tables(pages: DataFrame, words: DataFrame) -> DataFrame:
+    """pages (file, page, text) with the `tables` that are found from their words' places, so that no parser needs to find any."""
+    return pages.drop("tables").join(find_tables(words, ["file", "page"]), ["file", "page"], "left")
+
+
 def page_chunks(pages: DataFrame, size: int = 800, overlap: int = 2) -> DataFrame:
     """Chunks of pages: tables, then technical extracts, then sections, numbered within the page; pages without text keep their tables only."""
     key = ["file", "page"]
-    tables = pages.select(*key, F.posexplode(F.transform(F.coalesce("tables", F.array().cast("array<array<array<string>>>")), table_markdown)).alias("pos", "text")).where("text <> ''")
-    tables = tables.select(*key, F.lit(0).alias("kind"), F.array("pos").alias("place"), "text", F.lit("").alias("title"))
+    tables = pages.select(*key, F.posexplode_outer(F.transform(F.coalesce("tables", F.array().cast("array<array<array<string>>>")), table_markdown)).alias("pos", "text")).where("text <> ''")
+    head = F.concat(F.lit(TABLE_PREFIX), F.col("page").cast("string"), F.lit(", tableau "), (F.col("pos") + 1).cast("string"), F.lit("\n\n"), "text")
+    tables = tables.select(*key, F.lit(0).alias("kind"), F.array("pos").alias("place"), head.alias("text"), F.lit(TABLE_TITLE).alias("title"))
     texts = pages.where(F.trim(F.coalesce("text", F.lit(""))) != "").select(*key, "text")
-    windows = technical_windows(texts, key, "text", "page").select(*key, F.lit(1).alias("kind"), F.array(F.col("window_no").cast("int")).alias("place"), F.col("excerpt").alias("text"), F.lit("").alias("title"))
+    windows = technical_windows(texts, key, "text", "page").select(*key, F.lit(1).alias("kind"), F.array(F.col("window_no").cast("int")).alias("place"), F.col("excerpt").alias("text"), F.lit(EXTRACT_TITLE).alias("title"))
     parts = section_chunks(texts, key, "text", size, overlap).select(*key, F.lit(2).alias("kind"), F.array(F.col("section").cast("int"), F.col("pos").cast("int")).alias("place"), F.col("chunk").alias("text"), "title")
     all_ = tables.unionByName(windows).unionByName(parts)
     ordinal = F.row_number().over(Window.partitionBy(*key).orderBy("kind", "place"))

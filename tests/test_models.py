@@ -200,7 +200,7 @@ def test_pdf_pages(spark, tmp_path):
     pages = pdf.read_pages(spark, folder, parse)
     assert {(r.file, r.page) for r in pages.collect()} == {(f, p) for f in ("a.pdf", "b.pdf") for p in (1, 2, 3)}
     found = pdf.page_chunks(pages).where("file = 'a.pdf'").orderBy("page", "ordinal").collect()
-    assert [(r.page, r.ordinal, r.text.split("\n")[0]) for r in found] == [(1, 1, "| h1 | h2 |"), (1, 2, "TITRE DE SECTION: INTRODUCTION")]
+    assert [(r.page, r.ordinal, r.text.split("\n")[0]) for r in found] == [(1, 1, "TABLEAU extrait de la page 1, tableau 1"), (1, 2, "TITRE DE SECTION: INTRODUCTION")]
 
 
 def test_small_helpers(spark, asked):
