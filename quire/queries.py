@@ -215,7 +215,7 @@ def detected_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", html.html_title("html", "url").alias("title"), html.html_text("html").alias("text"))
+    return ready(table(spark, sf_dir, "pages")).select("page_id", html.html_title("html", "url").alias("title"), html.html_text("html").alias("text"))
 
 
 @query

@@ -1,15 +1,25 @@
-"""Web pages: HTML to text and title as Column expressions."""
+"""Web pages: HTML to text and title, in one pass over each page in Arrow batches.
+
+The reader follows the rules of lenient HTML parsers: comments and declarations are no text, a quoted value may hold `>`,
+scripts and styles are raw up to their own end tag, and elements are kept on a stack, so that an end tag closes what was left
+open inside, and an element that is dropped ends with its parent even if nobody closed it.
+"""
 
 from __future__ import annotations
 
 import json
+import re
 from functools import cache
+from html import unescape as plain_unescape
 from html.entities import html5
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.text import col, domain_allowed, squash
+from ..functions.text import col, domain_allowed
+from ..session import ready
 
 # Elements dropped with all they hold.
 DROPPED = ("script", "style", "noscript", "svg", "header", "footer", "nav")
@@ -49,22 +59,89 @@ def unescape(x: Column) -> Column:
     return F.array_join(F.transform(pieces, one), "")
 
 
+_TAG = re.compile(
+    r"<(?:"
+    r"!--(?:>|->|.*?(?:--!?>|\Z))"  # a comment
+    r"|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)"  # a declaration
+    r"|/(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|/(?:[^a-zA-Z>][^>]*)?>"  # an end tag, or nothing
+    r"""|(?P<start>[a-zA-Z][^\s/>]*)(?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+(?:>|\Z)"""
+    r")",
+    re.DOTALL,
+)
+_RAW, _TEXT_ONLY = ("script", "style"), ("title", "textarea")
+_VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
+
+
+def read_html(html: str) -> tuple[str, str]:
+    """(title, text): the runs of text outside dropped elements, with single spaces, and those of the first title."""
+    out: list[str] = []
+    held: list[str] = []
+    stack: list[str] = []
+    inside, title, begin, pos = 0, None, None, 0  # dropped elements that are open; where the title's runs begin
+
+    def flush() -> None:
+        run = " ".join(plain_unescape("".join(held)).split())
+        held.clear()
+        if run and not inside:
+            out.append(run)
+
+    while pos < len(html):
+        at = html.find("<", pos)
+        if at < 0:
+            held.append(html[pos:])
+            break
+        held.append(html[pos:at])
+        found = _TAG.match(html, at)
+        if not found:  # a mere sign
+            held.append("<")
+            pos = at + 1
+            continue
+        flush()
+        pos, start, end = found.end(), found["start"], found["end"]
+        if start:
+            name = start.lower()
+            closed = html.endswith("/>", at, pos) or name in _VOID
+            if not closed:
+                stack.append(name)
+                inside += name in DROPPED
+                if name == "title" and title is None and begin is None and not inside:
+                    begin = len(out)
+                if name in _RAW or name in _TEXT_ONLY:
+                    last = re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE).search(html, pos)
+                    if name in _TEXT_ONLY:
+                        held.append(html[pos : last.start() if last else len(html)])
+                    pos = last.start() if last else len(html)
+        elif end and (name := end.lower()) in stack:
+            while True:
+                gone = stack.pop()
+                inside -= gone in DROPPED
+                if gone == "title" and begin is not None and title is None:
+                    title = " ".join(out[begin:])
+                if gone == name:
+                    break
+    flush()
+    if begin is not None and title is None:
+        title = " ".join(out[begin:])
+    return title or "", " ".join(out)
+
+
+@F.pandas_udf(StructType([StructField("title", StringType()), StructField("text", StringType())]))
+def _read(html: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([(None, None) if x is None else read_html(x) for x in html], columns=["title", "text"])
+
+
 def html_text(html: Column | str) -> Column:
-    """The page's text: comments, dropped elements and tags removed, character references replaced, squashed."""
-    x = F.regexp_replace(col(html), r"(?s)<!--.*?-->", " ")
-    for name in DROPPED:
-        x = F.regexp_replace(x, rf"(?is)<{name}\b.*?</{name}\s*>", " ")
-    return squash(unescape(F.regexp_replace(x, r"(?s)<[^>]*>", " ")))
+    """The page's text: comments, dropped elements and tags removed, character references replaced, with single spaces. Null stays null."""
+    return _read(col(html))["text"]
 
 
 def html_title(html: Column | str, url: Column | str) -> Column:
-    """The title, or the address if there is none."""
-    title = squash(unescape(F.regexp_extract(col(html), r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)))
-    return F.coalesce(F.nullif(title, F.lit("")), col(url))
+    """The title, or the address if there is none. Beside html_text a page is read once for both."""
+    return F.coalesce(F.nullif(_read(col(html))["title"], F.lit("")), col(url))
 
 
 def web_pages(pages: DataFrame, fetched_on: str, domains: tuple[str, ...] | None = None) -> DataFrame:
     """(url, file, title, text, page 0, source_type, fetched_on) of fetched pages (url, html); only allowed domains if given."""
-    rows = pages if domains is None else pages.where(domain_allowed("url", domains))
+    rows = ready(pages) if domains is None else ready(pages).where(domain_allowed("url", domains))
     title = html_title("html", "url")
     return rows.select("url", title.alias("file"), title.alias("title"), html_text("html").alias("text"), F.lit(0).alias("page"), F.lit("web").alias("source_type"), F.lit(fetched_on).cast("date").alias("fetched_on"))
