@@ -55,6 +55,12 @@ def work_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
+
+
 def cut(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: a lineage cut that survives lost executors."""
     spark = df.sparkSession

@@ -21,6 +21,16 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads(read_warc(spark, path))
 
 
+def warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The revisit records alone: the predicate reaches the archives' indexes, and no payload is read."""
+    from .common import work_path
+    from .warc import payloads, read_warc, write_warc
+
+    path = work_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    return payloads(read_warc(spark, path, payload=False).where("record_type = 'revisit'"))
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embedding_dedup import near_embeddings
 
@@ -123,7 +133,7 @@ def op13_square_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_warc, op2_packing, op3_embedding_dedup, op4_sharding, op5_decontamination, op6_language_id, language_id_pages, op7_substring, op8_token_counts, op9_license_scan, op10_minhash, op11_vector_codes, op12_spelling, op13_square_packing]
+    found = [op1_warc, warc_revisits, op2_packing, op3_embedding_dedup, op4_sharding, op5_decontamination, op6_language_id, language_id_pages, op7_substring, op8_token_counts, op9_license_scan, op10_minhash, op11_vector_codes, op12_spelling, op13_square_packing]
     return {f.__name__: f for f in found}
 
 
@@ -209,4 +219,4 @@ select w.word, f.form, coalesce(e.root, w.word) as root, w.n, coalesce(f.n_near,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_embedding_dedup": OP3_SQL, "op7_substring": OP7_SQL, "op10_minhash": OP10_SQL, "op11_vector_codes": OP11_SQL, "op12_spelling": OP12_SQL}
+    return {"op1_warc": OP1_SQL, "warc_revisits": f"select * from ({OP1_SQL}) where record_type = 'revisit'", "op3_embedding_dedup": OP3_SQL, "op7_substring": OP7_SQL, "op10_minhash": OP10_SQL, "op11_vector_codes": OP11_SQL, "op12_spelling": OP12_SQL}

@@ -107,6 +107,39 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_warc(spark, f"{path}-none").count() == 0
 
 
+def test_warc_inflates_what_is_wanted(spark, tmp_path, monkeypatch):
+    big = "<p>long</p>" * 3000
+    pages = spark.createDataFrame([(k, f"u{k}", big if k < 20 else f"{k} " * 500) for k in range(40)], "page_id long, url string, html string").coalesce(1)
+    path = f"{tmp_path}/w"
+    warc.write_warc(pages, f"file://{path}")
+    inflated = []
+    monkeypatch.setattr(warc, "inflate", lambda m, f=warc.inflate: inflated.append(len(x := f(m))) or x)
+
+    def read(*tests, payload="true"):
+        from pyspark.sql.datasource import EqualTo
+
+        inflated.clear()
+        reader = warc.WarcReader({"path": f"file://{path}", "payload": payload})
+        assert list(reader.pushFilters([EqualTo((n,), v) for n, v in tests])) == []
+        return [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+
+    assert len(read()) == 40 and len(inflated) == 40
+    whole = sum(inflated)
+    revisits = read(("record_type", "revisit"))
+    assert len(revisits) == 19 == len(inflated) and sum(inflated) < 0.3 * whole  # revisits have headers only
+    assert len(read(("target_uri", "u30"))) == 1 == len(inflated)
+    assert len(read(payload="false")) == 40 and not inflated
+    # the same records without the index, as of an archive from elsewhere, and with any tool
+    import gzip
+    import pathlib
+
+    (archive,) = pathlib.Path(path).glob("*.warc.gz")
+    assert gzip.decompress(archive.read_bytes()).count(b"WARC/1.1") == 40
+    want = read(("record_type", "response"))
+    archive.with_name(archive.name + warc.INDEX).unlink()
+    assert read(("record_type", "response")) == want and not inflated and len(want) == 21
+
+
 def test_warc_pushes_filters(tmp_path):
     from pyspark.sql.datasource import EqualTo, GreaterThan
 
