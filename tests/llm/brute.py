@@ -81,3 +81,58 @@ def leaks(docs, items, overlap=0.6, gram=3):
             if min(shares) >= overlap:
                 found.add((d, i))
     return found
+
+
+def languages(sample, rows):
+    """{id: posterior of each language, by name} of rows (id, text, url, declared[, host]): text likelihoods, declared language, address and host priors."""
+    from math import exp, log, sqrt
+
+    from quire.llm import language_id
+
+    names = sorted({x for x, _ in sample})
+    grams = lambda t: language_id.trigrams([(t or "").encode()])[0]
+    counts = {x: Counter() for x in names}
+    first = {}
+    for lang, text in sample:  # equal texts count once
+        first[text] = min(lang, first.get(text, lang))
+    for text, lang in first.items():
+        counts[lang].update(grams(text).tolist())
+    sums = {x: sum(c.values()) for x, c in counts.items()}
+    rate = lambda x, g: log((counts[x][g] + 0.5) / (sums[x] + 0.5 * language_id.BUCKETS))
+    mean = {}
+    soft = lambda v: [exp(x - max(v)) / sum(exp(y - max(v)) for y in v) for x in v]
+    evidence, host = {}, {}
+    for i, text, url, said, *given in rows:
+        found = Counter(grams(text).tolist())
+        n = sum(found.values())
+        for g in found:
+            if g not in mean:
+                mean[g] = sum(rate(x, g) for x in names) / len(names)
+        parts = [sum(k * (rate(x, g) - mean[g]) for g, k in found.items()) * min(1, 4 / sqrt(max(1, n))) for x in names]
+        match = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", url or "")
+        site = match[1].lower() if match else None
+        path = re.match(r"[^?#]*?://[^/?#]+/([a-zA-Z]{2})(?:[-_/.?#]|$)", url or "")
+        suffix = language_id.SUFFIXES.get((site or "").split(".")[-1])
+        code = (said or "").split("-")[0].split("_")[0].lower()
+        evidence[i] = [t + language_id.DECLARED * (code == x) + language_id.ADDRESS * (suffix == x) + language_id.ADDRESS * (bool(path) and path[1].lower() == x) for t, x in zip(parts, names, strict=True)]
+        host[i] = given[0].lower() if given and given[0] else site
+    posterior = {i: soft(v) for i, v in evidence.items()}
+    up = lambda h: ".".join(h.split(".")[-2:])
+    own, near, whole = defaultdict(list), defaultdict(list), []
+    for i, h in host.items():
+        if h:
+            own[h].append(i)
+            near[up(h)].append(i)
+            whole.append(i)
+    total = lambda ids: [sum(posterior[i][k] for i in ids) for k in range(len(names))]
+    base, prior, weight = [(x + 1) / (len(whole) + len(names)) for x in total(whole)], {}, language_id.HOST_WEIGHT
+    for h, ids in own.items():
+        parent = [(x + weight * b) / (len(near[up(h)]) + weight) for x, b in zip(total(near[up(h)]), base, strict=True)]
+        prior[h] = [log((o + weight * p) / (len(ids) + weight)) for o, p in zip(total(ids), parent, strict=True)]
+    return {i: soft([x + y for x, y in zip(v, prior[host[i]], strict=True)] if host[i] else v) for i, v in evidence.items()}
+
+
+def same_language(language, confidence, names, posterior):
+    best = max(posterior)
+    assert abs(confidence - best) <= 1e-4
+    assert language == names[posterior.index(best)] or sorted(posterior)[-1] - sorted(posterior)[-2] < 1e-4

@@ -86,6 +86,28 @@ def test_language(spark, texts):
     assert all(r.kept for r in found if len(texts[r.doc_id]) > 200)
 
 
+def test_languages_against_plain_arithmetic(spark):
+    """Both language queries, row by row. All labelled texts are fewer than the model's bound here."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    sample = [(r.lang, r.text) for r in docs if r.text is not None and r.lang is not None]
+    names = sorted({x for x, _ in sample})
+    want = brute.languages(sample, [(r.doc_id, r.text, None, None, r.source) for r in docs])
+    found = rows(spark, "op6_language_id")
+    assert len(found) == len(docs)
+    for r in found:
+        brute.same_language(r.language, r.confidence, names, want[r.doc_id])
+    pages = []
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        said = re.search(r"<html[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3}(?:-[a-z]+)?)", r.html, re.IGNORECASE)
+        body = re.sub(r"<(script|style|noscript)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ", r.html, flags=re.IGNORECASE | re.DOTALL)
+        pages.append((r.page_id, body, r.url, said and said[1]))
+    want = brute.languages(sample, pages)
+    found = rows(spark, "language_id_pages")
+    assert sorted(r.page_id for r in found) == sorted(want)
+    for r in found:
+        brute.same_language(r.language, r.confidence, names, want[r.page_id])
+
+
 def test_token_counts(spark, texts):
     ids = dict(zip(texts, encode("word_bpe_49k.json", texts.values()), strict=True))
     assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in rows(spark, "op8_token_counts")} == {d: (len(t.encode()), len(ids[d]), len(ids[d]) > 2048) for d, t in texts.items()}
