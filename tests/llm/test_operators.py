@@ -282,6 +282,39 @@ def test_sharding(spark, docs):
     assert all(r.b <= 60_000 for r in by_size) and len(by_size) <= -(-sum(r.b for r in by_size) // 60_000) + 1
 
 
+def least_possible(sizes, bins):
+    """The smallest largest bin of any packing, by trying all."""
+    best = sum(sizes)
+
+    def place(k, load):
+        nonlocal best
+        if max(load) >= best:
+            return
+        if k == len(sizes):
+            best = max(load)
+            return
+        for b in range(bins):
+            if load[b] not in load[:b]:  # bins as full as an earlier one are the same
+                place(k + 1, [*load[:b], load[b] + sizes[k], *load[b + 1 :]])
+
+    place(0, [0] * bins)
+    return best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=9), st.integers(1, 4))
+def test_shards_against_all_packings(sizes, bins):
+    """Best-fit decreasing stays within its bounds of what is possible: 11/9 of the best capacity (and a piece), 3/2 of the fewest bins."""
+    where = sharding.fewest_capacity(sizes, bins)
+    load = Counter()
+    for s, b in zip(sizes, where, strict=True):
+        load[b] += s
+    best = least_possible(sorted(sizes, reverse=True), bins)
+    assert set(where) <= set(range(bins)) and best <= max(load.values()) <= 11 / 9 * best + 1
+    fewest = next(n for n in range(1, len(sizes) + 1) if least_possible(sorted(sizes, reverse=True), n) <= 60)
+    assert fewest <= max(sharding.best_fit_decreasing(sizes, 60)) + 1 <= 1.5 * fewest
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=80))
 def test_rooms(sizes):
