@@ -60,9 +60,12 @@ def fold_full(x: pd.Series) -> pd.Series:
     return x.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii").str.lower()
 
 
+TOKEN_PATTERN = "[a-zA-Z0-9_/-]{3,}"
+
+
 def tokens(x: Column | str) -> Column:
     """Runs of three or more letters, digits, _, / or - of the folded text."""
-    return F.regexp_extract_all(fold(x), F.lit("[a-zA-Z0-9_/-]{3,}"), F.lit(0))
+    return F.regexp_extract_all(fold(x), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
 def query_terms(x: Column | str) -> Column:
