@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..config import STOP_WORDS, TECHNICAL_HINTS, UNITS
+from ..config import STOP_WORDS, TECHNICAL_HINTS, TRUE_WORDS, UNITS
 
 
 @cache
@@ -164,7 +164,10 @@ def source_link(source_type: Column | str, url: Column | str, file: Column | str
     return F.when(col(source_type) == "web", col(url)).otherwise(F.concat(F.lit(base), path, F.lit("#page="), col(page).cast("string")))
 
 
-def parse_bool(text: str | None, default: bool = False) -> bool:
-    from ..config import TRUE_WORDS
+def flag(x: Column | str, default: bool = False) -> Column:
+    """parse_bool as a Column."""
+    return F.coalesce(F.lower(squash(x)).isin(*TRUE_WORDS), F.lit(default))
+
 
+def parse_bool(text: str | None, default: bool = False) -> bool:
     return default if text is None else text.strip().lower() in TRUE_WORDS

@@ -293,6 +293,8 @@ def oracle_sql() -> dict[str, str]:
         "section_chunks": f"with recursive {SECTIONS}, sk as (select doc_id * 100000 + pos as id, * from sections), {_packed('sk', 'id', 'body')} select sk.doc_id, sk.pos as section, p.pos, rtrim(substr(sk.title, 1, 90)) as title, case when sk.title <> '' then {_quote(config.TITLE_PREFIX)} || rtrim(substr(sk.title, 1, 90)) || chr(10) || chr(10) || p.chunk else p.chunk end as chunk from packed p join sk on sk.id = p.k",
         "technical_windows": _windows(),
         "table_markdown": _table_markdown(),
+        "pdf_files": "select 'source=' || source || '.pdf' as file, count(*) as pages, sum(length(coalesce(text, '')))::bigint as chars, (sum(octet_length(encode(coalesce(text, '')))) + 2 * count(*))::bigint as size from documents group by source",
+        "flags": "with s as (select doc_id, case when doc_id % 9 <> 8 then [' Oui ', 'TRUE', '0', 'on', 'non', '', 'Yes', '1 1'][doc_id % 8 + 1] end as said from documents) select doc_id, coalesce(lower(trim(said)) in ('1', 'true', 'yes', 'oui', 'on'), false) as given, coalesce(lower(trim(said)) in ('1', 'true', 'yes', 'oui', 'on'), true) as otherwise from s",
         "detected_tables": """with p as (select p_partkey // 12 as page, p_partkey as k, p_name, p_brand, case when p_partkey % 5 <> 0 then p_size::varchar else '' end as size from part),
             l as (select page, list('| ' || k || ' | ' || p_name || ' | ' || p_brand || ' | ' || size || ' |' order by k) as bars from p group by 1)
             select page, 0::bigint as number, len(bars)::bigint as rows, array_to_string(list_concat([bars[1], '| --- | --- | --- | --- |'], bars[2:]), chr(10)) as markdown from l where len(bars) > 1""",

@@ -20,7 +20,7 @@ from .plans import ask as asking
 from .plans import index, models
 from .plans import search as plans
 from .session import discard, ready, work_folder, written
-from .sources import caches, files, html, profiles, store
+from .sources import caches, files, html, pdf, profiles, store
 from .sources.profiles import Expansion, Focus, Profile
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -197,6 +197,26 @@ def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).where(F.contains("text", F.lit("|"))).select("doc_id", segment.table_markdown(rows).alias("markdown"))
 
 
+@query
+def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents laid out as files with a form feed between pages, one a source, then listed and parsed."""
+    root = work_folder(spark, "pdf")
+    docs = table(spark, sf_dir, "documents").select("source", F.concat(F.coalesce("text", F.lit("")), F.lit("\f")).alias("value"))
+    docs.repartition("source").write.partitionBy("source").option("lineSep", "\f").text(f"{root}/draft")
+    store.move_files(spark, f"{root}/draft", f"{root}/folder", "{}.pdf")
+    parse = lambda content: [(n, text, []) for n, text in enumerate(content.decode().split("\f\f")[:-1], 1)]
+    pages = pdf.read_pages(spark, f"{root}/folder", parse).groupBy("file").agg(F.max("page").cast("long").alias("pages"), F.sum(F.length("text")).alias("chars"))
+    return pages.join(pdf.list_pdfs(spark, f"{root}/folder").select("file", "size"), "file")
+
+
+@query
+def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings as people write them."""
+    said = F.array(*map(F.lit, (" Oui ", "TRUE", "0", "on", "non", "", "Yes", "1 1")))
+    rows = documents(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 9 != 8, said[(F.col("doc_id") % 8).cast("int")]).alias("said"))
+    return rows.select("doc_id", T.flag("said").alias("given"), T.flag("said", True).alias("otherwise"))
+
+
 @query
 def detected_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts laid out as words on pages, twelve to a page in a table below two lines of prose; a part without a size leaves its cell empty."""

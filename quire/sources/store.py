@@ -45,14 +45,14 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
-def move_files(spark: SparkSession, draft: str, folder: str) -> None:
-    """Moves the file of each partition's folder of a written table to <folder>/<partition>/data, in place of what is there."""
+def move_files(spark: SparkSession, draft: str, folder: str, name: str = "{}/data") -> None:
+    """Moves the file of each partition's folder of a written table below `folder`, in place of what is there; `name` has {} for the partition's folder."""
     fs, at = _at(spark, draft)
     for part in fs.listStatus(at):
         if part.isDirectory():
-            name = part.getPath().getName()
+            place = name.format(part.getPath().getName())
             (source,) = (s.getPath() for s in fs.listStatus(part.getPath()) if s.getPath().getName().startswith("part-"))
-            _, to = _at(spark, f"{folder}/{name}/data")
+            _, to = _at(spark, f"{folder}/{place}")
             fs.mkdirs(to.getParent())
             fs.delete(to, False)
             fs.rename(source, to)
