@@ -96,7 +96,7 @@ def _blocks(batch: pa.RecordBatch, width: int) -> Iterator[tuple[pa.RecordBatch,
     for begin in range(0, batch.num_rows, ROWS):
         part = batch.slice(begin, ROWS)
         column = part.column(part.schema.get_field_index("_ints"))
-        yield part, np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(-1, width)
+        yield part, np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(part.num_rows, width)
 
 
 def _integers(df: DataFrame, vector: str, parts: int) -> DataFrame:

@@ -74,6 +74,7 @@ def test_codes_of_other_lengths(spark):
     found = compressed(spark, rows)
     assert [r for r in found if r[0] < 50] == want
     assert [r[:3] for r in found if r[0] >= 50] == [(50, None, None), (51, None, None)] and all(r[3] == want[0][3] for r in found)
+    assert compressed(spark, [(k, [], k % 2) for k in range(3)]) == [(k, "00" * 8, 0, 0, hashlib.sha256(b"").hexdigest()) for k in range(3)]
     odd = [(k, [k / 7, -k / 3, 1.0], None) for k in range(30)]  # filled up with zeros
     assert compressed(spark, odd) == codes([(i, v + [0.0] * 5, lab) for i, v, lab in odd])
 
