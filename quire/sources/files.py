@@ -46,25 +46,26 @@ def ingest(spark: SparkSession, folder: str, root: str, schema: str, parse: Call
     """Brings the table of parsed rows below `root` in step with a folder.
 
     `parse` maps (path, content) to rows of `schema`, which has a column `path`; it sees added and changed files only. Rows of a
-    changed file replace its old ones, those of a removed one go, and a file that gives no rows is noted as seen, one that becomes empty counts as removed. The
+    changed file replace its old ones in one version, those of a removed one go, and a file that gives no rows is noted as seen, one that becomes empty counts as removed. The
     list of seen files is written last: a run that fails is made good by the next one, which does the same again.
     """
     rows = table(spark, root, schema, buckets)
     seen = LogTable(spark, f"{root}/seen", SEEN, "path", buckets)
     found = written(differences(listing(spark, folder, glob), seen.read()), "changes")
     counts = {r.change: r["count"] for r in found.groupBy("change").count().collect()}
-    fresh = found.where("change <> 'removed'")
+    fresh, gone = found.where("change <> 'removed'"), found.where("change = 'removed'")
     passes = max(1, -(-(counts.get("added", 0) + counts.get("changed", 0)) // PASS))
-    if counts.get("changed") or counts.get("removed"):
-        rows.delete(found.where("change <> 'added'"))
     for p in range(passes):
         mine = fresh.where(F.pmod(F.xxhash64("path"), F.lit(passes)) == p)
         paths = [r.path for r in mine.select("path").collect()]  # about PASS
         if paths:
-            rows.upsert(parse(spark.read.format("binaryFile").load(paths).select("path", "content")))
+            also = mine.select("path") if p else mine.select("path").unionAll(gone.select("path"))
+            rows.upsert(parse(spark.read.format("binaryFile").load(paths).select("path", "content")), also=also)
             seen.upsert(mine.drop("change"))
+        elif counts.get("removed") and not p:
+            rows.delete(gone)
     if counts.get("removed"):
-        seen.delete(found.where("change = 'removed'"))
+        seen.delete(gone)
     for t in (rows, seen):
         t.vacuum()
     return Ingested(*(counts.get(c, 0) for c in ("added", "changed", "removed")), rows.snapshot().version)
