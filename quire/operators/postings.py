@@ -17,8 +17,9 @@ from ..config import RetrievalConfig
 from ..functions.text import query_terms, tokens
 from ..session import small, written
 
-BUCKETS, FIRST, SENT = 256, 20_000, 200_000
-"""Folders; postings of a question's rarest terms that its first bound comes from; rows of a table that is sent to all tasks at most."""
+BUCKETS, FIRST, SENT, ALL = 256, 20_000, 200_000, 100_000_000
+"""Folders; postings of a question's rarest terms that its first bound comes from; rows of a table that is sent to all tasks at most; postings
+of all questions' terms together up to which all are scored at once, as bounds cost more than they save there."""
 MARGIN = 1e-6
 """Scores closer than this are not told apart when terms are left alone; ranks go by nine decimals."""
 _DEFAULT = RetrievalConfig()
@@ -47,16 +48,16 @@ def term_table(postings: DataFrame) -> DataFrame:
 def write_postings(corpus: DataFrame, root: str, key: str = "chunk_id", text: str = "text", buckets: int = BUCKETS) -> None:
     """Builds the index of corpus (key, text) below `root`, a new folder. Null texts are no texts; keys are unique.
 
-    A common term's postings are spread over as many tasks as the rest by a hash of their keys: no bucket is written by one task.
+    Spark deals out the buckets by size: one with a common term is written by several tasks.
     """
     words = corpus.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), tokens(text).alias("_tokens"))
     words = words.select("_key", F.size("_tokens").alias("_length"), F.explode_outer(F.concat(F.array(F.lit("")), "_tokens")).alias("_term"))  # '' stands for the text
     rows = written(words.groupBy("_key", "_length", "_term").agg(F.count("*").alias("_tf")), "postings")
     rows.where("_term = ''").agg(F.count("*").alias("texts"), F.coalesce(F.sum("_length"), F.lit(0)).cast("long").alias("tokens"), F.first("_key").alias("key")).write.parquet(f"{root}/stats")
     rows = rows.where("_term <> ''").withColumn("_bucket", bucket(buckets=buckets))
-    spread = F.pmod(F.xxhash64("_key"), F.lit(max(8, int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16)))
-    rows.repartition("_bucket", spread).sortWithinPartitions("_bucket", "_term", "_key").write.partitionBy("_bucket").parquet(f"{root}/postings")
-    term_table(rows).withColumn("_bucket", bucket(buckets=buckets)).repartition("_bucket").sortWithinPartitions("_bucket", "_term").write.partitionBy("_bucket").parquet(f"{root}/terms")
+    # A bucket goes to one task, or to several if it is large; small ones share a task.
+    rows.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", "_term", "_key").write.partitionBy("_bucket").parquet(f"{root}/postings")
+    term_table(rows).withColumn("_bucket", bucket(buckets=buckets)).hint("rebalance", "_bucket").sortWithinPartitions("_bucket", "_term").write.partitionBy("_bucket").parquet(f"{root}/terms")
 
 
 def read_postings(spark: SparkSession, root: str, asked: DataFrame, key: str = "chunk_id", buckets: int = BUCKETS) -> Postings:
@@ -76,7 +77,8 @@ def best(index: Postings, asked: DataFrame, k: int, config: RetrievalConfig = _D
 
     The texts of a question's rarest terms give its k-th score a lower bound. Terms, from the least weight that they can
     have upwards, whose weights cannot add up to that bound are left alone: a text that has no other term of the question is none of
-    the k best. They are only looked up for the texts that the other terms have found. Nothing is lost by this.
+    the k best. They are only looked up for the texts that the other terms have found. Nothing is lost by this. Where all questions'
+    terms have no more than ALL postings together, all are scored at once.
     """
     from .lexical import idf, term_weight
 
@@ -84,9 +86,12 @@ def best(index: Postings, asked: DataFrame, k: int, config: RetrievalConfig = _D
     weight = lambda tf, length: idf(n, F.col("_df")) * term_weight(tf, length, mean, config)
     graded = asked.select("qid", "_term").join(index.terms, "_term").withColumn("_most", weight(F.col("_most_tf"), F.col("_least_length")))
     sofar = lambda order: Window.partitionBy("qid").orderBy(order, "_term").rowsBetween(Window.unboundedPreceding, 0)
-    graded = graded.withColumn("_rows", F.sum("_df").over(sofar("_df"))).withColumn("_rare", F.row_number().over(Window.partitionBy("qid").orderBy("_df", "_term")))
-    graded = written(graded.withColumn("_reach", F.sum("_most").over(sofar("_most"))), "asked")
+    graded = written(graded, "asked")
     found = lambda terms: index.postings.join(small(terms.select("qid", "_term", "_df"), SENT), "_term").select("qid", key, weight(F.col("_tf"), F.col("_length")).alias("w"))
+    if (graded.agg(F.sum("_df")).first()[0] or 0) <= ALL:
+        return _top(found(graded).groupBy("qid", key).agg(F.sum("w").alias("score")), key, k)
+    graded = graded.withColumn("_rows", F.sum("_df").over(sofar("_df"))).withColumn("_rare", F.row_number().over(Window.partitionBy("qid").orderBy("_df", "_term")))
+    graded = written(graded.withColumn("_reach", F.sum("_most").over(sofar("_most"))), "graded")
     first = found(graded.where((F.col("_rows") <= FIRST) | (F.col("_rare") == 1))).groupBy("qid", key).agg(F.sum("w").alias("score"))
     kth = first.withColumn("_k", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score")))).where(F.col("_k") == k).select("qid", F.col("score").alias("_least"))
     graded = written(graded.join(kth, "qid", "left").withColumn("_needed", F.coalesce(F.col("_reach") >= F.col("_least") - MARGIN, F.lit(True))), "needed")
@@ -98,8 +103,12 @@ def best(index: Postings, asked: DataFrame, k: int, config: RetrievalConfig = _D
         common = index.postings.join(small(rest.select("_term").distinct(), SENT), "_term", "left_semi")
         more = wanted.join(common, [key, "_term"]).select("qid", key, weight(F.col("_tf"), F.col("_length")).alias("w"))
         scored = scored.unionByName(more).groupBy("qid", key).agg(F.sum("w").alias("w"))
+    return _top(scored.withColumnRenamed("w", "score"), key, k)
+
+
+def _top(scored: DataFrame, key: str, k: int) -> DataFrame:
     order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), key)
-    return scored.withColumnRenamed("w", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def search_postings(spark: SparkSession, root: str, questions: DataFrame, k: int, key: str = "chunk_id", question: str = "question", config: RetrievalConfig = _DEFAULT, buckets: int = BUCKETS) -> DataFrame:

@@ -52,9 +52,10 @@ def rows_of(found):
     return sorted((r.qid, r.chunk_id, r.rank, round(r.score, 6)) for r in found.collect())
 
 
-@pytest.mark.parametrize("first", [1, 200, postings.FIRST])
+@pytest.mark.parametrize("first", [1, 200, postings.FIRST, 1 << 40])
 def test_bm25_leaves_common_terms_alone_without_loss(spark, tmp_path, corpus, asked, monkeypatch, first):
     monkeypatch.setattr(postings, "FIRST", first)
+    monkeypatch.setattr(postings, "ALL", 0 if first < postings.SENT // 10 + 1 else postings.ALL)
     texts = corpus[0].where("text is not null")
     want = bm25(corpus[1], asked[1], 5)
     assert rows_of(lexical.bm25_topk(texts, asked[0], 5)) == want
