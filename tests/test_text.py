@@ -142,3 +142,9 @@ def test_pages_against_a_parser(spark):
         reader = Reader()
         reader.feed(r.html)
         assert r.text == " ".join("".join(reader.out).split())
+
+
+def test_upper_is_letter_by_letter(spark):
+    words = ["Erßie", "ﬁn", "éa 𝐀ß", "", "abc"]
+    found = spark.createDataFrame([(w,) for w in words], "x string").select(T.upper("x").alias("u"), F.lower(T.upper("x")).alias("l")).collect()
+    assert [r.u for r in found] == ["ERßIE", "ﬁN", "ÉA 𝐀ß", "", "ABC"] and [r.l for r in found] == [w.lower() for w in words]
