@@ -17,8 +17,8 @@ def page_stream(spark: SparkSession, folder: str, files: int = 16) -> DataFrame:
     return spark.readStream.schema("page_id long, url string, html string").option("maxFilesPerTrigger", files).parquet(folder)
 
 
-def chunk_stream(pages: DataFrame, fetched_on: str, size: int = 800, overlap: int = 2) -> DataFrame:
-    return chunks(web_pages(pages, fetched_on), "text", size, overlap).drop("text")
+def chunk_stream(pages: DataFrame, fetched_on: str, size: int = 800, overlap: int = 2, bare: bool = True) -> DataFrame:
+    return chunks(web_pages(pages, fetched_on, bare=bare), "text", size, overlap).drop("text")
 
 
 def keep_current(stream: DataFrame, root: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:

@@ -144,6 +144,14 @@ def test_pages_against_a_parser(spark):
         assert r.text == " ".join("".join(reader.out).split())
 
 
+def test_references_cut_at_the_end_stay_if_bare_ones_do_not_count(spark):
+    page = "<title>a &amp;&amp</title><p>&lt;b&gt; &notit; &notit &#39;x&#39 &#x41; &nbsp;&copy; &am</p>"
+    assert html_source.read_html(page, bare=False) == ("a &&amp", "a &&amp <b> &notit; &notit 'x&#39 A © &am")
+    assert html_source.read_html(page)[0] == "a &&"
+    rows = html_source.web_pages(spark.createDataFrame([("u", page)], "url string, html string"), "2024-01-01", bare=False)
+    assert rows.first().title == "a &&amp"
+
+
 def test_upper_is_letter_by_letter(spark):
     words = ["Erßie", "ﬁn", "éa 𝐀ß", "", "abc"]
     found = spark.createDataFrame([(w,) for w in words], "x string").select(T.upper("x").alias("u"), F.lower(T.upper("x")).alias("l")).collect()
