@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import l2_normalise
@@ -26,9 +26,14 @@ class Built:
 
 
 def numbered(chunks: DataFrame) -> DataFrame:
-    """chunks with chunk_id, a hash of where the chunk stands: the same chunk has the same id in every build."""
+    """chunks with chunk_id, a hash of where the chunk stands: the same chunk has the same id in every build.
+
+    An address may be there twice: of several chunks in one place the second and further ones, by their texts, have their number in the hash too.
+    """
     where = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source_type", "file", "url", "page", "ordinal")]
-    return chunks.withColumn("chunk_id", F.xxhash64(*where))
+    rows = chunks.withColumn("_place", F.xxhash64(*where))
+    again = F.row_number().over(Window.partitionBy("_place", *where).orderBy("text"))
+    return rows.withColumn("_again", again).withColumn("chunk_id", F.when(F.col("_again") == 1, F.col("_place")).otherwise(F.xxhash64(*where, "_again"))).drop("_place", "_again")
 
 
 def build_index(pdf: DataFrame, web: DataFrame, root: str, cache_root: str, embed: Callable[[DataFrame], DataFrame] | None = None, model: str = HASHED) -> Built:
@@ -39,9 +44,10 @@ def build_index(pdf: DataFrame, web: DataFrame, root: str, cache_root: str, embe
     Chunks without text are left out; without any chunk nothing is published. Readers see the old or the new version.
     """
     spark = pdf.sparkSession
-    chunks = numbered(union_corpus(pdf, web)).where(F.trim("text") != "")
+    chunks = union_corpus(pdf, web).where(F.trim("text") != "")
     if chunks.isEmpty():
         return Built(None, index_stats(chunks))
+    chunks = numbered(chunks)
     if embed is None:
         vectors = hashed.fit(chunks)
         vectors.save(spark, f"{root}-weights")

@@ -154,3 +154,14 @@ def test_cells_give_what_a_whole_search_gives(spark, tmp_path, spread):
     assert everything.count() == 3030
     cells.write_cells(chunks.where("false"), f"{root}-none")
     assert cells.search_cells(spark, f"{root}-none", asked, 3).hits.count() == 0
+
+
+def test_chunks_in_one_place_have_ids_of_their_own(spark):
+    from quire.plans.index import numbered
+
+    rows = [("web", "t", "u", 0, None, "b"), ("web", "t", "u", 0, None, "a"), ("web", "t", "u", 0, None, "a"), ("web", "t", "v", 0, None, "c")]
+    chunks = spark.createDataFrame(rows, "source_type string, file string, url string, page int, ordinal int, text string")
+    first, again = ({(r.url, r.text, r.chunk_id) for r in numbered(c).collect()} for c in (chunks, chunks.repartition(3)))
+    assert len({i for *_, i in first}) == 4 and first == again
+    alone = {r.text: r.chunk_id for r in numbered(chunks.where("text = 'c'")).collect()}
+    assert ("v", "c", alone["c"]) in first
