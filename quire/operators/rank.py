@@ -73,14 +73,17 @@ def keep_if_any(results: DataFrame, when: Column, flag: Column) -> DataFrame:
 
 def technical_filter(results: DataFrame, technical: Column, question: str = "question", focus: str | None = None) -> DataFrame:
     """Narrows technical questions' results to chunks with values, then to files in focus (an array column of terms), then to watts for power questions. A step that would leave nothing is skipped."""
-    with_values = has_technical_value("text")
+    return narrowed(results, technical, has_technical_value("text"), contains_any(question, POWER_WORDS), F.contains(F.lower("text"), F.lit("watt")), focus)
+
+
+def narrowed(results: DataFrame, technical: Column, with_values: Column, power: Column, watts: Column, focus: str | None = None) -> DataFrame:
+    """technical_filter on flags, for rows without their texts: whether a question is technical, a chunk has values, a question asks for power, a chunk speaks of watts."""
     has = F.max((with_values & technical).cast("int")).over(Window.partitionBy("qid")) == 1
     out = results.withColumn("_narrow", has)
     out = out.where(~F.col("_narrow") | with_values)
     if focus:
         out = keep_if_any(out, F.col("_narrow") & (F.size(focus) > 0), F.exists(focus, lambda t: F.contains(F.lower("file"), t)))
-    out = keep_if_any(out, F.col("_narrow") & contains_any(question, POWER_WORDS), F.contains(F.lower("text"), F.lit("watt")))
-    return out.drop("_narrow")
+    return keep_if_any(out, F.col("_narrow") & power, watts).drop("_narrow")
 
 
 def boost(results: DataFrame, rules: Iterable[tuple[Column, float]]) -> DataFrame:
