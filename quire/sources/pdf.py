@@ -7,8 +7,9 @@ native libraries belong inside it.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from ..operators.tables import find_tables
 from ..session import ready
 from ..operators.segment import section_chunks, table_markdown, technical_windows
 
+PAGES = 200
 PAGE_SCHEMA = "file string, page int, text string, tables array<array<array<string>>>"
 
 
@@ -27,15 +29,18 @@ def list_pdfs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, folder: str, parse: Callable[[bytes], Iterable[tuple[int, str, list]]]) -> DataFrame:
+    """Pages of the files. A worker holds one file's bytes and PAGES pages at a time, if `parse` gives its pages one by one."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder).select("path", "content")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("file", pa.string()), ("page", pa.int32()), ("text", pa.string()), ("tables", pa.list_(pa.list_(pa.list_(pa.string()))))])
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                pages = [(path.rsplit("/", 1)[-1], page, text, tables) for page, text, tables in parse(bytes(content))]
-                yield pd.DataFrame(pages, columns=["file", "page", "text", "tables"])
+            for k in range(batch.num_rows):
+                name, pages = batch.column(0)[k].as_py().rsplit("/", 1)[-1], iter(parse(batch.column(1)[k].as_py()))
+                while some := [(name, *page) for page in islice(pages, PAGES)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), kinds.field(n).type) for n, c in enumerate(zip(*some, strict=True))], schema=kinds)
 
-    return ready(files).mapInPandas(run, PAGE_SCHEMA)
+    return ready(files).mapInArrow(run, PAGE_SCHEMA)
 
 
 def with_tables(pages: DataFrame, words: DataFrame) -> DataFrame:
