@@ -165,3 +165,44 @@ def test_chunks_in_one_place_have_ids_of_their_own(spark):
     assert len({i for *_, i in first}) == 4 and first == again
     alone = {r.text: r.chunk_id for r in numbered(chunks.where("text = 'c'")).collect()}
     assert ("v", "c", alone["c"]) in first
+
+
+def test_postings_are_shuffled_and_written_once(spark, tmp_path, corpus, monkeypatch):
+    def twice(*_):
+        raise AssertionError("the postings are written beside the index")
+
+    monkeypatch.setattr(postings, "written", twice)
+    root = f"file://{tmp_path}/once"
+    postings.write_postings(corpus[0], root, buckets=4)
+    found = {(r._key, r._term): (r._tf, r._length) for r in spark.read.parquet(f"{root}/postings").collect()}
+    assert found == {(i, w): (n, len(t.split())) for i, t in corpus[1] if t for w, n in Counter(t.split()).items()}
+    stats = spark.read.parquet(f"{root}/stats").first()
+    assert (stats.texts, stats.tokens) == (403, sum(len((t or "").split()) for _, t in corpus[1]))
+
+
+def test_overlaps_hold_and_shuffle_no_pairs(spark, corpus, asked, monkeypatch):
+    found = lexical.overlaps(corpus[0], asked[0])
+    assert "hashpartitioning" not in plan(found) and "Aggregate" not in plan(found)
+    rows = lambda d: {(r.qid, r.chunk_id): round(r.overlap, 9) for r in d.collect()}
+    few = rows(found)
+    monkeypatch.setattr(lexical, "VOCABULARY", 1)
+    assert few and few == rows(lexical.overlaps(corpus[0], asked[0]))
+
+
+def test_python_gets_batches_of_bounded_size(spark):
+    import pyarrow as pa
+
+    from quire import session
+
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64MB")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    rows = spark.range(3000).select(F.repeat(F.lit("abcdefgh"), 500).alias("t")).coalesce(1)
+    assert session.ready(rows).mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 2 * session.BATCH
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
+    session.ready(rows)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1m"
+    assert [session._bytes(x) for x in ("64MB", "256m", "2097152", "67108864b", "1g", "-1", "3kb")] == [64 << 20, 256 << 20, 2097152, 64 << 20, 1 << 30, -1, 3072]

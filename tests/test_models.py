@@ -212,3 +212,15 @@ def test_small_helpers(spark, asked):
     assert evaluate.delta_lines(deltas).first().line == "latency          1.20s -> 1.80s  +0.60s"
     plain = plans.search_text(asked, profiles.GENERIC.rules(spark)).orderBy("qid").first().search_text
     assert plain == "The cat"
+
+
+def test_pages_of_a_file_are_handed_on_while_it_is_parsed(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"x")
+
+    def parse(content):
+        for n in range(1, 1 << 30):
+            if n > 100_000:
+                raise MemoryError("all pages at once")
+            yield n, "y" * 100, []
+
+    assert len(pdf.read_pages(spark, f"file://{tmp_path}", parse).limit(5).collect()) == 5

@@ -186,3 +186,11 @@ def test_cases_and_reports(spark, tmp_path):
     store.write_report(str(tmp_path / "report"), {"top_k": 8}, summary, rows)
     report = store.read_report(spark, str(tmp_path / "report"))
     assert report["summary"] == {"questions": 1, "mean": 0.5} and report["results"][0]["qid"] == "a" and report["configuration"] == {"top_k": 8}
+
+
+def test_bm25_where_every_text_is_a_candidate(spark):
+    texts = spark.createDataFrame([(k, " ".join(f"word{j % 7}" for j in range(k, 2 * k))) for k in range(12)] + [(90, None), (91, "other")], "chunk_id long, text string")
+    asked = spark.createDataFrame([(1, "word1 word5"), (2, "word0 absent"), (3, "absent")], "qid int, query_text string")
+    pairs = asked.select("qid").crossJoin(texts.select("chunk_id"))
+    score = lambda **more: {(r.qid, r.chunk_id): round(r.lexical, 9) for r in lexical.bm25_candidates(pairs, asked, texts=texts, **more).collect()}
+    assert len(score(every=True)) == 3 * 14 and score(every=True) == score()
